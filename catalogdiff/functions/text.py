@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,17 +10,19 @@ from pyspark.sql import functions as F
 
 def all_present(names: Sequence[str]) -> Column:
     """True when none of the named columns is NULL."""
-    return reduce(and_, [F.col(n).isNotNull() for n in names])
+    return F.expr(" AND ".join(f"{n} IS NOT NULL" for n in names))
 
 
 def differs(left: str, right: str, names: Sequence[str]) -> Column:
     """True when some attribute differs; a NULL on either side is no difference by itself."""
-    return reduce(or_, [F.col(f"{left}.{n}") != F.col(f"{right}.{n}") for n in names])
+    return F.expr(" OR ".join(f"{left}.{n} <> {right}.{n}" for n in names))
 
 
 def line_count(text: Column) -> Column:
     """Pieces of ``text`` between newlines: a trailing newline counts one more, NULL is 0."""
-    return F.coalesce(F.regexp_count(text, F.lit("\n")) + 1, F.lit(0))
+    # Lengths, not a split or a match list: neither builds an array of the text's lines.
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.coalesce(breaks + 1, F.lit(0))
 
 
 def shown(pairs: dict[str, Column]) -> Column:

@@ -9,7 +9,6 @@ pieces are rebalanced over the cluster, and only then are rows repeated.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # A count is cut into blocks, and blocks into pieces, so that no array built on
 # the way is longer than count / BLOCK or BLOCK.
@@ -17,14 +16,6 @@ BLOCK = 1_000_000
 PIECE = 1_000
 
 
-def _cut(df: DataFrame, copies: str, width: int) -> DataFrame:
-    """Split each row into rows of at most ``width`` copies, keeping the total."""
-    last = F.expr(f"cast((`{copies}` - 1) div {width} as int)")
-    cut = df.withColumn("_cut", F.explode(F.sequence(F.lit(0), last)))
-    left = F.col(copies) - F.col("_cut").cast("long") * width
-    return cut.withColumn(copies, F.least(F.lit(width).cast("long"), left)).drop("_cut")
-
-
 def repeat_rows(df: DataFrame, copies: str, spread: bool = True) -> DataFrame:
     """Emit each row ``copies`` times (at least 1 expected) and drop the count.
 
@@ -32,7 +23,14 @@ def repeat_rows(df: DataFrame, copies: str, spread: bool = True) -> DataFrame:
     given here only. Leave it off where counts come from data that cannot
     repeat much and the rows are the whole table.
     """
-    pieces = _cut(df, copies, BLOCK)
+    kept = [f"`{c}`" for c in df.columns if c != copies]
+
+    def cut(rows: DataFrame, width: int) -> DataFrame:
+        """Split each row into rows of at most ``width`` copies, keeping the total."""
+        rows = rows.selectExpr("*", f"explode(sequence(0, int((`{copies}` - 1) div {width}))) AS _cut")
+        return rows.selectExpr(*kept, f"least({width}L, `{copies}` - _cut * {width}L) AS `{copies}`")
+
+    pieces = cut(df, BLOCK)
     if spread:
-        pieces = _cut(pieces, copies, PIECE).hint("rebalance")
-    return _cut(pieces, copies, 1).drop(copies)
+        pieces = cut(pieces, PIECE).hint("rebalance")
+    return pieces.selectExpr(*kept, f"explode(sequence(1, int(`{copies}`))) AS _one").selectExpr(*kept)

@@ -18,7 +18,7 @@ def count_diff(rows: DataFrame, keys: Sequence[str], sides: Sides, mismatch: boo
     """
     one, two = sides.label(1, "count"), sides.label(2, "count")
     counted = sides.tag(rows).groupBy(*sides.group, *keys).agg(
-        F.count_if(F.col("side") == 1).alias(one), F.count_if(F.col("side") == 2).alias(two)
+        F.expr("count_if(side = 1)").alias(one), F.expr("count_if(side = 2)").alias(two)
     )
     return counted.where(F.col(f"`{one}`") != F.col(f"`{two}`")) if mismatch else counted
 
@@ -30,8 +30,8 @@ def mapped_count_diff(
     mine = map_owners(sides.tag(rows, own_only=True), owner_maps)
     mine = mine.withColumn("_loose", F.when(F.col(key).isNull(), F.col("side")))
     counted = mine.groupBy(*sides.group, *map_columns(owner_maps), key, "_loose").agg(
-        F.count_if(F.col("side") == 1).alias(sides.label(1, "count")),
-        F.count_if(F.col("side") == 2).alias(sides.label(2, "count")),
+        F.expr("count_if(side = 1)").alias(sides.label(1, "count")),
+        F.expr("count_if(side = 2)").alias(sides.label(2, "count")),
     )
     return counted.drop("_loose")
 

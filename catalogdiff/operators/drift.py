@@ -17,25 +17,20 @@ SHOWN = ("data_type", "data_length", "data_precision", "nullable")
 def column_drift(columns: DataFrame, sides: Sides, dedupe: bool = False) -> DataFrame:
     """Join the two sides on the column's key where a compared attribute differs.
 
-    Equal rows are counted before the join, so a column staged many times
-    meets the other side once per distinct declaration instead of once per pair
-    of rows; the number of pairs comes back as copies.
+    Equal rows of side 2 are counted before the join, so a column staged many
+    times on both sides meets each distinct declaration instead of each row; the
+    count comes back as copies. Side 1 joins as it is: it is shuffled once, and
+    a key that holds much of it is split by the adaptive skew join.
     """
     group = [*sides.group, *KEYS]
-    declared = (
-        sides.tag(columns, own_only=True)
-        .where(all_present(KEYS))
-        .groupBy(*group, *COMPARED)
-        .agg(F.count_if(F.col("side") == 1).alias("_n1"), F.count_if(F.col("side") == 2).alias("_n2"))
-    )
-    left = declared.where("_n1 > 0").alias("l")
-    right = declared.where("_n2 > 0").alias("r")
-    same_key = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in group]
-    joined = left.join(right, [*same_key, differs("l", "r", COMPARED)])
-    shown = [F.col(f"l.{k}").alias(k) for k in group]
-    for name in SHOWN:
-        shown += [F.col(f"l.{name}").alias(sides.label(1, name)), F.col(f"r.{name}").alias(sides.label(2, name))]
+    rows = sides.tag(columns, own_only=True).where(all_present(KEYS)).select("side", *group, *COMPARED)
+    left = rows.where("side = 1").drop("side").alias("l")
+    right = rows.where("side = 2").groupBy(*group, *COMPARED).agg(F.count("*").alias("_copies")).alias("r")
     if dedupe:
-        return joined.select(*shown)
-    copies = (F.col("l._n1") * F.col("r._n2")).alias("_copies")
-    return repeat_rows(joined.select(*shown, copies), "_copies")
+        left = left.distinct()
+    same_key = F.expr(" AND ".join(f"l.{k} = r.{k}" for k in group))
+    joined = left.join(right, same_key & differs("l", "r", COMPARED))
+    shown = [f"l.{k} AS {k}" for k in group]
+    for name in SHOWN:
+        shown += [f"{of}.{name} AS `{sides.label(side, name)}`" for of, side in (("l", 1), ("r", 2))]
+    return joined.selectExpr(*shown) if dedupe else repeat_rows(joined.selectExpr(*shown, "_copies"), "_copies")

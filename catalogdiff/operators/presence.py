@@ -23,16 +23,13 @@ _LACKS_A_SIDE = "_n1 = 0 OR _n2 = 0"
 
 def _side_counts(keys: Sequence[str]) -> tuple[Column, Column]:
     """Rows of each side; a key with a NULL part matches nothing, so it counts for no side."""
-    whole = all_present(keys)
-    return (
-        F.count_if((F.col("side") == 1) & whole).alias("_n1"),
-        F.count_if((F.col("side") == 2) & whole).alias("_n2"),
-    )
+    whole = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    return F.expr(f"count_if(side = 1 AND {whole}) AS _n1"), F.expr(f"count_if(side = 2 AND {whole}) AS _n2")
 
 
 def _status(sides: Sides) -> list[Column]:
     return [
-        F.when(F.col(f"_n{side}") > 0, "Present").otherwise("Missing").alias(sides.label(side, "status"))
+        F.expr(f"CASE WHEN _n{side} > 0 THEN 'Present' ELSE 'Missing' END").alias(sides.label(side, "status"))
         for side in (1, 2)
     ]
 
@@ -42,8 +39,7 @@ def _finish(counted: DataFrame, shown: Sequence[str | Column], sides: Sides, ded
     columns = [*sides.group, *shown, *_status(sides)]
     if dedupe:
         return counted.select(*columns)
-    copies = F.greatest("_n1", "_n2", F.lit(1).cast("long")).alias("_copies")
-    return repeat_rows(counted.select(*columns, copies), "_copies")
+    return repeat_rows(counted.select(*columns, F.expr("greatest(_n1, _n2, 1L) AS _copies")), "_copies")
 
 
 def lacking(rows: DataFrame, keys: Sequence[str], sides: Sides) -> DataFrame:

@@ -21,7 +21,8 @@ def read_extracts(spark: SparkSession, folder: str, table: str, splittable: bool
     """All extracts of one table in a folder.
 
     Headers are checked against the schema, and a bad record fails the job.
-    A quoted field may hold the delimiter, a quote or a line break. Because of
+    A quoted field may hold the delimiter, a quote or a line break; only an
+    empty field is NULL. Because of
     line breaks a file is one task; ``splittable=True`` cuts big files instead,
     and fails (never misreads) on a record that goes over several lines. Staging
     spreads the rows again either way.
