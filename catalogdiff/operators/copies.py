@@ -8,6 +8,8 @@ pieces are rebalanced over the cluster, and only then are rows repeated.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 # A count is cut into blocks, and blocks into pieces, so that no array built on
@@ -16,21 +18,23 @@ BLOCK = 1_000_000
 PIECE = 1_000
 
 
-def repeat_rows(df: DataFrame, copies: str, spread: bool = True) -> DataFrame:
+def repeat_rows(df: DataFrame, copies: str, spread: bool = True, order: Sequence[str] = ()) -> DataFrame:
     """Emit each row ``copies`` times (at least 1 expected) and drop the count.
 
     ``spread`` adds a rebalance of the pieces: one more exchange, of the rows
     given here only. Leave it off where counts come from data that cannot
-    repeat much and the rows are the whole table.
+    repeat much and the rows are the whole table. With ``order`` the exchange is
+    that of a sort, which cuts the pieces of one row apart as well.
     """
     kept = [f"`{c}`" for c in df.columns if c != copies]
 
-    def cut(rows: DataFrame, width: int) -> DataFrame:
-        """Split each row into rows of at most ``width`` copies, keeping the total."""
-        rows = rows.selectExpr("*", f"explode(sequence(0, int((`{copies}` - 1) div {width}))) AS _cut")
-        return rows.selectExpr(*kept, f"least({width}L, `{copies}` - _cut * {width}L) AS `{copies}`")
+    def cut(rows: DataFrame, width: int, number: str, *numbers: str) -> DataFrame:
+        """Split each row into numbered rows of at most ``width`` copies, keeping the total."""
+        rows = rows.selectExpr("*", f"explode(sequence(0, int((`{copies}` - 1) div {width}))) AS {number}")
+        return rows.selectExpr(*kept, *numbers, number, f"least({width}L, `{copies}` - {number} * {width}L) AS `{copies}`")
 
-    pieces = cut(df, BLOCK)
-    if spread:
-        pieces = cut(pieces, PIECE).hint("rebalance")
+    pieces = cut(df, BLOCK, "_block")
+    if spread or order:
+        pieces = cut(pieces, PIECE, "_piece", "_block")
+        pieces = pieces.orderBy(*order, "_block", "_piece") if order else pieces.hint("rebalance")
     return pieces.selectExpr(*kept, f"explode(sequence(1, int(`{copies}`))) AS _one").selectExpr(*kept)

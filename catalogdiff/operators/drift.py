@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ COMPARED = ("data_type", "data_length", "data_precision", "data_scale", "nullabl
 SHOWN = ("data_type", "data_length", "data_precision", "nullable")
 
 
-def column_drift(columns: DataFrame, sides: Sides, dedupe: bool = False) -> DataFrame:
+def column_drift(
+    columns: DataFrame, sides: Sides, dedupe: bool = False, order: Sequence[str] = ()
+) -> DataFrame:
     """Join the two sides on the column's key where a compared attribute differs.
 
     Equal rows of side 2 are counted before the join, so a column staged many
@@ -27,10 +31,13 @@ def column_drift(columns: DataFrame, sides: Sides, dedupe: bool = False) -> Data
     left = rows.where("side = 1").drop("side").alias("l")
     right = rows.where("side = 2").groupBy(*group, *COMPARED).agg(F.count("*").alias("_copies")).alias("r")
     if dedupe:
-        left = left.distinct()
+        left = left.distinct().alias("l")
     same_key = F.expr(" AND ".join(f"l.{k} = r.{k}" for k in group))
     joined = left.join(right, same_key & differs("l", "r", COMPARED))
     shown = [f"l.{k} AS {k}" for k in group]
     for name in SHOWN:
         shown += [f"{of}.{name} AS `{sides.label(side, name)}`" for of, side in (("l", 1), ("r", 2))]
-    return joined.selectExpr(*shown) if dedupe else repeat_rows(joined.selectExpr(*shown, "_copies"), "_copies")
+    if dedupe:
+        found = joined.selectExpr(*shown).distinct()
+        return found.orderBy(*order) if order else found
+    return repeat_rows(joined.selectExpr(*shown, "_copies"), "_copies", order=order)

@@ -34,12 +34,16 @@ def _status(sides: Sides) -> list[Column]:
     ]
 
 
-def _finish(counted: DataFrame, shown: Sequence[str | Column], sides: Sides, dedupe: bool) -> DataFrame:
+def _finish(
+    counted: DataFrame, shown: Sequence[str], sides: Sides, dedupe: bool, order: Sequence[str]
+) -> DataFrame:
     """Statuses, and each row as often as the side that has it holds it."""
     columns = [*sides.group, *shown, *_status(sides)]
     if dedupe:
-        return counted.select(*columns)
-    return repeat_rows(counted.select(*columns, F.expr("greatest(_n1, _n2, 1L) AS _copies")), "_copies")
+        found = counted.select(*columns)
+        return found.orderBy(*order) if order else found
+    found = counted.select(*columns, F.expr("greatest(_n1, _n2, 1L) AS _copies"))
+    return repeat_rows(found, "_copies", order=order)
 
 
 def lacking(rows: DataFrame, keys: Sequence[str], sides: Sides) -> DataFrame:
@@ -55,6 +59,7 @@ def presence_diff(
     dedupe: bool = False,
     unless: DataFrame | None = None,
     unless_on: Sequence[tuple[str, str]] = (),
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Keys missing on a side, with a status per side.
 
@@ -62,11 +67,17 @@ def presence_diff(
     ``unless_on`` (and the same pair); a NULL matches nothing.
     """
     found = _without(lacking(rows, keys, sides), unless, unless_on, sides.group)
-    return _finish(found, keys, sides, dedupe)
+    return _finish(found, keys, sides, dedupe, order)
 
 
 def presence_diff_by_variant(
-    rows: DataFrame, keys: Sequence[str], variant: str, keep: Column, sides: Sides, dedupe: bool = False
+    rows: DataFrame,
+    keys: Sequence[str],
+    variant: str,
+    keep: Column,
+    sides: Sides,
+    dedupe: bool = False,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Presence diff on ``keys`` that lists a finding once per distinct ``variant`` kept.
 
@@ -76,7 +87,7 @@ def presence_diff_by_variant(
     counted = sides.tag(rows).groupBy(*sides.group, *keys, variant).agg(*_side_counts(keys))
     per_key = Window.partitionBy(*sides.group, *keys)
     counted = counted.withColumns({n: F.sum(n).over(per_key) for n in ("_n1", "_n2")})
-    return _finish(counted.where(_LACKS_A_SIDE).where(keep), keys, sides, dedupe)
+    return _finish(counted.where(_LACKS_A_SIDE).where(keep), keys, sides, dedupe, order)
 
 
 def mapped_lacking(
@@ -102,12 +113,13 @@ def mapped_presence_diff(
     dedupe: bool = False,
     unless: DataFrame | None = None,
     unless_on: Sequence[tuple[str, str]] = (),
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Presence diff between owner 1 of side 1 and owner 2 of side 2."""
     found = mapped_lacking(rows, keys, sides, owner_maps)
     maps = map_columns(owner_maps)
     found = _without(found, unless, unless_on, [*sides.group, *maps])
-    return _finish(found, [*maps, "owner", *keys], sides, dedupe)
+    return _finish(found, [*maps, "owner", *keys], sides, dedupe, order)
 
 
 def _without(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -24,10 +25,12 @@ class Report:
     ):
         self.comparison = comparison
         self.sections = dict(sections)
-        self.results = {title: s.build(comparison) for title, s in sections.items()}
-        if ordered:
-            for title, s in sections.items():
-                self.results[title] = self.results[title].orderBy(*comparison.sides.group, *s.order)
+        self.results = {}
+        for title, s in sections.items():
+            # Only sections of pairs have a pair to sort by first; an unsorted section stays so.
+            group = comparison.sides.group if s.values else ()
+            order = (*group, *s.order) if ordered and s.order else ()
+            self.results[title] = s.build(replace(comparison, order=order))
         for title, text in custom.items():
             self.results[title] = custom_section(text, comparison)
 

@@ -40,6 +40,15 @@ class Comparison:
     owners: Sequence[str] | None = None
     owner_maps: Sequence[tuple[str, str]] | None = None
     dedupe: bool = False
+    order: Sequence[str] = ()
+
+    @property
+    def result(self) -> dict:
+        """How results that repeat rows are finished."""
+        return {"dedupe": self.dedupe, "order": self.order}
+
+    def sorted(self, df: DataFrame) -> DataFrame:
+        return df.orderBy(*self.order) if self.order else df
 
     def rows(self, table: str, known: bool = False) -> DataFrame:
         """Rows of a table for the owners compared; ``known`` keeps listed instances only.
@@ -52,19 +61,19 @@ class Comparison:
 
 
 def instance_list(c: Comparison) -> DataFrame:
-    return instances(c.staging["instances"])
+    return c.sorted(instances(c.staging["instances"]))
 
 
 def object_counts(c: Comparison) -> DataFrame:
-    return count_diff(c.rows("dbobjectnames"), ("owner", "object_type"), c.sides)
+    return c.sorted(count_diff(c.rows("dbobjectnames"), ("owner", "object_type"), c.sides))
 
 
 def object_counts_mismatch(c: Comparison) -> DataFrame:
-    return count_diff(c.rows("dbobjectnames"), ("owner", "object_type"), c.sides, mismatch=True)
+    return c.sorted(count_diff(c.rows("dbobjectnames"), ("owner", "object_type"), c.sides, mismatch=True))
 
 
 def missing_objects(c: Comparison) -> DataFrame:
-    return presence_diff(c.rows("dbobjectnames"), OBJECT, c.sides, c.dedupe)
+    return presence_diff(c.rows("dbobjectnames"), OBJECT, c.sides, **c.result)
 
 
 def missing_columns(c: Comparison) -> DataFrame:
@@ -77,7 +86,7 @@ def missing_columns(c: Comparison) -> DataFrame:
         c.rows("columns", known=True),
         COLUMN,
         c.sides,
-        c.dedupe,
+        **c.result,
         unless=lacking(objects, OBJECT, c.sides),
         unless_on=[("owner", "owner"), ("table_name", "object_name")],
     )
@@ -86,29 +95,29 @@ def missing_columns(c: Comparison) -> DataFrame:
 def missing_indexes(c: Comparison) -> DataFrame:
     """Missing indexes, once per staged type of the index; LOB and untyped ones left out."""
     shown = F.col("index_type") != "LOB"
-    return presence_diff_by_variant(c.rows("indexes", known=True), INDEX, "index_type", shown, c.sides, c.dedupe)
+    return presence_diff_by_variant(c.rows("indexes", known=True), INDEX, "index_type", shown, c.sides, **c.result)
 
 
 def missing_routines(c: Comparison) -> DataFrame:
-    return presence_diff(c.rows("sourcecodedetailed", known=True), ROUTINE, c.sides, c.dedupe)
+    return presence_diff(c.rows("sourcecodedetailed", known=True), ROUTINE, c.sides, **c.result)
 
 
 def column_type_mismatch(c: Comparison) -> DataFrame:
-    return drift.column_drift(c.rows("columns"), c.sides, c.dedupe)
+    return drift.column_drift(c.rows("columns"), c.sides, **c.result)
 
 
 def line_count_mismatch(c: Comparison) -> DataFrame:
-    return line_diff(c.rows("sourcecode"), ("owner", "type"), "sum_nr_lines", c.sides)
+    return c.sorted(line_diff(c.rows("sourcecode"), ("owner", "type"), "sum_nr_lines", c.sides))
 
 
 def line_count_mismatch_detailed(c: Comparison) -> DataFrame:
-    return line_diff(c.rows("sourcecodedetailed"), ROUTINE, "nr_lines", c.sides)
+    return c.sorted(line_diff(c.rows("sourcecodedetailed"), ROUTINE, "nr_lines", c.sides))
 
 
 def _grants(c: Comparison, table: str, keys: Sequence[str]) -> DataFrame:
     """Grants have no owner, so the owner filter does not apply."""
     rows = known_instances(c.staging[table], c.staging["instances"])
-    return presence_diff(rows, keys, c.sides, c.dedupe)
+    return presence_diff(rows, keys, c.sides, **c.result)
 
 
 def missing_role_grants(c: Comparison) -> DataFrame:
@@ -120,11 +129,11 @@ def missing_sys_privs(c: Comparison) -> DataFrame:
 
 
 def mapped_object_counts(c: Comparison) -> DataFrame:
-    return mapped_count_diff(c.staging["dbobjectnames"], "object_type", c.sides, c.owner_maps)
+    return c.sorted(mapped_count_diff(c.staging["dbobjectnames"], "object_type", c.sides, c.owner_maps))
 
 
 def mapped_missing_objects(c: Comparison) -> DataFrame:
-    return mapped_presence_diff(c.staging["dbobjectnames"], OBJECT[1:], c.sides, c.owner_maps, c.dedupe)
+    return mapped_presence_diff(c.staging["dbobjectnames"], OBJECT[1:], c.sides, c.owner_maps, **c.result)
 
 
 def mapped_missing_columns(c: Comparison) -> DataFrame:
@@ -134,7 +143,7 @@ def mapped_missing_columns(c: Comparison) -> DataFrame:
         COLUMN[1:],
         c.sides,
         c.owner_maps,
-        c.dedupe,
+        **c.result,
         unless=mapped_lacking(objects, OBJECT[1:], c.sides, c.owner_maps),
         unless_on=[("owner", "owner"), ("table_name", "object_name")],
     )
@@ -142,7 +151,7 @@ def mapped_missing_columns(c: Comparison) -> DataFrame:
 
 def mapped_missing_routines(c: Comparison) -> DataFrame:
     rows = known_instances(c.staging["sourcecodedetailed"], c.staging["instances"])
-    return mapped_presence_diff(rows, ROUTINE[1:], c.sides, c.owner_maps, c.dedupe)
+    return mapped_presence_diff(rows, ROUTINE[1:], c.sides, c.owner_maps, **c.result)
 
 
 @dataclass(frozen=True)

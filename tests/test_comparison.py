@@ -97,14 +97,24 @@ def test_present_side_repeats_and_dedupe_collapses(spark):
     assert presence_diff(rows, OBJECT, SIDES, dedupe=True).count() == 1
 
 
-@pytest.mark.parametrize("spread", [True, False])
-def test_repeat_rows_keeps_every_copy(spark, spread):
+@pytest.mark.parametrize("spread,order", [(True, ()), (False, ()), (True, ("id",))])
+def test_repeat_rows_keeps_every_copy(spark, spread, order):
     counts = [1, 2, 999, 1000, 1001, 2500, 1_000_000, 1_000_001]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(counts)], "id int, n bigint")
-    got = {r["id"]: r["count"] for r in repeat_rows(df, "n", spread).groupBy("id").count().collect()}
+    got = {r["id"]: r["count"] for r in repeat_rows(df, "n", spread, order).groupBy("id").count().collect()}
     assert got == dict(enumerate(counts))
 
 
+def test_copies_of_one_row_are_cut_apart_by_a_sort(spark):
+    df = spark.createDataFrame([("hot", 3_000_000), ("z", 1)], "id string, n bigint")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = repeat_rows(df, "n", order=("id",)).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r["count"] for r in sizes) == 3_000_001 and len(sizes) > 2
+
+
 def test_hot_key_is_counted_not_collected(spark):
     """One key holds most rows of one side; its findings come back whole."""
     hot = spark.range(300_000).select(F.lit("a").alias("pkey"), F.lit("S").alias("owner"),

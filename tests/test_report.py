@@ -64,6 +64,20 @@ def test_ordered_sections(staging):
     assert keys == sorted(keys)
 
 
+@pytest.mark.parametrize("dedupe", [True, False])
+def test_ordered_results_hold_the_same_rows(staging, dedupe):
+    for title in SECTIONS:
+        plain = compare(staging, sections=[title], dedupe=dedupe)[title]
+        assert bag(compare(staging, sections=[title], dedupe=dedupe, ordered=True)[title]) == bag(plain)
+
+
+def test_many_pairs_sort_by_pair_first(staging):
+    report = compare(staging, pairs=[(SRC, TGT), (TGT, SRC)], sections=["Instances", "Missing PLSQL"], ordered=True)
+    pairs = [r["pair_id"] for r in report["Missing PLSQL"].collect()]
+    assert pairs == sorted(pairs) and len(set(pairs)) == 2
+    assert report["Instances"].count() == 3
+
+
 def test_custom_sections_run_with_the_report(staging):
     text = "SELECT owner, :instance_1_id AS one FROM IDENTIFIER(:dbobjectnames) WHERE :all_owners AND pkey = :instance_1_id"
     report = compare(staging, sections=["Instances"], custom={"Mine": text})
