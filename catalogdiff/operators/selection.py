@@ -123,10 +123,12 @@ class InstancePairs:
     its own keys only. ``rows`` is the size of ``pairs``; it decides whether
     the pairs are broadcast. Past the bound the join is a plain one, and
     adaptive execution splits an instance that holds much of the table.
+    ``known`` ids, where they are few, prune the scan.
     """
 
     pairs: DataFrame
     rows: int
+    known: tuple[str, ...] | None = None
 
     group: tuple[str, ...] = ("pair_id",)
 
@@ -135,7 +137,8 @@ class InstancePairs:
         if not isinstance(pairs, DataFrame):
             listed = [(f"{a}|{b}", a, b) for a, b in pairs]
             pairs = spark.createDataFrame(listed, "pair_id string, pkey_1 string, pkey_2 string")
-            return cls(pairs, len(listed))
+            ids = tuple(dict.fromkeys(i for _, *ends in listed for i in ends))
+            return cls(pairs, len(listed), ids if len(ids) <= MAX_IN_LIST else None)
         # Counts no further than the bound.
         return cls(pairs, pairs.limit(MAX_HINTED_ROWS + 1).count())
 
@@ -144,6 +147,8 @@ class InstancePairs:
             F.struct(F.col("pkey_1").alias("pkey"), F.lit(1).alias("side")),
             F.struct(F.col("pkey_2").alias("pkey"), F.lit(2).alias("side")),
         )
+        if self.known is not None:
+            rows = rows.where(F.col("pkey").isin(*self.known))
         sides = self.pairs.where("pkey_1 <> pkey_2").select("pair_id", F.inline(ends))
         return rows.join(hinted(sides, self.rows), "pkey")
 

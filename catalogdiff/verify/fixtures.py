@@ -115,6 +115,9 @@ SELECT pkey, con_id FROM fx_dbobjectnames
 """,
     "fx_fleet_instances": """
 SELECT CASE WHEN c_custkey % 2 = 0 THEN 'oracle_' ELSE 'postgres' END || c_name AS pkey, 1 AS con_id FROM orders JOIN customer ON o_custkey = c_custkey
+""",
+    "fx_three_sources": """
+SELECT pkey, owner, name, type FROM fx_sourcecodedetailed UNION ALL SELECT 'zz_third', owner, 'ONLY3_' || name, type FROM fx_sourcecodedetailed
 """,
     "fx_mapped_names": """
 SELECT pkey, REPLACE(owner,'SCH_',CASE WHEN pkey='oracle_src' THEN 'SRC_' ELSE 'TGT_' END) AS owner, CASE WHEN k % 11 = 0 THEN NULL ELSE object_name END AS object_name, object_type

@@ -277,6 +277,13 @@ def compare_modes(mode: str) -> str:
     return f"{ctes(*PG_RAW, *ORA_RAW)}, both_sides AS ({both}) {found}"
 
 
+def supplied_grants(table: str, grant: str) -> str:
+    return (
+        f"SELECT pkey, 1 AS con_id, CAST(grantee AS VARCHAR) AS grantee, {grant},"
+        f" 'Oracle' AS dma_source_id, CAST(NULL AS VARCHAR) AS dma_manual_id FROM {table}"
+    )
+
+
 STAGED_SQL = {
     "Instances": "SELECT DISTINCT pkey AS instance_id FROM fx_instances",
     "Mismatched Object Counts": counts(mismatch=True),
@@ -364,10 +371,15 @@ ORACLES: dict[str, str] = {
     "objects_missing_own_universe": over(
         "fx_dbobjectnames", absent("fx_dbobjectnames", OBJECT, universe=f"pkey IN ('{SRC}', '{TGT}')")
     ),
+    "objects_missing_picked_instances": section("Missing Objects"),
     "columns_missing": section("Missing Columns"),
     "columns_missing_owner_filter": over(ALL_STAGED, missing_columns(OWNERS)),
     "indexes_missing": section("Missing Indexes"),
     "routines_missing": section("Missing PLSQL"),
+    "routines_missing_listed_instances": over(
+        ["fx_three_sources", "fx_roleprivs"],
+        absent("fx_three_sources", ROUTINE, universe="pkey IN (SELECT pkey FROM fx_roleprivs)"),
+    ),
     "column_type_mismatch": section("Column Type Mismatches"),
     "line_count_mismatch": section("Mismatched Line Counts (PL/SQL)"),
     "line_count_mismatch_detailed": section("Mismatched Line Counts per Object (PL/SQL)"),
@@ -455,6 +467,8 @@ ORACLES: dict[str, str] = {
         " CAST(NULL AS VARCHAR) AS uniqueness, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS INT) AS num_rows,"
         " 'Oracle' AS dma_source_id, CAST(NULL AS VARCHAR) AS dma_manual_id FROM fx_indexes",
     ),
+    "supplied_roleprivs": over("fx_roleprivs", supplied_grants("fx_roleprivs", "granted_role")),
+    "supplied_sysprivs": over("fx_sysprivs", supplied_grants("fx_sysprivs", "privilege")),
     **{f"compare_{m}": compare_modes(m) for m in ("oracle_to_postgres", "oracle_to_oracle", "postgres_to_postgres")},
     "instance_rank": over(
         "fx_fleet_instances",
@@ -473,6 +487,7 @@ ORACLES: dict[str, str] = {
         f" WHERE pkey = '{SRC}' AND owner IN ({text_list(OWNERS)}) GROUP BY owner, object_type",
     ),
     "findings": over(ALL_STAGED, findings(SECTIONS, STAGED_SQL)),
+    "findings_written": over(ALL_STAGED, findings(SECTIONS, {t: q for t, q in STAGED_SQL.items() if SECTIONS[t].default})),
     "section_summary": over(ALL_STAGED, summary()),
     "mapped_findings": over(ALL_MAPPED, findings(MAPPED_SECTIONS, MAPPED_SQL)),
 }

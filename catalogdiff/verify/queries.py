@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from catalogdiff import operators as op
 from catalogdiff.functions import host_to_instance_id
-from catalogdiff.plans import MAPPED_SECTIONS, SECTIONS, compare, custom_section
+from catalogdiff.plans import MAPPED_SECTIONS, SECTIONS, compare, custom_section, write_findings
 from catalogdiff.plans.report import Report
 from catalogdiff.sources import Staging, import_extracts, read_staged, write_extract
 from catalogdiff.verify.fixtures import SRC, TGT, THIRD, views
@@ -71,6 +71,18 @@ def report(spark: SparkSession, sf_dir: str, mapped: bool = False, **options) ->
     return compare(staging, **options)
 
 
+def objects_missing_picked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instances are the first two staged ones, not named."""
+    staging = frames(spark, sf_dir, {**STAGED_VIEWS, "instances": "fx_staged_instances"})
+    return compare(Staging(staging), sections=["Missing Objects"])["Missing Objects"]
+
+
+def routines_missing_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routines of instances that have grants only: the third instance is not listed."""
+    staging = frames(spark, sf_dir, {"instances": "fx_roleprivs", "sourcecodedetailed": "fx_three_sources"})
+    return compare(Staging(staging), instances=(SRC, TGT), sections=["Missing PLSQL"])["Missing PLSQL"]
+
+
 def section(title: str, mapped: bool = False, **options) -> Query:
     if mapped:
         options.setdefault("owner_maps", OWNER_MAP)
@@ -155,6 +167,14 @@ def extract_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_staged(spark, f"{folder}/staging", "columns").drop("dma_source_id", "dma_manual_id")
 
 
+def findings_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the default sections, written by section and read back."""
+    folder = shared_folder(spark)
+    write_findings(report(spark, sf_dir), folder)
+    columns = ("pair_id", "section", "key", "value_1", "value_2")
+    return readable(spark.read.parquet(f"{folder}/findings").select(*columns))
+
+
 CUSTOM_TEXT = """
 SELECT t.owner, t.data_type,
        count_if(t.pkey = :instance_1_id) AS columns_1, count_if(t.pkey = :instance_2_id) AS columns_2
@@ -199,10 +219,12 @@ QUERIES: dict[str, Query] = {
     "objects_missing_owner_filter": section("Missing Objects", owners=OWNERS),
     "objects_missing_deduped": section("Missing Objects", dedupe=True),
     "objects_missing_own_universe": section("Missing Objects", universe="pair"),
+    "objects_missing_picked_instances": objects_missing_picked,
     "columns_missing": section("Missing Columns"),
     "columns_missing_owner_filter": section("Missing Columns", owners=OWNERS),
     "indexes_missing": section("Missing Indexes"),
     "routines_missing": section("Missing PLSQL"),
+    "routines_missing_listed_instances": routines_missing_listed,
     "column_type_mismatch": section("Column Type Mismatches"),
     "line_count_mismatch": section("Mismatched Line Counts (PL/SQL)"),
     "line_count_mismatch_detailed": section("Mismatched Line Counts per Object (PL/SQL)"),
@@ -245,6 +267,8 @@ QUERIES: dict[str, Query] = {
     "ora_triggers": ora(op.ora_triggers),
     "sourcecode_rollup": view("fx_sourcecodedetailed", op.sourcecode_rollup),
     "supplied_indexes": view("fx_indexes", lambda rows: op.supplied(rows, "indexes", source="Oracle")),
+    "supplied_roleprivs": view("fx_roleprivs", lambda rows: op.supplied(rows, "roleprivs", source="Oracle")),
+    "supplied_sysprivs": view("fx_sysprivs", lambda rows: op.supplied(rows, "sysprivs", source="Oracle")),
     # End to end from raw catalogs, by mode.
     "compare_oracle_to_postgres": compare_modes("oracle_to_postgres"),
     "compare_oracle_to_oracle": compare_modes("oracle_to_oracle"),
@@ -256,6 +280,7 @@ QUERIES: dict[str, Query] = {
     "custom_section": custom(CUSTOM_TEXT),
     "custom_template": custom(CUSTOM_TEMPLATE),
     "findings": lambda spark, sf_dir: readable(all_sections(spark, sf_dir).findings()),
+    "findings_written": findings_written,
     "section_summary": lambda spark, sf_dir: all_sections(spark, sf_dir).summary(),
     "mapped_findings": mapped_findings,
 }

@@ -57,6 +57,14 @@ def test_pairs_are_hinted_only_up_to_the_bound(spark, monkeypatch):
     assert not hint()
 
 
+def test_listed_pairs_prune_the_scan(spark, tmp_path):
+    rows = spark.createDataFrame([(p, 1) for p in "abc"], "pkey string, n int")
+    rows.write.partitionBy("pkey").parquet(str(tmp_path / "t"))
+    tagged = InstancePairs.of(spark, [("a", "b")]).tag(spark.read.parquet(str(tmp_path / "t")))
+    assert "PartitionFilters: [pkey#" in tagged._jdf.queryExecution().executedPlan().toString()
+    assert tagged.count() == 2
+
+
 def test_pairs_from_a_dataframe(spark):
     pairs = spark.createDataFrame([(1, "a", "b"), (2, "b", "b")], "pair_id int, pkey_1 string, pkey_2 string")
     tagged = InstancePairs.of(spark, pairs).tag(ids(spark, "a", "b", "c"))
