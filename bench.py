@@ -1,8 +1,8 @@
 """Time the headline operators over staged snapshots; prints one JSON line.
 
 Snapshots and raw catalogs are materialised as parquet first (that time is not
-counted), results go to the ``noop`` sink, and a query's time is the median of
-its runs after one warm-up. ``join_form`` times the same comparisons written
+counted), results go to the ``noop`` sink, and a query's time, planning
+included, is the median of its runs after warm-up rounds. ``join_form`` times the same comparisons written
 with one join per side, over the same files.
 """
 
@@ -25,6 +25,8 @@ from catalogdiff import operators as op  # noqa: E402
 from catalogdiff.verify import oracles  # noqa: E402
 from catalogdiff.verify.queries import ORA_VIEWS, PG_VIEWS, SRC, STAGED_VIEWS, TGT, frames  # noqa: E402
 
+WARM_UPS = 3
+
 SECTIONS = {
     "object_counts": "All Object Counts",
     "objects_missing": "Missing Objects",
@@ -49,13 +51,16 @@ def session(cpus: str) -> SparkSession:
     return spark
 
 
-def median_seconds(build: Callable[[], DataFrame], runs: int) -> float:
-    seconds = []
-    for _ in range(runs + 1):
-        start = time.perf_counter()
-        build().write.format("noop").mode("overwrite").save()
-        seconds.append(time.perf_counter() - start)
-    return round(statistics.median(seconds[1:]), 3)
+def seconds(build: Callable[[], DataFrame]) -> float:
+    start = time.perf_counter()
+    build().write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - start
+
+
+def medians(builds: list[Callable[[], DataFrame]], runs: int) -> list[float]:
+    """Median time of each build; builds take turns, so that none runs on a colder JVM."""
+    rounds = [[seconds(build) for build in builds] for _ in range(WARM_UPS + runs)]
+    return [round(statistics.median(times), 3) for times in zip(*rounds[WARM_UPS:], strict=True)]
 
 
 def main() -> None:
@@ -84,11 +89,13 @@ def main() -> None:
     }
     timed["pg_objects"] = lambda: op.pg_objects(raw["postgres"], TGT)
     timed["ora_source_lines"] = lambda: op.ora_source_lines(raw["oracle"], SRC)
-    queries = {key: median_seconds(build, runs) for key, build in timed.items()}
-    joins = {
-        key: median_seconds(lambda title=title: spark.sql(oracles.STAGED_SQL[title]), runs)
-        for key, title in SECTIONS.items()
-    }
+    queries, joins = {}, {}
+    for key, build in timed.items():
+        if key in SECTIONS:
+            join = lambda title=SECTIONS[key]: spark.sql(oracles.STAGED_SQL[title])
+            queries[key], joins[key] = medians([build, join], runs)
+        else:
+            (queries[key],) = medians([build], runs)
     print(
         json.dumps(
             {
