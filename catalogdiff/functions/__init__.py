@@ -4,13 +4,15 @@ from catalogdiff.functions.names import (
     parse_owner_map,
     regclass_text,
 )
-from catalogdiff.functions.text import all_present, differs, line_count, shown
+from catalogdiff.functions.text import all_present, differs, line_count, listed, literal, shown
 
 __all__ = [
     "all_present",
     "differs",
     "host_to_instance_id",
     "line_count",
+    "listed",
+    "literal",
     "parse_owner_list",
     "parse_owner_map",
     "regclass_text",

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from catalogdiff.functions.text import listed
+
 # Prefix of an instance id by dialect.
 INSTANCE_PREFIX = {"oracle": "oracle_", "postgres": "postgres"}
 
@@ -53,12 +55,12 @@ def parse_owner_map(text: str | None) -> list[tuple[str, str]] | None:
     return maps
 
 
-def _quoted(name: Column) -> Column:
-    plain = name.rlike("^[a-z_][a-z0-9_]*$") & ~name.isin(QUOTED_WORDS)
-    return F.when(plain, name).otherwise(F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"')))
+def _quoted(name: str) -> str:
+    plain = f"{name} RLIKE '^[a-z_][a-z0-9_]*$' AND {name} NOT IN ({listed(QUOTED_WORDS)})"
+    return f"""CASE WHEN {plain} THEN {name} ELSE concat('"', replace({name}, '"', '""'), '"') END"""
 
 
-def regclass_text(schema: Column, name: Column, search_path: Sequence[str]) -> Column:
+def regclass_text(schema: str, name: str, search_path: Sequence[str]) -> str:
     """What Postgres prints for a relation: qualified unless its schema is on the search path."""
-    on_path = schema.isin(["pg_catalog", *search_path])
-    return F.when(on_path, _quoted(name)).otherwise(F.concat(_quoted(schema), F.lit("."), _quoted(name)))
+    on_path = f"{schema} IN ({listed(['pg_catalog', *search_path])})"
+    return f"CASE WHEN {on_path} THEN {_quoted(name)} ELSE concat({_quoted(schema)}, '.', {_quoted(name)}) END"

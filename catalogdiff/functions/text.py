@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,11 +18,23 @@ def differs(left: str, right: str, names: Sequence[str]) -> Column:
     return F.expr(" OR ".join(f"{left}.{n} <> {right}.{n}" for n in names))
 
 
-def line_count(text: Column) -> Column:
-    """Pieces of ``text`` between newlines: a trailing newline counts one more, NULL is 0."""
-    # Lengths, not a split or a match list: neither builds an array of the text's lines.
-    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    return F.coalesce(breaks + 1, F.lit(0))
+def line_count(text: str) -> str:
+    """Pieces of a text between newlines: a trailing newline counts one more, NULL is 0.
+
+    Lengths, not a split or a match list: neither builds an array of the text's lines.
+    """
+    return f"coalesce(length({text}) - length(replace({text}, '\\n', '')) + 1, 0)"
+
+
+def literal(value: str) -> str:
+    """A text as an SQL literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def listed(values: Iterable[str]) -> str:
+    """Texts as the inside of an SQL IN list."""
+    return ", ".join(map(literal, values))
 
 
 def shown(pairs: dict[str, Column]) -> Column:

@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from catalogdiff.functions import listed, literal
 from catalogdiff.operators.selection import filter_owners
 from catalogdiff.schemas import conform
 
@@ -41,17 +41,15 @@ class _Dictionary:
         if not owned:
             return rows
         if self.user is not None:
-            rows = rows.withColumn("owner", F.lit(self.user))
+            rows = rows.selectExpr("*", f"{literal(self.user)} AS owner")
         else:
-            rows = rows.where(~F.col("owner").isin(*SYSTEM_OWNERS))
+            rows = rows.where(f"owner NOT IN ({listed(SYSTEM_OWNERS)})")
         return filter_owners(rows, self.owners)
 
-    def stage(self, df: DataFrame, table: str, **constants: Column) -> DataFrame:
+    def stage(self, df: DataFrame, table: str, **columns: str) -> DataFrame:
         if self.pkey is not None:
-            constants["pkey"] = F.lit(self.pkey)
-        if "owner" in (c.lower() for c in df.columns):
-            constants["owner"] = F.upper("owner")
-        return conform(df, table, dma_source_id=F.lit("Oracle"), con_id=F.lit(1), **constants)
+            columns["pkey"] = literal(self.pkey)
+        return conform(df, table, owner="upper(owner)", dma_source_id="'Oracle'", con_id="1", **columns)
 
 
 def ora_instance(raw: Raw, pkey: str | None = None) -> DataFrame:
@@ -59,7 +57,7 @@ def ora_instance(raw: Raw, pkey: str | None = None) -> DataFrame:
     objects = raw["objects"]
     if pkey is None:
         return conform(objects.select("pkey").distinct(), "instances")
-    return conform(objects.sparkSession.range(1), "instances", pkey=F.lit(pkey))
+    return conform(objects.sparkSession.range(1), "instances", pkey=literal(pkey))
 
 
 def ora_columns(
@@ -90,24 +88,22 @@ def ora_objects(
 ) -> DataFrame:
     """Objects without LOB segments; a partition is named after its table, a partitioned table typed as one."""
     d = _Dictionary(raw, pkey, owners, scope, user)
-    partitioned = d.rows("tab_partitions", owned=False)
     match = [*d.db, "object_name"] if d.user is not None else [*d.db, "owner", "object_name"]
-    if d.user is None:
-        partitioned = partitioned.withColumn("owner", F.col("table_owner"))
+    names = [*d.db, "table_name AS object_name"] + ([] if d.user is not None else ["table_owner AS owner"])
     # Distinct tables, not partitions: a flag must not repeat rows, and a table
     # of very many partitions is one row before the exchange.
-    partitioned = partitioned.withColumn("object_name", F.col("table_name")).select(*match).distinct()
-    rows = d.rows("objects").where(~F.col("object_type").isin("LOB"))
-    rows = rows.join(partitioned.withColumn("_partitioned", F.lit(True)), match, "left")
-    name, kind = F.col("object_name"), F.col("object_type")
-    part = F.concat(name, F.lit("_"), F.coalesce("subobject_name", F.lit("")))
-    shown = (
-        F.when(kind == "TABLE PARTITION", part)
-        .when(name.like(TEXT_INDEX_NAMES), F.concat(name, F.lit(TEXT_INDEX_NOTE)))
-        .otherwise(name)
+    partitioned = d.rows("tab_partitions", owned=False).selectExpr(*names).distinct()
+    rows = d.rows("objects").where("object_type NOT IN ('LOB')")
+    rows = rows.join(partitioned.selectExpr("*", "true AS _partitioned"), match, "left")
+    return d.stage(
+        rows,
+        "dbobjectnames",
+        object_name="CASE WHEN object_type = 'TABLE PARTITION'"
+        " THEN concat(object_name, '_', coalesce(subobject_name, ''))"
+        f" WHEN object_name LIKE {literal(TEXT_INDEX_NAMES)} THEN concat(object_name, {literal(TEXT_INDEX_NOTE)})"
+        " ELSE object_name END",
+        object_type="CASE WHEN object_type = 'TABLE' AND _partitioned THEN 'PARTITIONED TABLE' ELSE object_type END",
     )
-    shown_kind = F.when((kind == "TABLE") & F.col("_partitioned"), "PARTITIONED TABLE").otherwise(kind)
-    return d.stage(rows, "dbobjectnames", object_name=shown, object_type=shown_kind)
 
 
 def ora_source_lines(
@@ -115,8 +111,8 @@ def ora_source_lines(
 ) -> DataFrame:
     """Last line number per unit: combined before the exchange, however long one unit is."""
     d = _Dictionary(raw, pkey, owners, scope, user)
-    units = d.rows("source").groupBy(*d.db, "owner", "name", "type").agg(F.max("line").alias("nr_lines"))
-    return d.stage(units, "sourcecodedetailed")
+    units = d.rows("source").groupBy(*d.db, "owner", "name", "type").agg({"line": "max"})
+    return d.stage(units, "sourcecodedetailed", nr_lines="`max(line)`")
 
 
 def ora_triggers(

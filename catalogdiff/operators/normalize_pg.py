@@ -11,10 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from catalogdiff.functions import line_count, regclass_text
+from catalogdiff.functions import line_count, listed, literal, regclass_text
 from catalogdiff.operators.copies import repeat_rows
 from catalogdiff.operators.selection import filter_owners
 from catalogdiff.schemas import conform
@@ -49,25 +48,22 @@ class _Catalog:
         self.pkey = pkey
         self.db = [] if pkey is not None else ["pkey"]
 
-    def table(self, name: str, *columns: str | Column) -> DataFrame:
-        return self.raw[name].select(*self.db, *columns)
+    def table(self, name: str, *columns: str) -> DataFrame:
+        return self.raw[name].selectExpr(*self.db, *columns)
 
     def namespaces(self, hidden: Sequence[str]) -> DataFrame:
-        names = self.table("pg_namespace", F.col("oid").alias("nsp"), "nspname")
-        return names.where(~F.col("nspname").isin(*hidden))
+        return self.table("pg_namespace", "oid AS nsp", "nspname").where(f"nspname NOT IN ({listed(hidden)})")
 
-    def stage(self, df: DataFrame, table: str, owners: Sequence[str] | None, **constants: Column) -> DataFrame:
+    def stage(self, df: DataFrame, table: str, owners: Sequence[str] | None, **columns: str) -> DataFrame:
         if self.pkey is not None:
-            constants["pkey"] = F.lit(self.pkey)
-        staged = conform(df, table, dma_source_id=F.lit("Postgres"), con_id=F.lit(1), **constants)
-        return filter_owners(staged, owners) if owners is not None else staged
+            columns["pkey"] = literal(self.pkey)
+        staged = conform(df, table, dma_source_id="'Postgres'", con_id="1", **columns)
+        return filter_owners(staged, owners)
 
 
-def _mapped(source: str, types: Mapping[str, str], otherwise: Column | None = None) -> Column:
-    col = F.lit(None).cast("string") if otherwise is None else otherwise
-    for kind, name in types.items():
-        col = F.when(F.col(source) == kind, name).otherwise(col)
-    return col
+def _typed(kind: str, types: Mapping[str, str], otherwise: str = "NULL") -> str:
+    cases = " ".join(f"WHEN {literal(k)} THEN {literal(v)}" for k, v in types.items())
+    return f"CASE {kind} {cases} ELSE {otherwise} END"
 
 
 def pg_instance(raw: Raw, pkey: str | None = None) -> DataFrame:
@@ -75,7 +71,7 @@ def pg_instance(raw: Raw, pkey: str | None = None) -> DataFrame:
     schemas = raw["pg_namespace"]
     if pkey is None:
         return conform(schemas.select("pkey").distinct(), "instances")
-    return conform(schemas.sparkSession.range(1), "instances", pkey=F.lit(pkey))
+    return conform(schemas.sparkSession.range(1), "instances", pkey=literal(pkey))
 
 
 def pg_columns(
@@ -87,82 +83,81 @@ def pg_columns(
     by name only, so a name used in n schemas repeats each column n times.
     """
     cat = _Catalog(raw, pkey)
-    relations = cat.table("pg_class", "oid", F.col("relname").alias("table_name"), F.col("relnamespace").alias("nsp"))
-    partitions = cat.table("pg_inherits", F.col("inhrelid").alias("oid"))
-    relations = relations.join(partitions, [*cat.db, "oid"], "left_anti")
-    schemas = cat.table("pg_namespace", F.col("oid").alias("nsp"), F.col("nspname").alias("table_schema"))
+    relations = cat.table("pg_class", "oid", "relname AS table_name", "relnamespace AS nsp")
+    partitions = cat.table("pg_inherits", "inhrelid AS oid")
+    schemas = cat.table("pg_namespace", "oid AS nsp", "nspname AS table_schema")
     match = [*cat.db, "table_name"] if compat else [*cat.db, "table_schema", "table_name"]
     # Counted per name first: one common table name cannot blow up the join.
-    relations = relations.join(schemas, [*cat.db, "nsp"]).groupBy(*match).agg(F.count("*").alias("_copies"))
+    relations = (
+        relations.join(partitions, [*cat.db, "oid"], "left_anti")
+        .join(schemas, [*cat.db, "nsp"])
+        .groupBy(*match)
+        .count()
+    )
     columns = raw["columns"].where(
-        ~F.col("table_schema").isin(*SYSTEM_SCHEMAS) & (F.upper("column_name") != "ROWID")
+        f"table_schema NOT IN ({listed(SYSTEM_SCHEMAS)}) AND upper(column_name) <> 'ROWID'"
     )
-    found = repeat_rows(columns.join(relations, match), "_copies", spread=False)
+    found = repeat_rows(columns.join(relations, match), "count", spread=False)
     return cat.stage(
         found,
         "columns",
         owners,
-        owner=F.upper("table_schema"),
-        table_name=F.upper("table_name"),
-        column_name=F.upper("column_name"),
-        data_type=F.upper("data_type"),
-        data_length=F.col("character_maximum_length"),
-        data_precision=F.col("numeric_precision"),
-        data_scale=F.col("numeric_scale"),
-        nullable=F.col("is_nullable"),
+        owner="upper(table_schema)",
+        table_name="upper(table_name)",
+        column_name="upper(column_name)",
+        data_type="upper(data_type)",
+        data_length="character_maximum_length",
+        data_precision="numeric_precision",
+        data_scale="numeric_scale",
+        nullable="is_nullable",
     )
 
 
 def pg_views(raw: Raw, pkey: str | None = None) -> DataFrame:
     """Views outside the system schemas; never filtered by owner."""
     cat = _Catalog(raw, pkey)
-    found = raw["views"].where(~F.col("table_schema").isin(*SYSTEM_SCHEMAS))
-    return cat.stage(found, "views", None, owner=F.upper("table_schema"), view_name=F.upper("table_name"))
+    found = raw["views"].where(f"table_schema NOT IN ({listed(SYSTEM_SCHEMAS)})")
+    return cat.stage(found, "views", None, owner="upper(table_schema)", view_name="upper(table_name)")
 
 
 def _relations(cat: _Catalog) -> DataFrame:
     # Parents are counted per child: the join then meets one row per child, and
     # a child of several parents still repeats.
-    parents = cat.table("pg_inherits", F.col("inhrelid").alias("oid"))
-    parents = parents.groupBy(*cat.db, "oid").agg(F.count("*").alias("_parents"))
+    parents = cat.table("pg_inherits", "inhrelid AS oid").groupBy(*cat.db, "oid").count()
     relations = (
-        cat.table("pg_class", "oid", "relname", F.col("relnamespace").alias("nsp"), "relkind")
-        .where(F.col("relkind").isin(*RELATION_KINDS))
+        cat.table("pg_class", "oid", "relname AS name", "relnamespace AS nsp", "relkind")
+        .where(f"relkind IN ({listed(RELATION_KINDS)})")
         .join(cat.namespaces(RELATION_SYSTEM_SCHEMAS), [*cat.db, "nsp"])
         .join(parents, [*cat.db, "oid"], "left")
     )
-    child = F.col("_parents").isNotNull()
-    object_type = (
-        F.when((F.col("relkind") == "r") & child, "TABLE PARTITION")
-        .when(F.col("relkind").isin("i", "I") & ~child, "INDEX")
-        .otherwise(_mapped("relkind", KIND_TYPES, F.col("relkind")))
-    )
-    copies = F.coalesce("_parents", F.lit(1).cast("long"))
-    relations = relations.select(
-        *cat.db, "nspname", F.col("relname").alias("name"), object_type.alias("object_type"), copies.alias("_copies")
+    relations = relations.selectExpr(
+        *cat.db,
+        "nspname",
+        "name",
+        "CASE WHEN relkind = 'r' AND count IS NOT NULL THEN 'TABLE PARTITION'"
+        " WHEN relkind IN ('i', 'I') AND count IS NULL THEN 'INDEX'"
+        f" ELSE {_typed('relkind', KIND_TYPES, 'relkind')} END AS object_type",
+        "coalesce(count, 1L) AS _copies",
     )
     return repeat_rows(relations, "_copies", spread=False)
 
 
-def _routines(cat: _Catalog, *extra: Column) -> DataFrame:
+def _routines(cat: _Catalog, *extra: str) -> DataFrame:
     """Routines of the one collected language. ``extra`` is computed in the scan, before any join."""
-    language = cat.table("pg_language", F.col("oid").alias("prolang"), "lanname")
-    language = language.where(F.col("lanname") == ROUTINE_LANGUAGE).drop("lanname")
-    routines = cat.table(
-        "pg_proc", F.col("pronamespace").alias("nsp"), F.col("proname").alias("name"), "prokind", "prolang", *extra
-    )
-    return (
-        routines.join(language, [*cat.db, "prolang"], "left_semi")
-        .join(cat.namespaces(SYSTEM_SCHEMAS), [*cat.db, "nsp"])
-        .withColumn("object_type", _mapped("prokind", ROUTINE_TYPES))
+    language = cat.table("pg_language", "oid AS prolang", "lanname")
+    language = language.where(f"lanname = {literal(ROUTINE_LANGUAGE)}").drop("lanname")
+    kind = f"{_typed('prokind', ROUTINE_TYPES)} AS object_type"
+    routines = cat.table("pg_proc", "pronamespace AS nsp", "proname AS name", kind, "prolang", *extra)
+    return routines.join(language, [*cat.db, "prolang"], "left_semi").join(
+        cat.namespaces(SYSTEM_SCHEMAS), [*cat.db, "nsp"]
     )
 
 
 def _triggers(cat: _Catalog) -> DataFrame:
-    triggers = cat.table("pg_trigger", F.col("tgrelid").alias("oid"), "tgname", "tgisinternal", "tgenabled")
-    relations = cat.table("pg_class", "oid", "relname", F.col("relnamespace").alias("nsp"))
+    relations = cat.table("pg_class", "oid", "relname", "relnamespace AS nsp")
     return (
-        triggers.where(~F.col("tgisinternal"))
+        cat.table("pg_trigger", "tgrelid AS oid", "tgname AS name", "tgisinternal", "tgenabled")
+        .where("NOT tgisinternal")
         .join(relations, [*cat.db, "oid"])
         .join(cat.namespaces(TRIGGER_SYSTEM_SCHEMAS), [*cat.db, "nsp"])
     )
@@ -175,20 +170,22 @@ def pg_objects(raw: Raw, pkey: str | None = None, owners: Sequence[str] | None =
     nor function (their type is NULL, which is not unequal to ``i``).
     """
     cat = _Catalog(raw, pkey)
-    columns = [*cat.db, "nspname", "name", "object_type"]
-    triggers = _triggers(cat).select(*cat.db, "nspname", F.col("tgname").alias("name"), F.lit("TRIGGER").alias("object_type"))
-    found = _relations(cat).unionByName(_routines(cat).select(*columns)).unionByName(triggers)
-    name = F.upper("name")
-    found = found.where((F.col("object_type") != "i") & ~name.like("%_ROWID%"))
-    return cat.stage(found, "dbobjectnames", owners, owner=F.upper("nspname"), object_name=name)
+    columns = [*cat.db, "nspname", "name"]
+    found = (
+        _relations(cat)
+        .unionByName(_routines(cat).select(*columns, "object_type"))
+        .unionByName(_triggers(cat).selectExpr(*columns, "'TRIGGER' AS object_type"))
+        .where("object_type <> 'i' AND upper(name) NOT LIKE '%_ROWID%'")
+    )
+    return cat.stage(found, "dbobjectnames", owners, owner="upper(nspname)", object_name="upper(name)")
 
 
 def pg_source_lines(raw: Raw, pkey: str | None = None, owners: Sequence[str] | None = None) -> DataFrame:
     """Lines of each routine's definition. The text is counted where it is read and never shuffled."""
     cat = _Catalog(raw, pkey)
-    found = _routines(cat, line_count(F.col("definition")).alias("nr_lines"))
+    found = _routines(cat, f"{line_count('definition')} AS nr_lines")
     return cat.stage(
-        found, "sourcecodedetailed", owners, owner=F.upper("nspname"), name=F.upper("name"), type=F.col("object_type")
+        found, "sourcecodedetailed", owners, owner="upper(nspname)", name="upper(name)", type="object_type"
     )
 
 
@@ -204,10 +201,10 @@ def pg_triggers(
         _triggers(cat),
         "triggers",
         owners,
-        owner=F.col("nspname"),
-        trigger_name=F.col("tgname"),
-        table_name=regclass_text(F.col("nspname"), F.col("relname"), search_path),
-        status=F.col("tgenabled"),
+        owner="nspname",
+        trigger_name="name",
+        table_name=regclass_text("nspname", "relname", search_path),
+        status="tgenabled",
     )
 
 

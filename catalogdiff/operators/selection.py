@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from catalogdiff.functions import listed, literal
+
 # Above this many owners an IN list is replaced by a semi join.
 MAX_IN_LIST = 1_000
 # Rows of a helper table that may be broadcast by hint. A row holds an id or
@@ -72,9 +74,9 @@ def filter_owners(rows: DataFrame, owners: Sequence[str] | None) -> DataFrame:
         return rows
     names = list(dict.fromkeys(owners))
     if len(names) <= MAX_IN_LIST:
-        return rows.where(F.col("owner").isin(names))
-    listed = rows.sparkSession.createDataFrame([(n,) for n in names], "owner string")
-    return rows.join(hinted(listed, len(names)), "owner", "left_semi")
+        return rows.where(f"owner IN ({listed(names)})" if names else "false")
+    wanted = rows.sparkSession.createDataFrame([(n,) for n in names], "owner string")
+    return rows.join(hinted(wanted, len(names)), "owner", "left_semi")
 
 
 @dataclass(frozen=True)
@@ -105,11 +107,11 @@ class TwoInstances:
         the scan prunes to two partitions.
         """
         if own_only or self.universe == "pair":
-            rows = rows.where(F.col("pkey").isin(self.first, self.second))
+            rows = rows.where(f"pkey IN ({listed((self.first, self.second))})")
         else:
-            rows = rows.where(F.col("pkey").isNotNull())
-        side = F.when(F.col("pkey") == self.first, 1).when(F.col("pkey") == self.second, 2).otherwise(0)
-        return rows.withColumn("side", side)
+            rows = rows.where("pkey IS NOT NULL")
+        one, two = literal(self.first), literal(self.second)
+        return rows.selectExpr("*", f"CASE pkey WHEN {one} THEN 1 WHEN {two} THEN 2 ELSE 0 END AS side")
 
     def label(self, side: int, what: str) -> str:
         return f"{self.first if side == 1 else self.second}_{what}"
@@ -135,10 +137,10 @@ class InstancePairs:
     @classmethod
     def of(cls, spark: SparkSession, pairs: DataFrame | Sequence[tuple[str, str]]) -> InstancePairs:
         if not isinstance(pairs, DataFrame):
-            listed = [(f"{a}|{b}", a, b) for a, b in pairs]
-            pairs = spark.createDataFrame(listed, "pair_id string, pkey_1 string, pkey_2 string")
-            ids = tuple(dict.fromkeys(i for _, *ends in listed for i in ends))
-            return cls(pairs, len(listed), ids if len(ids) <= MAX_IN_LIST else None)
+            rows = [(f"{a}|{b}", a, b) for a, b in pairs]
+            pairs = spark.createDataFrame(rows, "pair_id string, pkey_1 string, pkey_2 string")
+            ids = tuple(dict.fromkeys(i for _, *ends in rows for i in ends))
+            return cls(pairs, len(rows), ids if len(ids) <= MAX_IN_LIST else None)
         # Counts no further than the bound.
         return cls(pairs, pairs.limit(MAX_HINTED_ROWS + 1).count())
 
@@ -148,7 +150,7 @@ class InstancePairs:
             F.struct(F.col("pkey_2").alias("pkey"), F.lit(2).alias("side")),
         )
         if self.known is not None:
-            rows = rows.where(F.col("pkey").isin(*self.known))
+            rows = rows.where(f"pkey IN ({listed(self.known)})" if self.known else "false")
         sides = self.pairs.where("pkey_1 <> pkey_2").select("pair_id", F.inline(ends))
         return rows.join(hinted(sides, self.rows), "pkey")
 
@@ -164,9 +166,9 @@ def map_columns(owner_maps: Sequence[tuple[str, str]]) -> list[str]:
 def map_owners(rows: DataFrame, owner_maps: Sequence[tuple[str, str]]) -> DataFrame:
     """Keep tagged rows whose owner is mapped for their side; add ``owner_1, owner_2``."""
     if len(owner_maps) == 1:
-        one, two = owner_maps[0]
-        mine = ((F.col("side") == 1) & (F.col("owner") == one)) | ((F.col("side") == 2) & (F.col("owner") == two))
-        return rows.where(mine).withColumns({"owner_1": F.lit(one), "owner_2": F.lit(two)})
-    listed = [(side, pair[side - 1], *pair) for pair in dict.fromkeys(owner_maps) for side in (1, 2)]
-    maps = rows.sparkSession.createDataFrame(listed, "side int, owner string, owner_1 string, owner_2 string")
-    return rows.join(hinted(maps, len(listed)), ["side", "owner"])
+        one, two = map(literal, owner_maps[0])
+        mine = rows.where(f"(side = 1 AND owner = {one}) OR (side = 2 AND owner = {two})")
+        return mine.selectExpr("*", f"{one} AS owner_1", f"{two} AS owner_2")
+    ends = [(side, pair[side - 1], *pair) for pair in dict.fromkeys(owner_maps) for side in (1, 2)]
+    maps = rows.sparkSession.createDataFrame(ends, "side int, owner string, owner_1 string, owner_2 string")
+    return rows.join(hinted(maps, len(ends)), ["side", "owner"])

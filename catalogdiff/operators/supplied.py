@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalogdiff.functions import literal
 from catalogdiff.schemas import conform
 
 # Dictionary view (without scope prefix) each table comes from.
@@ -15,10 +16,8 @@ def supplied(rows: DataFrame, table: str, pkey: str | None = None, source: str |
     """Stage ``indexes``, ``roleprivs`` or ``sysprivs`` rows by column name."""
     if table not in SUPPLIED:
         raise ValueError(f"a collector fills {table}; supplied tables are {sorted(SUPPLIED)}")
-    constants = {} if pkey is None else {"pkey": F.lit(pkey)}
-    if source is not None:
-        constants["dma_source_id"] = F.lit(source)
-    return conform(rows, table, **constants)
+    given = {"pkey": pkey, "dma_source_id": source}
+    return conform(rows, table, **{name: literal(value) for name, value in given.items() if value is not None})
 
 
 def sourcecode_rollup(detailed: DataFrame) -> DataFrame:

@@ -7,8 +7,7 @@ missing. ``pkey`` is the instance id; staging is partitioned by it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
@@ -44,21 +43,13 @@ STAGED: dict[str, T.StructType] = {
 }
 
 
-def conform(df: DataFrame, table: str, **constants: Column) -> DataFrame:
+def conform(df: DataFrame, table: str, **columns: str) -> DataFrame:
     """Project ``df`` onto the schema of a staged table.
 
-    Columns are taken by name, whatever their case; ``constants`` override
-    them; a column that is in neither becomes NULL (``con_id`` becomes 1).
+    Columns are taken by name, whatever their case; ``columns`` gives SQL
+    expressions instead; a column that is in neither becomes NULL (``con_id`` 1).
     """
-    have = {c.lower(): c for c in df.columns}
-    defaults = {"con_id": F.lit(1)}
-    cols = []
-    for field in STAGED[table]:
-        if field.name in constants:
-            col = constants[field.name]
-        elif field.name in have:
-            col = F.col(f"`{have[field.name]}`")
-        else:
-            col = defaults.get(field.name, F.lit(None))
-        cols.append(col.cast(field.dataType).alias(field.name))
-    return df.select(*cols)
+    sources = {"con_id": "1", **{c.lower(): f"`{c}`" for c in df.columns}, **columns}
+    return df.selectExpr(
+        *(f"CAST({sources.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}" for f in STAGED[table])
+    )

@@ -97,7 +97,7 @@ def test_source_lines(pg):
 
 def test_line_count(spark):
     texts = spark.createDataFrame([(None,), ("",), ("a",), ("a\n",), ("\n\n",), ("a\r\nb",)], "t string")
-    assert [r[0] for r in texts.select(line_count(F.col("t"))).collect()] == [0, 1, 1, 2, 3, 2]
+    assert [r[0] for r in texts.selectExpr(line_count("t")).collect()] == [0, 1, 1, 2, 3, 2]
 
 
 def test_columns_join_on_schema_and_name(pg):
@@ -117,7 +117,7 @@ def test_trigger_tables_are_printed_as_regclass(pg):
 
 def test_identifier_quoting(spark):
     names = spark.createDataFrame([("s", "plain_1"), ("My Schema", 'say"so'), ("s", "user"), ("s", "1st")], "s string, n string")
-    got = [r[0] for r in names.select(regclass_text(F.col("s"), F.col("n"), ())).collect()]
+    got = [r[0] for r in names.selectExpr(regclass_text("s", "n", ())).collect()]
     assert got == ["s.plain_1", '"My Schema"."say""so"', 's."user"', 's."1st"']
 
 

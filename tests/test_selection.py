@@ -71,6 +71,15 @@ def test_pairs_from_a_dataframe(spark):
     assert sorted(map(tuple, tagged.select("pair_id", "pkey", "side").collect())) == [(1, "a", 1), (1, "b", 2)]
 
 
+def test_names_with_quotes_and_backslashes_are_plain_text(spark):
+    names = ["O'Brien", "back\\slash", "x' OR 'a' = 'a", 'dq"', "new\nline", "\\'"]
+    rows = spark.createDataFrame([(n, n) for n in [*names, "other"]], "pkey string, owner string")
+    for name in names:
+        assert [r["owner"] for r in filter_owners(rows, [name]).collect()] == [name]
+        tagged = TwoInstances(name, "nobody").tag(rows, own_only=True).collect()
+        assert [(r["pkey"], r["side"]) for r in tagged] == [(name, 1)]
+
+
 def test_owner_texts():
     assert parse_owner_list("A, B ,C") == ["A", "B", "C"]
     assert parse_owner_list("") is None and parse_owner_list(None) is None
