@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalogdiff.functions import listed, literal
+from catalogdiff.functions import listed, literal, parse_owner_list
 
 # Above this many owners an IN list is replaced by a semi join.
 MAX_IN_LIST = 1_000
@@ -68,8 +68,9 @@ def instance_rank(table: DataFrame) -> DataFrame:
     )
 
 
-def filter_owners(rows: DataFrame, owners: Sequence[str] | None) -> DataFrame:
-    """Keep rows of the given owners, compared as typed; None keeps all."""
+def filter_owners(rows: DataFrame, owners: Sequence[str] | str | None) -> DataFrame:
+    """Keep rows of the given owners (a list, or text with commas), compared as typed; None keeps all."""
+    owners = parse_owner_list(owners) if isinstance(owners, str) else owners
     if owners is None:
         return rows
     names = list(dict.fromkeys(owners))

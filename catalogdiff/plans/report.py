@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogdiff.functions import shown
+from catalogdiff.functions import parse_owner_list, parse_owner_map, shown
 from catalogdiff.operators.selection import InstancePairs, TwoInstances, hinted, pick_instances
 from catalogdiff.plans.custom import custom_section
 from catalogdiff.plans.sections import MAPPED_SECTIONS, SECTIONS, Comparison, Section
@@ -106,8 +106,8 @@ def compare(
     instances: tuple[str, str] | None = None,
     pairs: DataFrame | Sequence[tuple[str, str]] | None = None,
     sections: Sequence[str] | None = None,
-    owners: Sequence[str] | None = None,
-    owner_maps: Sequence[tuple[str, str]] | None = None,
+    owners: Sequence[str] | str | None = None,
+    owner_maps: Sequence[tuple[str, str]] | str | None = None,
     custom: Mapping[str, str] | None = None,
     universe: str = "staged",
     dedupe: bool = False,
@@ -117,9 +117,12 @@ def compare(
 
     ``instances`` defaults to the first two staged ids. ``owners`` restricts the
     schemas compared, ``owner_maps`` compares schemas of different names
-    instead, and picks the mapped sections. ``sections`` are titles; without it
+    instead, and picks the mapped sections; both may be text (``"A, B"``,
+    ``"SOURCE/TARGET"``). ``sections`` are titles; without it
     the default ones run. ``custom`` maps titles to SQL texts.
     """
+    owners = parse_owner_list(owners) if isinstance(owners, str) else owners
+    owner_maps = parse_owner_map(owner_maps) if isinstance(owner_maps, str) else owner_maps
     if instances is not None and pairs is not None:
         raise ValueError("give two instances or many pairs, not both")
     if pairs is not None:

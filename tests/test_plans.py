@@ -7,7 +7,7 @@ import re
 import pytest
 
 from catalogdiff import InstancePairs, Staging, compare, stage
-from catalogdiff.operators import TwoInstances, ora_source_lines, pg_source_lines, presence_diff
+from catalogdiff.operators import TwoInstances, column_drift, ora_source_lines, pg_source_lines, presence_diff
 from catalogdiff.plans import SECTIONS
 from catalogdiff.verify.queries import ORA_VIEWS, PG_VIEWS, SRC, STAGED_VIEWS, TGT, frames
 
@@ -106,3 +106,68 @@ def test_report_counts_share_an_exchange(staging):
     findings.collect()
     final = plan(findings)
     assert final.count("ReusedExchange") >= 3
+
+
+@pytest.fixture
+def small_skew(spark):
+    """Skew handling at the size of a test."""
+    conf = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def hot_columns(spark):
+    """A third of side 1's columns are of one table; half of those are on side 2 too."""
+    return spark.range(0, 60_000, 1, 8).selectExpr(
+        "explode(if(id % 2 = 0, array('a', 'b'), array('a'))) AS pkey",
+        "'S' AS owner",
+        "if(id % 3 = 0, 'hot', concat('t', id % 5000)) AS table_name",
+        "concat('c', if(id % 3 = 0, id, id div 5000)) AS column_name",
+    )
+
+
+def test_a_hot_table_is_split_in_the_anti_join(spark, small_skew, tmp_path):
+    hot_columns(spark).write.partitionBy("pkey").parquet(str(tmp_path / "c"))
+    columns = spark.read.parquet(str(tmp_path / "c"))
+    gone = spark.range(5000).selectExpr("'S' AS owner", "concat('t', id) AS object_name")
+    missing = presence_diff(
+        columns,
+        ("owner", "table_name", "column_name"),
+        TwoInstances("a", "b"),
+        unless=gone,
+        unless_on=[("owner", "owner"), ("table_name", "object_name")],
+    )
+    rows = missing.collect()
+    assert {r["table_name"] for r in rows} == {"hot"} and len(rows) == 10_000
+    assert "skew=true" in plan(missing)
+
+
+DECLARED = ("1 AS data_length", "1 AS data_precision", "0 AS data_scale", "'Y' AS nullable")
+
+
+def test_a_hot_column_is_split_in_the_drift_join(spark, small_skew, tmp_path):
+    rows = spark.range(0, 90_000, 1, 8).selectExpr(
+        "if(id % 3 = 0 OR id % 2 = 0, 'a', 'b') AS pkey",
+        "'S' AS owner",
+        "if(id % 3 = 0, 'hot', concat('t', id div 2)) AS table_name",
+        "'c' AS column_name",
+        "if(id % 3 = 0 OR id % 2 = 0, concat('T', id), 'NUMBER') AS data_type",
+        *DECLARED,
+    )
+    extra = spark.range(1).selectExpr(
+        "'b' AS pkey", "'S' AS owner", "'hot' AS table_name", "'c' AS column_name", "'NUMBER' AS data_type", *DECLARED
+    )
+    rows.unionByName(extra).write.partitionBy("pkey").parquet(str(tmp_path / "c"))
+    drift = column_drift(spark.read.parquet(str(tmp_path / "c")), TwoInstances("a", "b"))
+    found = drift.collect()
+    assert sum(r["table_name"] == "hot" for r in found) == 30_000
+    assert "skew=true" in plan(drift)

@@ -92,6 +92,27 @@ def test_custom_values_are_bound_not_pasted(staging):
     assert compare(staging, sections=[], owners=[hostile], custom={"Mine": text})["Mine"].count() == 0
 
 
+def test_owner_filters_may_be_text(staging):
+    title = "Missing Objects"
+    listed = compare(staging, sections=[title], owners=["SCH_3", "SCH_4"])[title]
+    assert bag(compare(staging, sections=[title], owners="SCH_3, SCH_4")[title]) == bag(listed)
+    assert compare(staging, owner_maps="SCH_3/SCH_4").comparison.owner_maps == [("SCH_3", "SCH_4")]
+
+
+@pytest.mark.parametrize("mapped", [False, True])
+def test_ids_with_odd_characters(spark, sf_dir, mapped):
+    odd = {SRC: "10.0.0.7 (dev)", TGT: "db.two-2's"}
+    tables = frames(spark, sf_dir, MAPPED_VIEWS if mapped else STAGED_VIEWS)
+    renamed = Staging({t: df.replace(odd, subset=["pkey"]) for t, df in tables.items()})
+    options = {"owner_maps": OWNER_MAP} if mapped else {}
+    sections = list(MAPPED_SECTIONS if mapped else SECTIONS)
+    plain = compare(Staging(tables), instances=(SRC, TGT), sections=sections, **options)
+    report = compare(renamed, instances=tuple(odd.values()), sections=sections, **options)
+    counts = lambda r: {x["section"]: x["findings"] for x in r.summary().collect()}
+    assert counts(report) == counts(plain)
+    assert "10.0.0.7 (dev)_status" in report["Missing Objects"].columns
+
+
 def test_template_placeholders():
     text = "SELECT MAX(x) <instance_1_id>_n FROM <dataset_name>.Columns i1 WHERE pkey = '<instance_2_id>' <schema_filter>"
     assert from_template(text, TwoInstances("a`b", "c")) == (
