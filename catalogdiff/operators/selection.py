@@ -12,17 +12,28 @@ from catalogdiff.functions import listed, literal, parse_owner_list
 
 # Above this many owners an IN list is replaced by a semi join.
 MAX_IN_LIST = 1_000
-# Rows of a helper table that may be broadcast by hint. A row holds an id or
-# two and a name or two, so the table stays in the low tens of megabytes.
+# Size up to which a helper table is broadcast by hint: rows, and bytes of text.
 # Beyond it no hint is given and Spark chooses by its own size checks.
 MAX_HINTED_ROWS = 100_000
+MAX_HINTED_BYTES = 8 * 1024 * 1024
 # Ranges used to number instances without putting them all in one task.
 RANK_RANGES = 200
 
 
-def hinted(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a helper table of a known row count, if it is small enough."""
-    return F.broadcast(df) if rows <= MAX_HINTED_ROWS else df
+def fits(rows: int, size: int) -> bool:
+    """Whether a table of that many rows and bytes may be broadcast by hint."""
+    return rows <= MAX_HINTED_ROWS and size <= MAX_HINTED_BYTES
+
+
+def text_size(rows: Sequence[tuple]) -> int:
+    """Bytes of text in rows."""
+    return sum(len(value.encode()) for row in rows for value in row if isinstance(value, str))
+
+
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A helper table from values at hand, broadcast by hint if its size allows."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if fits(len(rows), text_size(rows)) else table
 
 
 def instances(table: DataFrame) -> DataFrame:
@@ -76,8 +87,8 @@ def filter_owners(rows: DataFrame, owners: Sequence[str] | str | None) -> DataFr
     names = list(dict.fromkeys(owners))
     if len(names) <= MAX_IN_LIST:
         return rows.where(f"owner IN ({listed(names)})" if names else "false")
-    wanted = rows.sparkSession.createDataFrame([(n,) for n in names], "owner string")
-    return rows.join(hinted(wanted, len(names)), "owner", "left_semi")
+    wanted = local_table(rows.sparkSession, [(n,) for n in names], "owner string")
+    return rows.join(wanted, "owner", "left_semi")
 
 
 @dataclass(frozen=True)
@@ -123,14 +134,13 @@ class InstancePairs:
     """Many comparisons in one job: ``pairs`` has ``pair_id, pkey_1, pkey_2``.
 
     Each row joins the pairs its instance takes part in, and a pair looks at
-    its own keys only. ``rows`` is the size of ``pairs``; it decides whether
-    the pairs are broadcast. Past the bound the join is a plain one, and
-    adaptive execution splits an instance that holds much of the table.
-    ``known`` ids, where they are few, prune the scan.
+    its own keys only. ``small`` pairs are broadcast; otherwise the join is a
+    plain one, and adaptive execution splits an instance that holds much of the
+    table. ``known`` ids, where they are few, prune the scan.
     """
 
     pairs: DataFrame
-    rows: int
+    small: bool
     known: tuple[str, ...] | None = None
 
     group: tuple[str, ...] = ("pair_id",)
@@ -141,9 +151,12 @@ class InstancePairs:
             rows = [(f"{a}|{b}", a, b) for a, b in pairs]
             pairs = spark.createDataFrame(rows, "pair_id string, pkey_1 string, pkey_2 string")
             ids = tuple(dict.fromkeys(i for _, *ends in rows for i in ends))
-            return cls(pairs, len(rows), ids if len(ids) <= MAX_IN_LIST else None)
-        # Counts no further than the bound.
-        return cls(pairs, pairs.limit(MAX_HINTED_ROWS + 1).count())
+            small = fits(len(rows), text_size(rows))
+            return cls(pairs, small, ids if len(ids) <= MAX_IN_LIST else None)
+        # Measured no further than the bound.
+        texts = "octet_length(concat_ws('', string(pair_id), pkey_1, pkey_2))"
+        head = pairs.limit(MAX_HINTED_ROWS + 1).selectExpr("count(*)", f"coalesce(sum({texts}), 0L)").first()
+        return cls(pairs, fits(*head))
 
     def tag(self, rows: DataFrame, own_only: bool = False) -> DataFrame:
         ends = F.array(
@@ -153,7 +166,7 @@ class InstancePairs:
         if self.known is not None:
             rows = rows.where(f"pkey IN ({listed(self.known)})" if self.known else "false")
         sides = self.pairs.where("pkey_1 <> pkey_2").select("pair_id", F.inline(ends))
-        return rows.join(hinted(sides, self.rows), "pkey")
+        return rows.join(F.broadcast(sides) if self.small else sides, "pkey")
 
     def label(self, side: int, what: str) -> str:
         return f"{what}_{side}"
@@ -171,5 +184,5 @@ def map_owners(rows: DataFrame, owner_maps: Sequence[tuple[str, str]]) -> DataFr
         mine = rows.where(f"(side = 1 AND owner = {one}) OR (side = 2 AND owner = {two})")
         return mine.selectExpr("*", f"{one} AS owner_1", f"{two} AS owner_2")
     ends = [(side, pair[side - 1], *pair) for pair in dict.fromkeys(owner_maps) for side in (1, 2)]
-    maps = rows.sparkSession.createDataFrame(ends, "side int, owner string, owner_1 string, owner_2 string")
-    return rows.join(hinted(maps, len(ends)), ["side", "owner"])
+    maps = local_table(rows.sparkSession, ends, "side int, owner string, owner_1 string, owner_2 string")
+    return rows.join(maps, ["side", "owner"])

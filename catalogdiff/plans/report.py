@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogdiff.functions import parse_owner_list, parse_owner_map, shown
-from catalogdiff.operators.selection import InstancePairs, TwoInstances, hinted, pick_instances
+from catalogdiff.operators.selection import InstancePairs, TwoInstances, pick_instances
 from catalogdiff.plans.custom import custom_section
 from catalogdiff.plans.sections import MAPPED_SECTIONS, SECTIONS, Comparison, Section
 
@@ -95,9 +95,8 @@ class Report:
             none = F.lit(None).cast("string").alias("pair_id")
             parts.append(spark.range(1).select(none, F.explode(F.array(*map(F.lit, general))).alias("section")))
         if per_pair:
-            pairs = hinted(sides.pairs, sides.rows)
-            pairs = pairs.select(F.col("pair_id").cast("string"), F.explode(F.array(*map(F.lit, per_pair))).alias("section"))
-            parts.append(pairs)
+            titles = F.explode(F.array(*map(F.lit, per_pair))).alias("section")
+            parts.append(sides.pairs.select(F.col("pair_id").cast("string"), titles))
         return reduce(DataFrame.unionByName, parts)
 
 

@@ -55,6 +55,17 @@ def test_pairs_are_hinted_only_up_to_the_bound(spark, monkeypatch):
     assert hint()
     monkeypatch.setattr(selection, "MAX_HINTED_ROWS", 1)
     assert not hint()
+    monkeypatch.setattr(selection, "MAX_HINTED_ROWS", 10)
+    monkeypatch.setattr(selection, "MAX_HINTED_BYTES", 3)
+    assert not hint()
+
+
+def test_pairs_of_a_dataframe_are_measured(spark, monkeypatch):
+    pairs = spark.createDataFrame([("p", "a", "b"), ("q", "a", "c")], "pair_id string, pkey_1 string, pkey_2 string")
+    assert InstancePairs.of(spark, pairs).small
+    assert InstancePairs.of(spark, pairs.limit(0)).small
+    monkeypatch.setattr(selection, "MAX_HINTED_BYTES", 5)
+    assert not InstancePairs.of(spark, pairs).small
 
 
 def test_listed_pairs_prune_the_scan(spark, tmp_path):
