@@ -25,6 +25,8 @@ MOST_IN_LINES = 0.20
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+# White space to Python's split() that is part of a word here.
+OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "dup_line_chars", "n_repeat_words")
@@ -55,7 +57,8 @@ def covered(words: np.ndarray, n: int) -> np.ndarray:
 def measure(text: str | None, sizes: tuple[int, ...]) -> tuple[list[int], list[int]]:
     """``MEASURES`` of a text, and the characters of words inside duplicated n-grams of each size."""
     text = text or ""
-    words = WORD.findall(text)
+    split = WORD.findall if OTHER_SPACE.search(text) else str.split
+    words = split(text)
     if not words:
         return [0, 0, len(SYMBOLS.findall(text)), 0, 0, 0], [0] * len(sizes)
     chars = np.fromiter(map(len, words), np.int64, len(words))
@@ -70,10 +73,14 @@ def measure(text: str | None, sizes: tuple[int, ...]) -> tuple[list[int], list[i
     for line in text.split("\n"):
         if line in seen:
             dup_lines += 1
-            dup_chars += sum(map(len, WORD.findall(line)))
+            dup_chars += sum(map(len, split(line)))
         elif WORD.search(line):
             seen.add(line)
-    marks = {n: covered(codes, n) for n in {8, *sizes}}
+    marks, mark = {}, np.ones(1, bool)
+    for n in sorted({8, *sizes}):
+        # A window that occurs again has shorter ones that do, so after none there are no more.
+        mark = covered(codes, n) if mark.any() else np.zeros(len(words), bool)
+        marks[n] = mark
     values = [len(words), int(chars.sum()), len(SYMBOLS.findall(text)), dup_lines, dup_chars, int(marks[8].sum())]
     return values, [int(chars[marks[n]].sum()) for n in sizes]
 

@@ -33,21 +33,15 @@ def token_codes(text: Column, longest: int = TOKEN) -> Column:
 
 
 def gram_keys(codes: Column, k: int = GRAM) -> Column:
-    """A number for every k codes in a row: their hash, and their position counted down.
-
-    Fewer than k codes are one gram; none give none.
-    """
+    """A number for every k codes in a row, of which there are k at least or none: hash, and position counted down."""
     def key(i: Column) -> Column:
-        terms = None
-        for j in range(k):
-            power = pow(BASE, k - 1 - j, PRIME)
-            term = F.coalesce(F.get(codes, i + j), F.lit(0)) * F.lit(power).cast("bigint")
-            terms = term if terms is None else F.pmod(terms, F.lit(PRIME)) + F.pmod(term, F.lit(PRIME))
-        return F.shiftleft(F.pmod(terms, F.lit(PRIME)), 31) + (F.lit(MASK).cast("bigint") - i)
-
-    count = F.greatest(F.size(codes) - F.lit(k - 1), F.lit(1))
+        rolled = F.get(codes, i)
+        for j in range(1, k):
+            rolled = (rolled * F.lit(BASE).cast("bigint") + F.get(codes, i + j)) % F.lit(PRIME).cast("bigint")
+        return F.shiftleft(rolled, 31) + (F.lit(MASK).cast("bigint") - i)
+
     none = F.array().cast("array<bigint>")
-    return F.when(F.size(codes) > 0, F.transform(F.sequence(F.lit(0), count - 1), key)).otherwise(none)
+    return F.when(F.size(codes) > 0, F.transform(F.sequence(F.lit(0), F.size(codes) - F.lit(k)), key)).otherwise(none)
 
 
 def chosen_keys(keys: Column, w: int = WINDOW) -> Column:
@@ -60,12 +54,18 @@ def chosen_keys(keys: Column, w: int = WINDOW) -> Column:
 def with_fingerprint(rows: DataFrame, text: str, name: str, k: int = GRAM, w: int = WINDOW) -> DataFrame:
     """Add ``name``: the fingerprint of a text as numbers of hash and position, ordered by position."""
     rows = rows.withColumn(f"{name}_codes", token_codes(F.col(text)))
+    # Fewer than k codes are one gram.
+    codes = F.col(f"{name}_codes")
+    short = F.size(codes).between(1, k - 1)
+    padded = F.concat(codes, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(k) - F.size(codes), F.lit(0))))
+    rows = rows.withColumn(f"{name}_codes", F.when(short, padded).otherwise(codes))
     rows = rows.withColumn(f"{name}_keys", gram_keys(F.col(f"{name}_codes"), k)).drop(f"{name}_codes")
     return rows.withColumn(name, chosen_keys(F.col(f"{name}_keys"), w)).drop(f"{name}_keys")
 
 
 def hashes(fingerprint: Column) -> Column:
-    return F.transform(fingerprint, lambda x: F.shiftright(x, 31))
+    """The distinct hashes of a fingerprint."""
+    return F.array_distinct(F.transform(fingerprint, lambda x: F.shiftright(x, 31)))
 
 
 def positions(fingerprint: Column) -> Column:
@@ -79,19 +79,20 @@ def digest(fingerprint: Column) -> Column:
 
 
 def likeness(one: Column, two: Column) -> Column:
-    """Share of common hashes among all of two fingerprints; 1 if both are empty."""
-    every = F.size(F.array_union(one, two))
-    return F.when(every == 0, 1.0).otherwise(F.size(F.array_intersect(one, two)) / F.greatest(every, F.lit(1)))
+    """Share of common hashes among all of two sets of distinct hashes; 1 if both are empty."""
+    common = F.size(F.array_intersect(one, two))
+    every = F.size(one) + F.size(two)
+    return F.when(every == 0, 1.0).otherwise(common / (F.greatest(every, F.lit(1)) - common))
 
 
 def fingerprinted(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
-    """``doc_id, fingerprint, hashes, positions`` of every row of ``docs``.
+    """``doc_id, fingerprint, hashes, positions`` of every row of ``docs``; hashes are in order and not distinct.
 
     A NULL or empty text has an empty fingerprint; other columns are not read.
     """
     rows = with_fingerprint(docs.select("doc_id", F.col("text").alias("t")), "t", "fingerprint", k, w).drop("t")
     print_ = F.col("fingerprint")
-    return rows.select("doc_id", digest(print_).alias("fingerprint"), hashes(print_).alias("hashes"), positions(print_).alias("positions"))
+    return rows.select("doc_id", digest(print_).alias("fingerprint"), F.transform(print_, lambda x: F.shiftright(x, 31)).alias("hashes"), positions(print_).alias("positions"))
 
 
 def beside_next(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
@@ -144,8 +145,8 @@ def beside_next(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
     after = Window.partitionBy("range", "part").orderBy(
         "after_all", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text"
     )
-    rows = rows.withColumn("next_text", F.lead("text").over(after))
-    rows = rows.withColumn("next_fingerprint", F.lead("fingerprint").over(after))
+    following = {f"next_{c}": F.lead(c).over(after) for c in ("text", "fingerprint")}
+    rows = rows.withColumns(following)
     return rows.where("NOT guest").select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint")
 
 
