@@ -58,7 +58,7 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
         rank = F.struct(F.lit(len(text)).alias("length"), F.lit(-order).alias("order"), F.lit(text).alias("rule"), F.lit(verdict).alias("verdict"))
         found.append(F.when(fits, rank))
-    return F.array_max(F.array_compact(F.array(*found))) if found else F.lit(None)
+    return F.array_max(F.array_compact(F.array(*found))) if found else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
 def _prior(groups: DataFrame, mean: str) -> float:

@@ -162,6 +162,7 @@ def _forest(fps: np.ndarray, threshold: int, split: int | None = None) -> list[t
     compared one against the rest, so memory is one row's.
     """
     n, edges = len(fps), []
+    values, fps = fps.tolist(), fps.view(np.uint64)  # of signed numbers numpy counts the bits of the absolute value
     if split is None:
         seen = np.zeros(n, bool)
         for start in range(n):  # breadth first, so every fingerprint is compared with the unseen ones once
@@ -174,7 +175,7 @@ def _forest(fps: np.ndarray, threshold: int, split: int | None = None) -> list[t
                 near = rest[np.bitwise_count(fps[rest] ^ fps[at]) <= threshold]
                 seen[near] = True
                 queue.extend(near.tolist())
-                edges.extend((int(fps[at]), int(fps[i])) for i in near.tolist())
+                edges.extend((values[at], values[i]) for i in near.tolist())
         return edges
     left, right = fps[:split], fps[split:]
     free_left, free_right = np.ones(len(left), bool), np.ones(len(right), bool)
@@ -185,11 +186,12 @@ def _forest(fps: np.ndarray, threshold: int, split: int | None = None) -> list[t
         while queue:
             side, at = queue.pop()
             own, other, free = (left, right, free_right) if side == 0 else (right, left, free_left)
+            mine, theirs = (0, split) if side == 0 else (split, 0)
             rest = np.nonzero(free)[0]
             near = rest[np.bitwise_count(other[rest] ^ own[at]) <= threshold]
             free[near] = False
             queue.extend((1 - side, i) for i in near.tolist())
-            edges.extend((int(own[at]), int(other[i])) for i in near.tolist())
+            edges.extend((values[mine + at], values[theirs + i]) for i in near.tolist())
     return edges
 
 

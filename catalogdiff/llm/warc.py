@@ -115,6 +115,8 @@ def _parse(data: bytes, at: int) -> tuple[dict | None, int, str]:
         return None, at, "no content length"
     if "warc-type" not in fields or "warc-record-id" not in fields:
         return None, at, "a required header is missing"
+    if not re.fullmatch(r"<[^<>\s]+>", fields["warc-record-id"]):
+        return None, at, "record id is not in angle brackets"
     begin = close + 4
     end = begin + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
