@@ -34,7 +34,7 @@ TIERS = (4096, 2048, 1024, 512)
 # Pieces of a shard, and tokens of a step.
 SHARD, STEP = 50_000, 32 * 4096
 # Words whose ids a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 800_000, 48
+REMEMBERED, LONGEST = 500_000, 48
 
 
 @lru_cache(2)

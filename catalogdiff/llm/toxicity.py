@@ -50,7 +50,7 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 
 WORDS = re.compile(r"\w+")
 # Words longer than this are looked at as a whole and by their ends all the same, but not remembered.
-REMEMBERED, MEMORY = 40, 200_000
+REMEMBERED, MEMORY = 40, 100_000
 
 
 def _features(word: str) -> tuple[str, ...]:
@@ -177,7 +177,7 @@ def fit(
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
                 seen[toxic].update({f for w in _words(text.as_py()) for f in _features(w)})
             # Emitted before the counters grow beyond what a batch can hold.
-            if sum(map(len, seen)) > 500_000:
+            if sum(map(len, seen)) > 200_000:
                 yield _counts(seen)
                 seen = (Counter(), Counter())
         if any(seen):
