@@ -4,7 +4,7 @@ from catalogdiff.functions.names import (
     parse_owner_map,
     regclass_text,
 )
-from catalogdiff.functions.text import all_present, differs, line_count, listed, literal, shown
+from catalogdiff.functions.text import all_present, differs, line_count, listed, literal, quoted, shown
 
 __all__ = [
     "all_present",
@@ -15,6 +15,7 @@ __all__ = [
     "literal",
     "parse_owner_list",
     "parse_owner_map",
+    "quoted",
     "regclass_text",
     "shown",
 ]

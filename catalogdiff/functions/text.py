@@ -41,3 +41,8 @@ def shown(pairs: dict[str, Column]) -> Column:
     """``name=value, name=value`` text; NULL is spelled out so that nothing shifts."""
     parts = [F.concat(F.lit(f"{n}="), F.coalesce(c.cast("string"), F.lit("NULL"))) for n, c in pairs.items()]
     return F.concat_ws(", ", *parts)
+
+
+def quoted(name: str) -> str:
+    """A column name for SQL text, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from catalogdiff.functions import quoted
+
 # A count is cut into blocks, and blocks into pieces, so that no array built on
 # the way is longer than count / BLOCK or BLOCK.
 BLOCK = 1_000_000
@@ -26,7 +28,7 @@ def repeat_rows(df: DataFrame, copies: str, spread: bool = True, order: Sequence
     repeat much and the rows are the whole table. With ``order`` the exchange is
     that of a sort, which cuts the pieces of one row apart as well.
     """
-    kept = [f"`{c}`" for c in df.columns if c != copies]
+    kept = [quoted(c) for c in df.columns if c != copies]
 
     def cut(rows: DataFrame, width: int, number: str, *numbers: str) -> DataFrame:
         """Split each row into numbered rows of at most ``width`` copies, keeping the total."""

@@ -7,20 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalogdiff.functions import quoted
 from catalogdiff.operators.presence import Sides
 from catalogdiff.operators.selection import map_columns, map_owners
 
 
-def count_diff(rows: DataFrame, keys: Sequence[str], sides: Sides, mismatch: bool = False) -> DataFrame:
+def count_diff(
+    rows: DataFrame, keys: Sequence[str], sides: Sides, mismatch: bool = False, prune: bool = True
+) -> DataFrame:
     """Rows per key and side, 0 where a side has none; ``mismatch`` keeps unequal counts.
 
-    Both forms aggregate the same rows, so that in one report they share an exchange.
+    A third instance has no unequal counts, so for these ``prune`` reads the two compared only. Without it
+    both forms aggregate the same rows, so that in one report they share an exchange.
     """
     one, two = sides.label(1, "count"), sides.label(2, "count")
-    counted = sides.tag(rows).groupBy(*sides.group, *keys).agg(
+    counted = sides.tag(rows, own_only=mismatch and prune).groupBy(*sides.group, *keys).agg(
         F.expr("count_if(side = 1)").alias(one), F.expr("count_if(side = 2)").alias(two)
     )
-    return counted.where(F.col(f"`{one}`") != F.col(f"`{two}`")) if mismatch else counted
+    return counted.where(F.col(quoted(one)) != F.col(quoted(two))) if mismatch else counted
 
 
 def mapped_count_diff(
@@ -43,4 +47,4 @@ def line_diff(rows: DataFrame, keys: Sequence[str], lines: str, sides: Sides) ->
         F.max(F.when(F.col("side") == 1, F.col(lines))).alias(one),
         F.max(F.when(F.col("side") == 2, F.col(lines))).alias(two),
     )
-    return counted.where(F.col(f"`{one}`") != F.col(f"`{two}`"))
+    return counted.where(F.col(quoted(one)) != F.col(quoted(two)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogdiff.functions import all_present
@@ -81,13 +81,16 @@ def presence_diff_by_variant(
 ) -> DataFrame:
     """Presence diff on ``keys`` that lists a finding once per distinct ``variant`` kept.
 
-    The variant is not part of the key: counts are summed over all variants of
-    a key before the ones not kept are dropped.
+    The variant is not part of the key: counts are summed over all variants of a key.
+    Variants are a small vocabulary, so the set of them is bounded and one aggregate does.
+    With ``dedupe`` a finding with a variant kept is listed once.
     """
-    counted = sides.tag(rows).groupBy(*sides.group, *keys, variant).agg(*_side_counts(keys))
-    per_key = Window.partitionBy(*sides.group, *keys)
-    counted = counted.withColumns({n: F.sum(n).over(per_key) for n in ("_n1", "_n2")})
-    return _finish(counted.where(_LACKS_A_SIDE).where(keep), keys, sides, dedupe, order)
+    kinds = F.collect_set(F.when(keep, F.col(variant))).alias("_kinds")
+    counted = sides.tag(rows).groupBy(*sides.group, *keys).agg(*_side_counts(keys), kinds)
+    found = counted.where(_LACKS_A_SIDE).where("size(_kinds) > 0")
+    if not dedupe:
+        found = found.withColumn("_kind", F.explode("_kinds"))
+    return _finish(found, keys, sides, dedupe, order)
 
 
 def mapped_lacking(

@@ -50,8 +50,15 @@ def pick_instances(table: DataFrame) -> tuple[str, str]:
 
 
 def known_instances(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Keep rows of instances listed in the ``instances`` table."""
-    return rows.join(table.select("pkey"), "pkey", "left_semi")
+    """Keep rows of instances listed in the ``instances`` table.
+
+    The few ids are measured and broadcast by hint, so that rows are not dealt out by
+    instance; beyond the bound the join is left to Spark.
+    """
+    ids = table.select("pkey").where(F.col("pkey").isNotNull()).distinct()
+    size = "coalesce(sum(octet_length(pkey)), 0L)"
+    small = fits(*ids.limit(MAX_HINTED_ROWS + 1).selectExpr("count(*)", size).first())
+    return rows.join(F.broadcast(ids) if small else ids, "pkey", "left_semi").select(*rows.columns)
 
 
 def instance_rank(table: DataFrame) -> DataFrame:
@@ -88,7 +95,8 @@ def filter_owners(rows: DataFrame, owners: Sequence[str] | str | None) -> DataFr
     if len(names) <= MAX_IN_LIST:
         return rows.where(f"owner IN ({listed(names)})" if names else "false")
     wanted = local_table(rows.sparkSession, [(n,) for n in names], "owner string")
-    return rows.join(wanted, "owner", "left_semi")
+    # A join on a shared name moves it to the front; columns stay as they are for a short list.
+    return rows.join(wanted, "owner", "left_semi").select(*rows.columns)
 
 
 @dataclass(frozen=True)
@@ -129,12 +137,18 @@ class TwoInstances:
         return f"{self.first if side == 1 else self.second}_{what}"
 
 
+def pair_id(first: str, second: str) -> str:
+    """``first|second``; a bar inside an id is escaped, so that two pairs never have one name."""
+    return "|".join(i.replace("\\", "\\\\").replace("|", "\\|") for i in (first, second))
+
+
 @dataclass(frozen=True)
 class InstancePairs:
     """Many comparisons in one job: ``pairs`` has ``pair_id, pkey_1, pkey_2``.
 
     Each row joins the pairs its instance takes part in, and a pair looks at
-    its own keys only. ``small`` pairs are broadcast; otherwise the join is a
+    its own keys only. A pair given twice is one pair; a pair of an instance with
+    itself or with NULL, and an id for two pairs, fail. ``small`` pairs are broadcast; otherwise the join is a
     plain one, and adaptive execution splits an instance that holds much of the
     table. ``known`` ids, where they are few, prune the scan.
     """
@@ -148,11 +162,18 @@ class InstancePairs:
     @classmethod
     def of(cls, spark: SparkSession, pairs: DataFrame | Sequence[tuple[str, str]]) -> InstancePairs:
         if not isinstance(pairs, DataFrame):
-            rows = [(f"{a}|{b}", a, b) for a, b in pairs]
+            if any(a is None or b is None or a == b for a, b in pairs):
+                raise ValueError("the two instances of a pair must differ")
+            rows = [(pair_id(a, b), a, b) for a, b in dict.fromkeys(map(tuple, pairs))]
             pairs = spark.createDataFrame(rows, "pair_id string, pkey_1 string, pkey_2 string")
             ids = tuple(dict.fromkeys(i for _, *ends in rows for i in ends))
             small = fits(len(rows), text_size(rows))
             return cls(pairs, small, ids if len(ids) <= MAX_IN_LIST else None)
+        ends = "struct(pkey_1, pkey_2)"
+        pairs = pairs.groupBy("pair_id").agg(F.expr(f"min({ends})").alias("low"), F.expr(f"max({ends})").alias("high"))
+        fault = "raise_error('a pair_id names two pairs, or a pair whose instances do not differ')"
+        one = f"CASE WHEN low <=> high AND low.pkey_1 <> low.pkey_2 THEN low ELSE {fault} END AS pair"
+        pairs = pairs.selectExpr("pair_id", one).select("pair_id", "pair.pkey_1", "pair.pkey_2")
         # Measured no further than the bound.
         texts = "octet_length(concat_ws('', string(pair_id), pkey_1, pkey_2))"
         head = pairs.limit(MAX_HINTED_ROWS + 1).selectExpr("count(*)", f"coalesce(sum({texts}), 0L)").first()
@@ -165,7 +186,7 @@ class InstancePairs:
         )
         if self.known is not None:
             rows = rows.where(f"pkey IN ({listed(self.known)})" if self.known else "false")
-        sides = self.pairs.where("pkey_1 <> pkey_2").select("pair_id", F.inline(ends))
+        sides = self.pairs.select("pair_id", F.inline(ends))
         return rows.join(F.broadcast(sides) if self.small else sides, "pkey")
 
     def label(self, side: int, what: str) -> str:

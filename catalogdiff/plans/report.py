@@ -9,10 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogdiff.functions import parse_owner_list, parse_owner_map, shown
-from catalogdiff.operators.selection import InstancePairs, TwoInstances, pick_instances
+from catalogdiff.functions import parse_owner_list, parse_owner_map, quoted, shown
+from catalogdiff.operators.selection import MAX_IN_LIST, InstancePairs, TwoInstances, pair_id, pick_instances
 from catalogdiff.plans.custom import custom_section
-from catalogdiff.plans.sections import MAPPED_SECTIONS, SECTIONS, Comparison, Section
+from catalogdiff.plans.sections import MAPPED_SECTIONS, SECTIONS, Comparison, Section, object_counts
 
 MAP_COLUMNS = ("owner_1", "owner_2")
 
@@ -25,12 +25,14 @@ class Report:
     ):
         self.comparison = comparison
         self.sections = dict(sections)
+        self.custom = tuple(custom)
         self.results = {}
+        shared = any(s.build is object_counts for s in sections.values())
         for title, s in sections.items():
             # Only sections of pairs have a pair to sort by first; an unsorted section stays so.
             group = comparison.sides.group if s.values else ()
             order = (*group, *s.order) if ordered and s.order else ()
-            self.results[title] = s.build(replace(comparison, order=order))
+            self.results[title] = s.build(replace(comparison, order=order, counts_shared=shared))
         for title, text in custom.items():
             self.results[title] = custom_section(text, comparison)
 
@@ -38,11 +40,12 @@ class Report:
         return self.results[title]
 
     def findings(self) -> DataFrame:
-        """Rows of all built-in sections: ``pair_id, section, key, value_1, value_2``.
+        """Rows of all sections: ``pair_id, section, key, value_1, value_2``.
 
-        Custom sections have columns of their own and stay out.
+        Custom sections have columns of their own, all of which go into the key.
         """
         parts = [self._findings_of(title, s) for title, s in self.sections.items()]
+        parts += [self._custom_findings(title) for title in self.custom]
         return reduce(DataFrame.unionByName, parts)
 
     def _findings_of(self, title: str, section: Section) -> DataFrame:
@@ -53,7 +56,7 @@ class Report:
         for side in (1, 2):
             value = section.value(sides, side)
             if value is None and section.values:
-                value = shown({v: F.col(f"`{sides.label(side, v)}`") for v in section.values})
+                value = shown({v: F.col(quoted(sides.label(side, v))) for v in section.values})
             values.append(F.lit(None).cast("string") if value is None else value.cast("string"))
         per_pair = sides.group and section.values
         pair = F.col("pair_id") if per_pair else F.lit(self.pair_id)
@@ -65,11 +68,19 @@ class Report:
             values[1].alias("value_2"),
         )
 
+    def _custom_findings(self, title: str) -> DataFrame:
+        rows, none = self.results[title], F.lit(None).cast("string")
+        key = F.create_map(*[part for n in rows.columns for part in (F.lit(n), F.col(quoted(n)).cast("string"))])
+        return rows.select(
+            F.lit(self.pair_id).cast("string").alias("pair_id"), F.lit(title).alias("section"),
+            key.cast("map<string,string>").alias("key"), none.alias("value_1"), none.alias("value_2"),
+        )
+
     @property
     def pair_id(self) -> str | None:
         """The id of the one pair compared; NULL for rows that belong to no pair."""
         sides = self.comparison.sides
-        return f"{sides.first}|{sides.second}" if isinstance(sides, TwoInstances) else None
+        return pair_id(sides.first, sides.second) if isinstance(sides, TwoInstances) else None
 
     def summary(self, findings: DataFrame | None = None) -> DataFrame:
         """Findings per section and pair, sections without any included."""
@@ -85,7 +96,7 @@ class Report:
         """Every section of every pair: a constant list exploded per pair."""
         sides = self.comparison.sides
         spark = self.comparison.staging[next(iter(self.comparison.staging))].sparkSession
-        titles = F.explode(F.array(*[F.lit(t) for t in self.sections])).alias("section")
+        titles = F.explode(F.array(*[F.lit(t) for t in (*self.sections, *self.custom)])).alias("section")
         if isinstance(sides, TwoInstances):
             return spark.range(1).select(F.lit(self.pair_id).alias("pair_id"), titles)
         general = [t for t, s in self.sections.items() if not s.values]
@@ -122,6 +133,7 @@ def compare(
     """
     owners = parse_owner_list(owners) if isinstance(owners, str) else owners
     owner_maps = parse_owner_map(owner_maps) if isinstance(owner_maps, str) else owner_maps
+    owner_maps = owner_maps and list(dict.fromkeys(map(tuple, owner_maps)))
     if instances is not None and pairs is not None:
         raise ValueError("give two instances or many pairs, not both")
     if pairs is not None:
@@ -129,6 +141,13 @@ def compare(
         sides = InstancePairs.of(spark, pairs)
     else:
         sides = TwoInstances(*(instances or pick_instances(staging["instances"])), universe)
+    named = list(instances or ())
+    if pairs is not None and not isinstance(pairs, DataFrame):
+        named = list(dict.fromkeys(i for pair in pairs for i in pair))
+    if 0 < len(named) <= MAX_IN_LIST:
+        staged = staging["instances"].where(F.col("pkey").isin(*named)).select("pkey").distinct()
+        if unknown := sorted(set(named) - {row["pkey"] for row in staged.collect()}):
+            raise ValueError(f"not staged: {unknown}")
     registry = MAPPED_SECTIONS if owner_maps else SECTIONS
     titles = [t for t, s in registry.items() if s.default] if sections is None else list(sections)
     unknown = [t for t in titles if t not in registry]

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalogdiff.functions import quoted
 from catalogdiff.operators import drift
 from catalogdiff.operators.counts import count_diff, line_diff, mapped_count_diff
 from catalogdiff.operators.presence import (
@@ -41,6 +42,8 @@ class Comparison:
     owner_maps: Sequence[tuple[str, str]] | None = None
     dedupe: bool = False
     order: Sequence[str] = ()
+    # Whether the report has all counts too, whose exchange the mismatches then share.
+    counts_shared: bool = False
 
     @property
     def result(self) -> dict:
@@ -69,7 +72,8 @@ def object_counts(c: Comparison) -> DataFrame:
 
 
 def object_counts_mismatch(c: Comparison) -> DataFrame:
-    return c.sorted(count_diff(c.rows("dbobjectnames"), ("owner", "object_type"), c.sides, mismatch=True))
+    rows = c.rows("dbobjectnames")
+    return c.sorted(count_diff(rows, ("owner", "object_type"), c.sides, mismatch=True, prune=not c.counts_shared))
 
 
 def missing_objects(c: Comparison) -> DataFrame:
@@ -167,7 +171,7 @@ class Section:
 
     def value(self, sides: Sides, side: int) -> Column | None:
         names = [sides.label(side, v) for v in self.values]
-        return F.col(f"`{names[0]}`") if len(names) == 1 else None
+        return F.col(quoted(names[0])) if len(names) == 1 else None
 
 
 _STATUS, _COUNT, _LINES = ("status",), ("count",), ("line_count",)

@@ -36,7 +36,7 @@ STAGED: dict[str, T.StructType] = {
     "triggers": _schema("owner", "trigger_name", "table_name", "status"),
     "indexes": _schema(
         "owner", "index_name", "index_type", "table_owner", "table_name",
-        "uniqueness", "status", "num_rows:int",
+        "uniqueness", "status", "num_rows:bigint",
     ),
     "roleprivs": _schema("grantee", "granted_role"),
     "sysprivs": _schema("grantee", "privilege"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,22 @@ def read_extracts(spark: SparkSession, folder: str, table: str, splittable: bool
     return rows
 
 
+def extract_tables(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the tables that a folder has extracts of; files are listed, not read."""
+    pattern = f"{folder}/*{NAME_SEPARATOR}*{NAME_SEPARATOR}*"
+    try:
+        files = spark.read.format("binaryFile").load(pattern)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    name = F.regexp_extract("path", EXTRACT_NAME, 1)
+    for mark in SKIPPED_MARKS:
+        files = files.where(~name.contains(mark))
+    names = files.select(F.split(name, NAME_SEPARATOR)[1].alias("name")).distinct()
+    return [row["name"] for row in names.collect() if row["name"]]
+
+
 def write_extract(rows: DataFrame, folder: str, table: str, prefix: str = "catalog") -> None:
     """Write rows as one extract of ``table``, in parts, under the name it is routed by."""
     name = NAME_SEPARATOR.join((prefix, table, "data.csv"))

@@ -6,10 +6,11 @@ from collections.abc import Iterator, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from catalogdiff.operators.supplied import sourcecode_rollup
 from catalogdiff.schemas import STAGED, conform
-from catalogdiff.sources.extracts import read_extracts
+from catalogdiff.sources.extracts import extract_tables, read_extracts
 
 
 class Staging(Mapping[str, DataFrame]):
@@ -43,8 +44,13 @@ class _Folder(Staging):
         self._spark, self._path, self._names = spark, path, tables
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._tables and name in self._names and name != "sourcecode":
-            self._tables[name] = read_staged(self._spark, self._path, name)
+        if name not in self._tables and name in self._names:
+            try:
+                self._tables[name] = read_staged(self._spark, self._path, name)
+            except AnalysisException as error:
+                # Only the rollup can be had without being staged.
+                if name != "sourcecode" or error.getCondition() != "PATH_NOT_FOUND":
+                    raise
         return super().__getitem__(name)
 
     def __iter__(self) -> Iterator[str]:
@@ -64,11 +70,12 @@ def write_staged(rows: DataFrame, path: str, table: str) -> None:
 
     Rows are gathered by instance first, so that an instance is a few files
     rather than one per task; an instance that holds much of the rows is split
-    at run time.
+    at run time. A row without an instance id fails the job.
     """
+    missing = f"raise_error('a row of {table} has no pkey')"
     (
         conform(rows, table)
-        .where("pkey IS NOT NULL")
+        .withColumn("pkey", F.expr(f"CASE WHEN pkey <> '' THEN pkey ELSE {missing} END"))
         .hint("rebalance", "pkey")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -83,16 +90,21 @@ def stage(tables: Mapping[str, DataFrame], path: str) -> None:
         write_staged(rows, path, name)
 
 
-def import_extracts(spark: SparkSession, folder: str, path: str, tables: list[str] | None = None) -> list[str]:
+def import_extracts(
+    spark: SparkSession, folder: str, path: str, tables: list[str] | None = None, splittable: bool = False
+) -> list[str]:
     """Load the extracts of a folder into staging; returns the tables loaded.
 
-    Without ``tables``, every table that has an extract is loaded. A record
-    that does not fit its table fails the job.
+    Without ``tables``, every table that has an extract is loaded, and an extract of
+    a table that is not known fails. A record that does not fit its table fails the job.
+    ``splittable`` reads big files in pieces, where no record goes over several lines.
     """
+    if tables is None and (unknown := sorted(set(extract_tables(spark, folder)) - set(STAGED))):
+        raise ValueError(f"extracts of unknown tables: {unknown}")
     loaded = []
     for name in tables or STAGED:
         try:
-            rows = read_extracts(spark, folder, name)
+            rows = read_extracts(spark, folder, name, splittable)
         except AnalysisException as error:
             if tables is None and error.getCondition() == "PATH_NOT_FOUND":
                 continue

@@ -372,9 +372,11 @@ ORACLES: dict[str, str] = {
         "fx_dbobjectnames", absent("fx_dbobjectnames", OBJECT, universe=f"pkey IN ('{SRC}', '{TGT}')")
     ),
     "objects_missing_picked_instances": section("Missing Objects"),
+    "objects_missing_long_owner_list": over("fx_dbobjectnames", absent("fx_dbobjectnames", OBJECT, where=IN_OWNERS)),
     "columns_missing": section("Missing Columns"),
     "columns_missing_owner_filter": over(ALL_STAGED, missing_columns(OWNERS)),
     "indexes_missing": section("Missing Indexes"),
+    "indexes_missing_deduped": over(ALL_STAGED, f"SELECT DISTINCT * FROM ({STAGED_SQL['Missing Indexes']})"),
     "routines_missing": section("Missing PLSQL"),
     "routines_missing_listed_instances": over(
         ["fx_three_sources", "fx_roleprivs"],
@@ -397,6 +399,7 @@ ORACLES: dict[str, str] = {
     "columns_missing_many_pairs": over(ALL_STAGED, per_pair(pair_columns)),
     "column_type_mismatch_many_pairs": over(ALL_STAGED, per_pair(lambda a, b: drift(a, b, ("{}_1", "{}_2")))),
     "object_counts_many_pairs": over(ALL_STAGED, pair_counts(PAIRS)),
+    "object_counts_many_pairs_repeated": over(ALL_STAGED, pair_counts(PAIRS)),
     "pg_columns": over(PG_RAW, pg_columns()),
     "pg_columns_by_name_only": over(PG_RAW, pg_columns(by_name_only=True)),
     "pg_instance": over("fleet_pg_namespace", "SELECT DISTINCT pkey, 1 AS con_id FROM fleet_pg_namespace"),
@@ -464,7 +467,7 @@ ORACLES: dict[str, str] = {
     "supplied_indexes": over(
         "fx_indexes",
         "SELECT pkey, 1 AS con_id, owner, index_name, index_type, CAST(NULL AS VARCHAR) AS table_owner, table_name,"
-        " CAST(NULL AS VARCHAR) AS uniqueness, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS INT) AS num_rows,"
+        " CAST(NULL AS VARCHAR) AS uniqueness, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS num_rows,"
         " 'Oracle' AS dma_source_id, CAST(NULL AS VARCHAR) AS dma_manual_id FROM fx_indexes",
     ),
     "supplied_roleprivs": over("fx_roleprivs", supplied_grants("fx_roleprivs", "granted_role")),
@@ -487,6 +490,13 @@ ORACLES: dict[str, str] = {
         f" WHERE pkey = '{SRC}' AND owner IN ({text_list(OWNERS)}) GROUP BY owner, object_type",
     ),
     "findings": over(ALL_STAGED, findings(SECTIONS, STAGED_SQL)),
+    "findings_with_custom": over(
+        ALL_STAGED,
+        findings(SECTIONS, {"Missing PLSQL": STAGED_SQL["Missing PLSQL"]})
+        + f" UNION ALL SELECT '{SRC}|{TGT}', 'Types', {named(('owner', 'data_type', 'columns_1', 'columns_2'))}, NULL, NULL FROM ("
+        f"SELECT owner, data_type, COUNT(*) FILTER (WHERE pkey = '{SRC}') AS columns_1, COUNT(*) FILTER (WHERE pkey = '{TGT}') AS columns_2"
+        f" FROM fx_columns GROUP BY owner, data_type)",
+    ),
     "findings_written": over(ALL_STAGED, findings(SECTIONS, {t: q for t, q in STAGED_SQL.items() if SECTIONS[t].default})),
     "section_summary": over(ALL_STAGED, summary()),
     "mapped_findings": over(ALL_MAPPED, findings(MAPPED_SECTIONS, MAPPED_SQL)),

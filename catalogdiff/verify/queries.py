@@ -199,6 +199,11 @@ def custom(text: str) -> Query:
     return query
 
 
+def findings_with_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a built-in section and of a custom one."""
+    return readable(report(spark, sf_dir, sections=["Missing PLSQL"], custom={"Types": CUSTOM_TEXT}).findings())
+
+
 def host_instance_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instance ids of hosts: those of the pages, and their numbers written as addresses."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -220,9 +225,11 @@ QUERIES: dict[str, Query] = {
     "objects_missing_deduped": section("Missing Objects", dedupe=True),
     "objects_missing_own_universe": section("Missing Objects", universe="pair"),
     "objects_missing_picked_instances": objects_missing_picked,
+    "objects_missing_long_owner_list": section("Missing Objects", owners=[*OWNERS, *(f"NOBODY_{i}" for i in range(1500))]),
     "columns_missing": section("Missing Columns"),
     "columns_missing_owner_filter": section("Missing Columns", owners=OWNERS),
     "indexes_missing": section("Missing Indexes"),
+    "indexes_missing_deduped": section("Missing Indexes", dedupe=True),
     "routines_missing": section("Missing PLSQL"),
     "routines_missing_listed_instances": routines_missing_listed,
     "column_type_mismatch": section("Column Type Mismatches"),
@@ -247,6 +254,7 @@ QUERIES: dict[str, Query] = {
     "columns_missing_many_pairs": section("Missing Columns", pairs=PAIRS),
     "column_type_mismatch_many_pairs": section("Column Type Mismatches", pairs=PAIRS),
     "object_counts_many_pairs": section("All Object Counts", pairs=PAIRS),
+    "object_counts_many_pairs_repeated": section("All Object Counts", pairs=[*PAIRS, *PAIRS]),
     # Normalisers.
     "pg_columns": pg(op.pg_columns),
     "pg_columns_by_name_only": pg(op.pg_columns, compat=True),
@@ -280,6 +288,7 @@ QUERIES: dict[str, Query] = {
     "custom_section": custom(CUSTOM_TEXT),
     "custom_template": custom(CUSTOM_TEMPLATE),
     "findings": lambda spark, sf_dir: readable(all_sections(spark, sf_dir).findings()),
+    "findings_with_custom": findings_with_custom,
     "findings_written": findings_written,
     "section_summary": lambda spark, sf_dir: all_sections(spark, sf_dir).summary(),
     "mapped_findings": mapped_findings,

@@ -44,11 +44,26 @@ def test_nothing_found_still_summarises(spark, staging, tmp_path):
 
 
 def test_many_pair_summary_lists_every_pair(staging):
-    pairs = [(SRC, TGT), (TGT, TGT)]
+    pairs = [(SRC, TGT), (TGT, SRC), (SRC, TGT)]
     report = compare(staging, pairs=pairs, sections=["Instances", "Missing PLSQL"])
     got = {(r["pair_id"], r["section"]): r["findings"] for r in report.summary().collect()}
-    assert set(got) == {(None, "Instances"), (f"{SRC}|{TGT}", "Missing PLSQL"), (f"{TGT}|{TGT}", "Missing PLSQL")}
-    assert got[None, "Instances"] == 3 and got[f"{TGT}|{TGT}", "Missing PLSQL"] == 0
+    assert set(got) == {(None, "Instances"), (f"{SRC}|{TGT}", "Missing PLSQL"), (f"{TGT}|{SRC}", "Missing PLSQL")}
+    assert got[None, "Instances"] == 3 and got[f"{SRC}|{TGT}", "Missing PLSQL"] == got[f"{TGT}|{SRC}", "Missing PLSQL"]
+
+
+def test_pairs_and_ids_that_cannot_be_compared(staging):
+    for pairs in ([(TGT, TGT)], [(SRC, None)], [(SRC, "nowhere")]):
+        with pytest.raises(ValueError):
+            compare(staging, pairs=pairs, sections=["Instances"])
+    with pytest.raises(ValueError):
+        compare(staging, instances=(SRC, "nowhere"))
+
+
+def test_custom_sections_are_findings(staging):
+    report = compare(staging, sections=["Instances"], custom={"Mine": "SELECT 1 AS one", "None": "SELECT 2 AS two WHERE false"})
+    rows = [r for r in report.findings().collect() if r["section"] == "Mine"]
+    assert [(r["key"], r["value_1"]) for r in rows] == [({"one": "1"}, None)]
+    assert {r["section"]: r["findings"] for r in report.summary().collect()} == {"Instances": 3, "Mine": 1, "None": 0}
 
 
 def test_many_pairs_agree_with_one_pair(staging):

@@ -77,9 +77,25 @@ def test_listed_pairs_prune_the_scan(spark, tmp_path):
 
 
 def test_pairs_from_a_dataframe(spark):
-    pairs = spark.createDataFrame([(1, "a", "b"), (2, "b", "b")], "pair_id int, pkey_1 string, pkey_2 string")
+    pairs = spark.createDataFrame([(1, "a", "b"), (1, "a", "b")], "pair_id int, pkey_1 string, pkey_2 string")
     tagged = InstancePairs.of(spark, pairs).tag(ids(spark, "a", "b", "c"))
     assert sorted(map(tuple, tagged.select("pair_id", "pkey", "side").collect())) == [(1, "a", 1), (1, "b", 2)]
+    for wrong in ([(1, "a", "b"), (1, "a", "c")], [(1, "a", "a")], [(1, "a", None)]):
+        pairs = spark.createDataFrame(wrong, "pair_id int, pkey_1 string, pkey_2 string")
+        with pytest.raises(Exception, match="pair_id names two pairs"):
+            InstancePairs.of(spark, pairs).tag(ids(spark, "a", "b", "c")).collect()
+
+
+def test_pairs_with_bars_in_their_ids(spark):
+    found = InstancePairs.of(spark, [("a|b", "c"), ("a", "b|c"), ("a", "b|c")]).pairs.collect()
+    assert len(found) == 2 and len({r["pair_id"] for r in found}) == 2
+
+
+def test_long_owner_lists_keep_the_columns(spark):
+    rows = spark.createDataFrame([("p", "a", 1), ("p", "z", 2)], "pkey string, owner string, n int")
+    for owners in (["a"], ["a", *(f"o{i}" for i in range(2000))]):
+        found = filter_owners(rows, owners)
+        assert found.columns == rows.columns and [tuple(r) for r in found.collect()] == [("p", "a", 1)]
 
 
 def test_names_with_quotes_and_backslashes_are_plain_text(spark):
