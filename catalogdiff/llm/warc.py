@@ -1,7 +1,9 @@
 """WARC archives: written from a table, and read back by a reader that salvages what damage leaves.
 
-Records are built as columns and written by Spark's text writer, whose line
-separator is the two line ends that close a record, so files are plain WARC/1.1.
+Records are built as columns, packed as a gzip member each, and written by Spark's text
+writer as the bytes they are. That writer wants something between rows: an empty
+gzip member, which readers of gzip pass over. Unpacked, it is the two line ends that
+close a record, and files are plain WARC/1.1.
 The reader takes files whole (archives are written in files of a bounded size), plain or as
 gzip members. It checks every record: version line, headers, length, closing line ends, and
 digest. Where a check fails it looks for the next member or version line that starts a
@@ -10,6 +12,7 @@ valid record, goes on from there, and logs the bytes between as a quarantined ga
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -27,6 +30,9 @@ END, CLOSE = "\r\n", "\r\n\r\n"
 START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 LENGTH = re.compile(rb"\d{1,15}")
 
+# A gzip member that holds nothing.
+NOTHING = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + bytes(8)
+
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 # Payloads below this are never told apart by digest; bytes of an archive file that are aimed at.
 SMALLEST, FILE_BYTES = 1000, 16 << 20
@@ -58,13 +64,13 @@ def revisits(pages: DataFrame, smallest: int = SMALLEST) -> DataFrame:
 
 def write_archives(
     pages: DataFrame, path: str, smallest: int = SMALLEST, file_bytes: int = FILE_BYTES,
-    date: str = "2024-01-01T00:00:00Z",
+    date: str = "2024-01-01T00:00:00Z", packed: bool = True,
 ) -> None:
     """Write a record for every row of ``pages (page_id, url, html)`` to the new folder ``path``.
 
     A page whose payload an other page of larger page_id has becomes a revisit without payload.
     A NULL page_id is written as ``null``, a NULL url as ``about:blank``, and white space in urls is
-    escaped. Files hold as many records as make ``file_bytes`` on average.
+    escaped. Files hold as many records as make ``file_bytes`` unpacked on average.
     """
     rows = revisits(pages, smallest)
     url = F.url_encode(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(\S*)$", 1))
@@ -93,8 +99,20 @@ def write_archives(
     )
     size, count = pages.select(F.sum(F.octet_length("html")), F.count("*")).first()
     per_file = max(1, int(file_bytes * count / max(1, (size or 0) + 500 * count)))
-    out = rows.select(record.alias("value")).write.option("lineSep", CLOSE).option("maxRecordsPerFile", per_file)
-    out.text(path)
+    out, between = rows.select(record.alias("value")), CLOSE
+    if packed:
+        # The bytes pass as a text, which Spark neither checks nor changes.
+        out = out.mapInArrow(_pack, "value binary").select(F.col("value").cast("string").alias("value"))
+        between = NOTHING.decode("latin-1")
+    out = out.write.option("encoding", "ISO-8859-1" if packed else "UTF-8").option("maxRecordsPerFile", per_file)
+    out.option("lineSep", between).text(path)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    close = CLOSE.encode()
+    for batch in batches:
+        members = [gzip.compress(r.as_py().encode() + close, mtime=0) for r in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["value"])
 
 
 def _parse(data: bytes, at: int) -> tuple[dict | None, int, str]:
@@ -144,6 +162,8 @@ def _member(data: bytes, at: int) -> tuple[dict | None, int, str]:
     if not inflate.eof:
         return None, at, "gzip member is cut short"
     plain = b"".join(parts)
+    if not plain:
+        return {}, fed - len(inflate.unused_data), ""
     fields, end, reason = _parse(plain, 0)
     if fields is not None and end != len(plain):
         return None, at, "more than a record in a member"
@@ -151,7 +171,7 @@ def _member(data: bytes, at: int) -> tuple[dict | None, int, str]:
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
-    """``(start, stop, fields, reason)`` of records and, without fields, of the gaps between them."""
+    """``(start, stop, fields, reason)`` of records and, without fields, of the gaps between them; empty members are neither."""
     at, lost, why = 0, None, ""
     while at < len(data):
         found, stop, reason = (_member if data[at : at + 2] == b"\x1f\x8b" else _parse)(data, at)
@@ -159,7 +179,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
             if lost is not None:
                 yield lost, at, None, why
                 lost = None
-            yield at, stop, found, ""
+            if found:
+                yield at, stop, found, ""
             at = stop
             continue
         if lost is None:

@@ -346,7 +346,8 @@ def test_reputation_shrinks_to_the_domain(spark):
     assert got["new.bad.com"][1] < got["new.good.com"][1] and got["mixed.org"][0] == "allow"
 
 
-def test_warc_of_odd_rows(spark):
+@pytest.mark.parametrize("packed", [True, False])
+def test_warc_of_odd_rows(spark, packed):
     big = "<p>" + "ä" * 600
     rows = [
         (1, None, None), (2, "http://a b\r\nX: y", ""), (3, "http://x/", big), (4, "http://y/", big), (4, "http://y/", big),
@@ -355,7 +356,7 @@ def test_warc_of_odd_rows(spark):
     ]
     pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id bigint, url string, html string, digest string, keeper string")
     path = common.new_folder(spark, "odd-archives")
-    warc.write_archives(pages, path)
+    warc.write_archives(pages, path, packed=packed)
     got = warc.read_archives(spark, path).collect()
     assert all(r["kind"] == "record" for r in got) and len(got) == len(rows)
     want = Counter()
