@@ -1 +1,51 @@
-ORACLES: dict[str, str] = {}
+"""SQL that a query must equal, where SQL can express it."""
+
+from __future__ import annotations
+
+MIXING = r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw
+    FROM documents
+), s AS (
+    SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source
+), w AS (
+    SELECT *, 3 * source_size AS cap, CASE r % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s
+), o AS (
+    SELECT *, row_number() OVER (ORDER BY CAST(cap AS DOUBLE) / weight, r) AS k FROM w
+), c AS (
+    SELECT *, sum(cap) OVER (ORDER BY k) - cap AS clamped, sum(weight) OVER (ORDER BY k DESC) AS rest_weight,
+           sum(source_size) OVER () AS total
+    FROM o
+), l AS (
+    SELECT CAST(total - clamped AS DOUBLE) / rest_weight AS level FROM c
+    WHERE CAST(total - clamped AS DOUBLE) / rest_weight * weight <= cap ORDER BY k LIMIT 1
+), t AS (
+    SELECT source, source_size, least(weight * level, CAST(cap AS DOUBLE)) AS target FROM o, l
+), p AS (
+    SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t
+), u AS (
+    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d
+), x AS (
+    SELECT u.doc_id, u.size, p.source_size, p.target,
+           CAST(p.whole + CASE WHEN u.upto - u.size / 2.0 < p.target - p.whole * p.source_size THEN 1 ELSE 0 END AS BIGINT) AS copies
+    FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(copies * size AS BIGINT) AS taken, copies
+FROM x
+"""
+
+WARC = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), k AS (
+    SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN n >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
+FROM k
+"""
+
+ORACLES: dict[str, str] = {"op1_mixing": MIXING, "op5_warc": WARC}
