@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from catalogdiff.llm.licences import COPYRIGHT_LINE, LICENCES, NOTICES, SPELLINGS
+from catalogdiff.llm.reputation import TWO_LABEL_SUFFIXES
+
 MIXING = r"""
 WITH d AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -48,4 +51,170 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
 FROM k
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": MIXING, "op5_warc": WARC}
+
+def text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+# The shares of a text that may lie in duplicated n-grams, in thousandths.
+IN_NGRAMS = {5: 150, 6: 140, 7: 130, 8: 120, 9: 110, 10: 100}
+
+
+def quality() -> str:
+    """Windows as texts, one row a word, where the query rolls hashes inside a text."""
+    words = ["word", *(f"lead(word, {n}) OVER o" for n in range(1, 10))]
+    grams = ", ".join(f"{" || ' ' || ".join(words[:n])} AS g{n}" for n in IN_NGRAMS)
+    again = ", ".join(f"g{n} IS NOT NULL AND count(*) OVER (PARTITION BY r, g{n}) > 1 AS again{n}" for n in IN_NGRAMS)
+    inside = ", ".join(
+        f"bool_or(again{n}) OVER (PARTITION BY r ORDER BY i ROWS {n - 1} PRECEDING) AS in{n}" for n in IN_NGRAMS
+    )
+    sums = ", ".join(f"sum(length(word)) FILTER (WHERE in{n}) AS chars_in_{n}" for n in IN_NGRAMS)
+    shown = ", ".join(f"CAST(coalesce(chars_in_{n}, 0) AS BIGINT) AS chars_in_{n}" for n in IN_NGRAMS)
+    good = " AND ".join(f"1000 * chars_in_{n} <= {most} * word_chars" for n, most in IN_NGRAMS.items())
+    return rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), l AS (
+    SELECT r, t, doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d
+), w AS (
+    SELECT r, unnest(words) AS word, unnest(range(len(words))) AS i FROM l
+), g AS (
+    SELECT r, i, word, {grams} FROM w WINDOW o AS (PARTITION BY r ORDER BY i)
+), a AS (
+    SELECT r, i, word, {again} FROM g
+), c AS (
+    SELECT r, word, {inside} FROM a
+), s AS (
+    SELECT r, count(*) AS n_words, sum(length(word)) AS word_chars, count(*) FILTER (WHERE in8) AS n_repeat_words, {sums}
+    FROM c GROUP BY r
+), n AS (
+    SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM d
+), k AS (
+    SELECT r, regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g') AS rest,
+           row_number() OVER (PARTITION BY r, line ORDER BY i) AS nth
+    FROM n
+), q AS (
+    SELECT r, count(*) AS n_dup_lines, sum(length(rest)) AS dup_line_chars FROM k WHERE nth > 1 AND rest <> '' GROUP BY r
+), x AS (
+    SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+           CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+           CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+           CAST(coalesce(dup_line_chars, 0) AS BIGINT) AS dup_line_chars,
+           CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, {shown}
+    FROM d LEFT JOIN s USING (r) LEFT JOIN q USING (r)
+), y AS (
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM x
+)
+SELECT *, NOT base_failed AND 1000 * dup_line_chars <= 200 * word_chars AND {good} AS kept FROM y
+"""
+
+
+def licence_form(value: str) -> str:
+    """The form in which texts are compared."""
+    found = f"regexp_replace(lower(coalesce({value}, '')), {text(COPYRIGHT_LINE)}, '', 'g')"
+    found = rf"trim(regexp_replace({found}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    for other, usual in SPELLINGS:
+        found = f"replace({found}, {text(other)}, {text(usual)})"
+    return found
+
+
+def licence_scan() -> str:
+    """Lines are joined with the notices by their whole form, where the query looks digests up."""
+    notices = ", ".join(f"({text(name)}, {text(one)})" for name, some in NOTICES.items() for one in some)
+    whole = ", ".join(f"({text(name)}, {text(one)})" for name, one in LICENCES.items())
+    return f"""
+WITH notice AS (
+    SELECT DISTINCT licence, {licence_form('v')} AS form FROM (VALUES {notices}) n(licence, v)
+), known AS (
+    SELECT licence, form FROM notice UNION SELECT licence, {licence_form('v')} FROM (VALUES {whole}) n(licence, v)
+), d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {licence_form('text')} AS form FROM documents
+), line AS (
+    SELECT r, unnest(string_split(t, chr(10))) AS v FROM d
+), named AS (
+    SELECT DISTINCT r, licence FROM (SELECT r, {licence_form('v')} AS form FROM line) JOIN notice USING (form)
+), listed AS (
+    SELECT r, string_agg(licence, ',' ORDER BY licence) AS notices FROM named GROUP BY r
+)
+SELECT doc_id, sha256(d.form) AS text_digest, licence, coalesce(notices, '') AS notices
+FROM d LEFT JOIN known ON known.form = d.form LEFT JOIN listed USING (r)
+"""
+
+
+def reputation() -> str:
+    """Each level by the same two steps: its prior's weight from the spread of its groups, then their estimates."""
+    two_labels = ", ".join(map(text, TWO_LABEL_SUFFIXES))
+    levels, keys, above = "", [], "(SELECT m FROM total)"
+    for level in ("suffix", "domain", "host"):
+        source = f"known JOIN after_{keys[-1]} USING ({', '.join(keys)})" if keys else "known"
+        mean = "min(after)" if keys else above
+        keys.append(level)
+        names = ", ".join(keys)
+        levels += f"""
+), {level}_groups AS (
+    SELECT {names}, sum(pages) AS pages, sum(good) AS good, {mean} AS m FROM {source} GROUP BY {names}
+), {level}_spread AS (
+    SELECT sum((good / pages - m) ** 2) AS seen, sum(m * (1 - m) / pages) AS least,
+           sum(m * (1 - m) * (1 - 1 / pages)) AS slope
+    FROM {level}_groups WHERE pages > 0
+), {level}_weight AS (
+    SELECT CASE WHEN coalesce(slope, 0) = 0 THEN 10.0::DOUBLE
+                ELSE round(1 / least(0.9, greatest(0.001, (seen - least) / slope)) - 1, 6) END AS w
+    FROM {level}_spread
+), {level}_beta AS (
+    SELECT {names}, good + w * m AS a, pages - good + w * (1 - m) AS b FROM {level}_groups, {level}_weight
+), after_{level} AS (
+    SELECT {names}, a / (a + b) AS after FROM {level}_beta"""
+    return rf"""
+WITH u AS (
+    SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages
+), outcome AS (
+    SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 WHEN quality <> 1 OR toxic <> 0 THEN 0 END) AS good
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), per_host AS (
+    SELECT host, CAST(count(good) AS DOUBLE) AS pages, CAST(coalesce(sum(good), 0) AS DOUBLE) AS good
+    FROM u LEFT JOIN outcome USING (page_id) GROUP BY host
+), parts AS (
+    SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM per_host
+), cut AS (
+    SELECT *, string_split(name, '.') AS p, regexp_matches(name, '^[0-9.]+$|^\[') AS address FROM parts
+), ends AS (
+    SELECT *, p[len(p)] AS one, array_to_string(p[greatest(len(p) - 1, 1):], '.') AS two,
+           array_to_string(p[greatest(len(p) - 2, 1):], '.') AS three
+    FROM cut
+), known AS (
+    SELECT host, pages, good,
+           CASE WHEN address THEN name WHEN two IN ({two_labels}) THEN two ELSE one END AS suffix,
+           CASE WHEN address THEN name WHEN two IN ({two_labels}) THEN three ELSE two END AS domain
+    FROM ends
+), total AS (
+    SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(pages), 0) + 2) AS m FROM known{levels}
+), bounds AS (
+    SELECT host, round(a / (a + b) + 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 9) AS bound
+    FROM host_beta
+), ruled AS (
+    SELECT page_id, host, path, bound, CASE
+           WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+           WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+           WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+           WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+           WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+    FROM u JOIN bounds USING (host)
+)
+SELECT page_id, host, path, rule, CASE
+       WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+       WHEN bound < 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_mixing": MIXING,
+    "op5_warc": WARC,
+    "op6_quality": quality(),
+    "op7_licences": licence_scan(),
+    "op10_reputation": reputation(),
+}
