@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalogdiff.functions import quoted
 from catalogdiff.operators.selection import TwoInstances
 from catalogdiff.plans.sections import Comparison
 
@@ -28,6 +29,10 @@ FILTER_PLACEHOLDERS = {
 }
 VALUES = ("instance_1_id", "instance_2_id", "instance_1_owner", "instance_2_owner")
 
+# Comments and text literals, which are told apart from the code around them.
+COMMENT_OR_LITERAL = re.compile(r"""(--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*")""", re.DOTALL)
+VALUE_PLACEHOLDER = re.compile(f"<({'|'.join(VALUES)})>")
+
 
 def custom_section(text: str, comparison: Comparison) -> DataFrame:
     """Result of a custom text for a two-instance comparison."""
@@ -63,15 +68,32 @@ def custom_section(text: str, comparison: Comparison) -> DataFrame:
 
 
 def from_template(text: str, sides: TwoInstances) -> str:
-    """Placeholders → markers; an id inside a column name becomes a quoted name."""
+    """Placeholders → markers; an id inside a column name becomes a quoted name.
+
+    Inside a text literal a placeholder is joined to the text around it. Comments are left
+    out, and a placeholder that cannot be resolved fails.
+    """
     ids = {"1": sides.first, "2": sides.second}
 
     def name_with_id(match: re.Match) -> str:
-        return "`" + (ids[match[1]] + match[2]).replace("`", "``") + "`"
-
-    for mark, (word, column) in FILTER_PLACEHOLDERS.items():
-        text = text.replace(mark, f"{word} (:all_owners OR array_contains(:owners, {column}))")
-    for value in VALUES:
-        text = text.replace(f"'<{value}>'", f":{value}")
-    text = re.sub(r"<instance_([12])_id>(\w*)", name_with_id, text)
-    return re.sub(re.escape(TABLE_PLACEHOLDER) + r"\.(\w+)", lambda m: f"IDENTIFIER(:{m[1].lower()})", text)
+        return quoted(ids[match[1]] + match[2])
+
+    def literal_with_values(literal: str) -> str:
+        mark, pieces = literal[0], VALUE_PLACEHOLDER.split(literal[1:-1])
+        if len(pieces) == 1:
+            return literal
+        parts = [f":{p}" if i % 2 else f"{mark}{p}{mark}" for i, p in enumerate(pieces) if p]
+        return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+
+    def code(part: str) -> str:
+        for mark, (word, column) in FILTER_PLACEHOLDERS.items():
+            part = part.replace(mark, f"{word} (:all_owners OR array_contains(:owners, {column}))")
+        part = re.sub(r"<instance_([12])_id>(\w*)", name_with_id, part)
+        part = re.sub(re.escape(TABLE_PLACEHOLDER) + r"\.(\w+)", lambda m: f"IDENTIFIER(:{m[1].lower()})", part)
+        if left := re.search(f"{TABLE_PLACEHOLDER}|{VALUE_PLACEHOLDER.pattern}", part):
+            raise ValueError(f"a placeholder stands where it has no meaning: {left[0]}")
+        return part
+
+    parts = COMMENT_OR_LITERAL.split(text)
+    done = [code(p) if not i % 2 else " " if p[0] in "-/" else literal_with_values(p) for i, p in enumerate(parts)]
+    return "".join(done)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from catalogdiff.operators.normalize_ora import SCOPES
 
 FETCH_SIZE = 10_000
+# Read on request only: no normaliser needs them, and grants of other users are in DBA views.
+ON_REQUEST = ("indexes", "role_privs", "sys_privs")
 
 # Catalog table → (SELECT list and FROM, expression to spread reads by).
 POSTGRES: dict[str, tuple[str, str]] = {
@@ -103,6 +105,10 @@ def read_predicates(dialect: str, spread: str, reads: int) -> list[str]:
     return [f"MOD(ABS({hashed}), {reads}) = {i}" for i in range(reads)]
 
 
+def default_tables(dialect: str) -> list[str]:
+    return [t for t in (POSTGRES if dialect == "postgres" else ORACLE) if t not in ON_REQUEST]
+
+
 def read_catalog(
     spark: SparkSession,
     url: str,
@@ -112,8 +118,8 @@ def read_catalog(
     reads: int = 8,
     properties: Mapping[str, str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Raw catalog tables of one database, ready for a normaliser."""
-    names = tables or list(POSTGRES if dialect == "postgres" else ORACLE)
+    """Raw catalog tables of one database: those a normaliser needs, unless ``tables`` names others."""
+    names = tables or default_tables(dialect)
     options = {"fetchsize": str(FETCH_SIZE), **(properties or {})}
     out = {}
     for name in names:

@@ -38,6 +38,9 @@ UNION ALL SELECT 'postgres_tgt', 1, owner, object_name, object_type, 1 + (k % 40
 """,
     "fx_sourcecode": """
 SELECT pkey, con_id, owner, type, SUM(nr_lines) AS sum_nr_lines FROM fx_sourcecodedetailed GROUP BY pkey, con_id, owner, type
+""",
+    "fx_sourcecode_staged": """
+SELECT pkey, con_id, owner, type, sum_nr_lines + CASE WHEN pkey = 'oracle_src' AND type = 'FUNCTION' THEN 7 ELSE 0 END AS sum_nr_lines FROM fx_sourcecode
 """,
     "fx_columns_base": """
 SELECT l_orderkey AS k, l_linenumber AS ln, b.owner, b.object_name AS table_name, 'COL_' || CAST(l_linenumber AS STRING) AS column_name, MAX(l_partkey) AS p, CAST(FLOOR(MAX(l_quantity)) AS INT) AS q, MAX(l_linestatus) AS s

@@ -384,6 +384,9 @@ ORACLES: dict[str, str] = {
     ),
     "column_type_mismatch": section("Column Type Mismatches"),
     "line_count_mismatch": section("Mismatched Line Counts (PL/SQL)"),
+    "line_count_mismatch_staged_rollup": over(
+        "fx_sourcecode_staged", lines("fx_sourcecode_staged", ("owner", "type"), "sum_nr_lines")
+    ),
     "line_count_mismatch_detailed": section("Mismatched Line Counts per Object (PL/SQL)"),
     "role_grants_missing": section("Missing Role Grants"),
     "sys_privs_missing": section("Missing Sys Privileges"),
@@ -489,6 +492,11 @@ ORACLES: dict[str, str] = {
         f"SELECT owner, object_type, '{SRC}' AS of_instance, COUNT(DISTINCT object_name) AS {SRC}_names FROM fx_dbobjectnames"
         f" WHERE pkey = '{SRC}' AND owner IN ({text_list(OWNERS)}) GROUP BY owner, object_type",
     ),
+    "custom_template_in_text": over(
+        "fx_dbobjectnames",
+        f"SELECT 'Only in {SRC}, not {TGT}' AS note, owner, COUNT(*) AS names FROM fx_dbobjectnames"
+        f" WHERE pkey = '{SRC}' AND owner IN ({text_list(OWNERS)}) GROUP BY owner",
+    ),
     "findings": over(ALL_STAGED, findings(SECTIONS, STAGED_SQL)),
     "findings_with_custom": over(
         ALL_STAGED,
@@ -499,5 +507,11 @@ ORACLES: dict[str, str] = {
     ),
     "findings_written": over(ALL_STAGED, findings(SECTIONS, {t: q for t, q in STAGED_SQL.items() if SECTIONS[t].default})),
     "section_summary": over(ALL_STAGED, summary()),
+    "section_summary_many_pairs": over(
+        ALL_STAGED,
+        "SELECT p.pair_id, 'Missing Objects' AS section, COUNT(f.pair_id) AS findings FROM"
+        f" (VALUES {', '.join(f"('{a}|{b}')" for a, b in PAIRS)}) p(pair_id) LEFT JOIN"
+        f" ({per_pair(lambda a, b: pair_absent('fx_dbobjectnames', OBJECT, a, b))}) f ON f.pair_id = p.pair_id GROUP BY p.pair_id",
+    ),
     "mapped_findings": over(ALL_MAPPED, findings(MAPPED_SECTIONS, MAPPED_SQL)),
 }

@@ -83,6 +83,13 @@ def routines_missing_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(Staging(staging), instances=(SRC, TGT), sections=["Missing PLSQL"])["Missing PLSQL"]
 
 
+def line_count_staged_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line counts staged as such go before the lines of routines, which are not staged here."""
+    title = "Mismatched Line Counts (PL/SQL)"
+    staging = frames(spark, sf_dir, {"instances": "fx_instances", "sourcecode": "fx_sourcecode_staged"})
+    return compare(Staging(staging), instances=(SRC, TGT), sections=[title])[title]
+
+
 def section(title: str, mapped: bool = False, **options) -> Query:
     if mapped:
         options.setdefault("owner_maps", OWNER_MAP)
@@ -190,6 +197,13 @@ FROM <dataset_name>.dbobjectnames a WHERE a.PKEY = '<instance_1_id>' <a_schema_f
 GROUP BY a.OWNER, a.OBJECT_TYPE;
 """
 
+CUSTOM_TEMPLATE_IN_TEXT = """
+-- What '<instance_1_id> doesn't share.
+SELECT 'Only in <instance_1_id>, not <instance_2_id>' AS note, a.OWNER AS owner, COUNT(*) AS names
+FROM <dataset_name>.dbobjectnames a WHERE a.PKEY = '<instance_1_id>' <a_schema_filter>
+GROUP BY a.OWNER;
+"""
+
 
 def custom(text: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,6 +248,7 @@ QUERIES: dict[str, Query] = {
     "routines_missing_listed_instances": routines_missing_listed,
     "column_type_mismatch": section("Column Type Mismatches"),
     "line_count_mismatch": section("Mismatched Line Counts (PL/SQL)"),
+    "line_count_mismatch_staged_rollup": line_count_staged_rollup,
     "line_count_mismatch_detailed": section("Mismatched Line Counts per Object (PL/SQL)"),
     "role_grants_missing": section("Missing Role Grants"),
     "sys_privs_missing": section("Missing Sys Privileges"),
@@ -287,9 +302,13 @@ QUERIES: dict[str, Query] = {
     "extract_roundtrip": extract_roundtrip,
     "custom_section": custom(CUSTOM_TEXT),
     "custom_template": custom(CUSTOM_TEMPLATE),
+    "custom_template_in_text": custom(CUSTOM_TEMPLATE_IN_TEXT),
     "findings": lambda spark, sf_dir: readable(all_sections(spark, sf_dir).findings()),
     "findings_with_custom": findings_with_custom,
     "findings_written": findings_written,
     "section_summary": lambda spark, sf_dir: all_sections(spark, sf_dir).summary(),
+    "section_summary_many_pairs": lambda spark, sf_dir: report(
+        spark, sf_dir, sections=["Missing Objects"], pairs=[*PAIRS, *PAIRS]
+    ).summary(),
     "mapped_findings": mapped_findings,
 }

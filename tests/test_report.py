@@ -134,3 +134,13 @@ def test_template_placeholders():
         "SELECT MAX(x) `a``b_n` FROM IDENTIFIER(:columns) i1 WHERE pkey = :instance_2_id"
         " AND (:all_owners OR array_contains(:owners, i1.OWNER))"
     )
+
+
+def test_template_placeholders_in_text_and_out_of_place():
+    sides = TwoInstances("a", "b")
+    assert from_template("SELECT 'of <instance_1_id>, <instance_2_id>' -- don't <instance_1_id>\n, 'it''s'", sides) == (
+        "SELECT concat('of ', :instance_1_id, ', ', :instance_2_id)  \n, 'it''s'"
+    )
+    for text in ("SELECT <instance_1_owner>", "SELECT 1 FROM <dataset_name>"):
+        with pytest.raises(ValueError, match="placeholder"):
+            from_template(text, sides)

@@ -10,7 +10,7 @@ import pytest
 from catalogdiff import Staging, import_extracts, stage
 from catalogdiff.schemas import STAGED, conform
 from catalogdiff.sources import read_extracts, read_staged, write_extract, write_staged
-from catalogdiff.sources.jdbc import ORACLE, POSTGRES, catalog_query, read_predicates
+from catalogdiff.sources.jdbc import ORACLE, POSTGRES, catalog_query, default_tables, read_predicates
 
 NAMES = STAGED["dbobjectnames"].names
 
@@ -145,3 +145,8 @@ def test_reads_are_spread_by_a_selected_column(dialect, tables):
         predicates = read_predicates(dialect, spread, 4)
         assert len(set(predicates)) == 4
         assert spread.partition("::")[0] in query
+
+
+def test_grants_and_indexes_are_read_on_request():
+    assert set(ORACLE) - set(default_tables("oracle")) == {"indexes", "role_privs", "sys_privs"}
+    assert default_tables("postgres") == list(POSTGRES)
