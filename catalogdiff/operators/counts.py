@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogdiff.functions import quoted
 from catalogdiff.operators.presence import Sides
 from catalogdiff.operators.selection import map_columns, map_owners
 
@@ -20,11 +19,10 @@ def count_diff(
     A third instance has no unequal counts, so for these ``prune`` reads the two compared only. Without it
     both forms aggregate the same rows, so that in one report they share an exchange.
     """
-    one, two = sides.label(1, "count"), sides.label(2, "count")
     counted = sides.tag(rows, own_only=mismatch and prune).groupBy(*sides.group, *keys).agg(
-        F.expr("count_if(side = 1)").alias(one), F.expr("count_if(side = 2)").alias(two)
+        F.expr("count_if(side = 1) AS count_1"), F.expr("count_if(side = 2) AS count_2")
     )
-    return counted.where(F.col(quoted(one)) != F.col(quoted(two))) if mismatch else counted
+    return sides.labelled(counted.where("count_1 <> count_2") if mismatch else counted, "count")
 
 
 def mapped_count_diff(
@@ -34,17 +32,15 @@ def mapped_count_diff(
     mine = map_owners(sides.tag(rows, own_only=True), owner_maps)
     mine = mine.withColumn("_loose", F.when(F.col(key).isNull(), F.col("side")))
     counted = mine.groupBy(*sides.group, *map_columns(owner_maps), key, "_loose").agg(
-        F.expr("count_if(side = 1)").alias(sides.label(1, "count")),
-        F.expr("count_if(side = 2)").alias(sides.label(2, "count")),
+        F.expr("count_if(side = 1) AS count_1"), F.expr("count_if(side = 2) AS count_2")
     )
-    return counted.drop("_loose")
+    return sides.labelled(counted.drop("_loose"), "count")
 
 
 def line_diff(rows: DataFrame, keys: Sequence[str], lines: str, sides: Sides) -> DataFrame:
     """Keys both sides have whose line counts differ; of duplicates the largest counts."""
-    one, two = sides.label(1, "line_count"), sides.label(2, "line_count")
     counted = sides.tag(rows, own_only=True).groupBy(*sides.group, *keys).agg(
-        F.max(F.when(F.col("side") == 1, F.col(lines))).alias(one),
-        F.max(F.when(F.col("side") == 2, F.col(lines))).alias(two),
+        F.max(F.when(F.col("side") == 1, F.col(lines))).alias("line_count_1"),
+        F.max(F.when(F.col("side") == 2, F.col(lines))).alias("line_count_2"),
     )
-    return counted.where(F.col(quoted(one)) != F.col(quoted(two)))
+    return sides.labelled(counted.where("line_count_1 <> line_count_2"), "line_count")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogdiff.functions import all_present, differs, quoted
+from catalogdiff.functions import all_present, differs
 from catalogdiff.operators.copies import repeat_rows
 from catalogdiff.operators.presence import Sides
 
@@ -36,8 +36,10 @@ def column_drift(
     joined = left.join(right, same_key & differs("l", "r", COMPARED))
     shown = [f"l.{k} AS {k}" for k in group]
     for name in SHOWN:
-        shown += [f"{of}.{name} AS {quoted(sides.label(side, name))}" for of, side in (("l", 1), ("r", 2))]
+        shown += [f"l.{name} AS {name}_1", f"r.{name} AS {name}_2"]
     if dedupe:
         found = joined.selectExpr(*shown).distinct()
-        return found.orderBy(*order) if order else found
-    return repeat_rows(joined.selectExpr(*shown, "_copies"), "_copies", order=order)
+        found = found.orderBy(*order) if order else found
+    else:
+        found = repeat_rows(joined.selectExpr(*shown, "_copies"), "_copies", order=order)
+    return sides.labelled(found, *SHOWN)

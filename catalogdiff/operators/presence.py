@@ -27,23 +27,22 @@ def _side_counts(keys: Sequence[str]) -> tuple[Column, Column]:
     return F.expr(f"count_if(side = 1 AND {whole}) AS _n1"), F.expr(f"count_if(side = 2 AND {whole}) AS _n2")
 
 
-def _status(sides: Sides) -> list[Column]:
-    return [
-        F.expr(f"CASE WHEN _n{side} > 0 THEN 'Present' ELSE 'Missing' END").alias(sides.label(side, "status"))
-        for side in (1, 2)
-    ]
+def _status() -> list[Column]:
+    return [F.expr(f"CASE WHEN _n{side} > 0 THEN 'Present' ELSE 'Missing' END AS status_{side}") for side in (1, 2)]
 
 
 def _finish(
     counted: DataFrame, shown: Sequence[str], sides: Sides, dedupe: bool, order: Sequence[str]
 ) -> DataFrame:
     """Statuses, and each row as often as the side that has it holds it."""
-    columns = [*sides.group, *shown, *_status(sides)]
+    columns = [*sides.group, *shown, *_status()]
     if dedupe:
         found = counted.select(*columns)
-        return found.orderBy(*order) if order else found
-    found = counted.select(*columns, F.expr("greatest(_n1, _n2, 1L) AS _copies"))
-    return repeat_rows(found, "_copies", order=order)
+        found = found.orderBy(*order) if order else found
+    else:
+        found = counted.select(*columns, F.expr("greatest(_n1, _n2, 1L) AS _copies"))
+        found = repeat_rows(found, "_copies", order=order)
+    return sides.labelled(found, "status")
 
 
 def lacking(rows: DataFrame, keys: Sequence[str], sides: Sides) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -99,6 +99,11 @@ def filter_owners(rows: DataFrame, owners: Sequence[str] | str | None) -> DataFr
     return rows.join(wanted, "owner", "left_semi").select(*rows.columns)
 
 
+def renamed(rows: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """Columns renamed by place: names may differ in case only, which tells them apart nowhere else."""
+    return rows.toDF(*[names.get(c, c) for c in rows.columns])
+
+
 @dataclass(frozen=True)
 class TwoInstances:
     """A comparison of two instances; ``universe`` says whose keys are looked at.
@@ -136,6 +141,10 @@ class TwoInstances:
     def label(self, side: int, what: str) -> str:
         return f"{self.first if side == 1 else self.second}_{what}"
 
+    def labelled(self, rows: DataFrame, *values: str) -> DataFrame:
+        """Columns ``<value>_1, <value>_2`` under the names of the instances."""
+        return renamed(rows, {f"{v}_{side}": self.label(side, v) for v in values for side in (1, 2)})
+
 
 def pair_id(first: str, second: str) -> str:
     """``first|second``; a bar inside an id is escaped, so that two pairs never have one name."""
@@ -192,6 +201,10 @@ class InstancePairs:
     def label(self, side: int, what: str) -> str:
         return f"{what}_{side}"
 
+    def labelled(self, rows: DataFrame, *values: str) -> DataFrame:
+        """The rows as they are: columns of many pairs are named by side."""
+        return rows
+
 
 def map_columns(owner_maps: Sequence[tuple[str, str]]) -> list[str]:
     """Columns that tell several owner maps apart; a single map needs none."""

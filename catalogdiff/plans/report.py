@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogdiff.functions import parse_owner_list, parse_owner_map, quoted, shown
-from catalogdiff.operators.selection import MAX_IN_LIST, InstancePairs, TwoInstances, pair_id, pick_instances
+from catalogdiff.operators.selection import MAX_IN_LIST, InstancePairs, TwoInstances, pair_id, pick_instances, renamed
 from catalogdiff.plans.custom import custom_section
 from catalogdiff.plans.sections import MAPPED_SECTIONS, SECTIONS, Comparison, Section, object_counts
 
@@ -50,13 +50,14 @@ class Report:
 
     def _findings_of(self, title: str, section: Section) -> DataFrame:
         rows, sides = self.results[title], self.comparison.sides
+        rows = renamed(rows, {sides.label(side, v): f"{v}_{side}" for v in section.values for side in (1, 2)})
         names = [*(c for c in MAP_COLUMNS if c in rows.columns), *section.keys]
         key = F.create_map(*[part for n in names for part in (F.lit(n), F.col(n).cast("string"))])
         values = []
         for side in (1, 2):
-            value = section.value(sides, side)
+            value = section.value(side)
             if value is None and section.values:
-                value = shown({v: F.col(quoted(sides.label(side, v))) for v in section.values})
+                value = shown({v: F.col(f"{v}_{side}") for v in section.values})
             values.append(F.lit(None).cast("string") if value is None else value.cast("string"))
         per_pair = sides.group and section.values
         pair = F.col("pair_id") if per_pair else F.lit(self.pair_id)

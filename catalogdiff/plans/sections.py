@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogdiff.functions import quoted
 from catalogdiff.operators import drift
 from catalogdiff.operators.counts import count_diff, line_diff, mapped_count_diff
 from catalogdiff.operators.presence import (
@@ -169,9 +168,8 @@ class Section:
     order: tuple[str, ...]
     default: bool = True
 
-    def value(self, sides: Sides, side: int) -> Column | None:
-        names = [sides.label(side, v) for v in self.values]
-        return F.col(quoted(names[0])) if len(names) == 1 else None
+    def value(self, side: int) -> Column | None:
+        return F.col(f"{self.values[0]}_{side}") if len(self.values) == 1 else None
 
 
 _STATUS, _COUNT, _LINES = ("status",), ("count",), ("line_count",)

@@ -21,24 +21,30 @@ EXTRACT_NAME = r"([^/]*)(?:/part-[^/]*)?$"
 def read_extracts(spark: SparkSession, folder: str, table: str, splittable: bool = False) -> DataFrame:
     """All extracts of one table in a folder.
 
-    Headers are checked against the schema, and a bad record fails the job.
+    Headers are checked against the schema, and a bad record fails the job. A table
+    that is not known has the columns of its header, all of them text.
     A quoted field may hold the delimiter, a quote or a line break; only an
     empty field is NULL. Because of
     line breaks a file is one task; ``splittable=True`` cuts big files instead,
     and fails (never misreads) on a record that goes over several lines. Staging
     spreads the rows again either way.
     """
+    if table in STAGED:
+        reader, paths = spark.read.schema(STAGED[table]), f"{folder}/*{NAME_SEPARATOR}{table}{NAME_SEPARATOR}*"
+    else:
+        # The header comes from a file, which has to be one of this table.
+        files = extract_files(spark, folder)
+        reader, paths = spark.read, sorted(row["path"] for row in files.where(F.col("name") == table).collect())
     name = F.regexp_extract(F.col("_metadata.file_path"), EXTRACT_NAME, 1)
     rows = (
-        spark.read.schema(STAGED[table])
-        .option("header", True)
+        reader.option("header", True)
         .option("enforceSchema", False)
         .option("sep", DELIMITER)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", not splittable)
         .option("mode", "FAILFAST")
-        .csv(f"{folder}/*{NAME_SEPARATOR}{table}{NAME_SEPARATOR}*")
+        .csv(paths)
         .where(F.split(name, NAME_SEPARATOR)[1] == table)
     )
     for mark in SKIPPED_MARKS:
@@ -46,27 +52,34 @@ def read_extracts(spark: SparkSession, folder: str, table: str, splittable: bool
     return rows
 
 
-def extract_tables(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the tables that a folder has extracts of; files are listed, not read."""
+def extract_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, name`` of the extracts in a folder and their tables; files are listed, not read."""
     pattern = f"{folder}/*{NAME_SEPARATOR}*{NAME_SEPARATOR}*"
     try:
         files = spark.read.format("binaryFile").load(pattern)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return []
+            return spark.createDataFrame([], "path string, name string")
         raise
     name = F.regexp_extract("path", EXTRACT_NAME, 1)
     for mark in SKIPPED_MARKS:
         files = files.where(~name.contains(mark))
-    names = files.select(F.split(name, NAME_SEPARATOR)[1].alias("name")).distinct()
-    return [row["name"] for row in names.collect() if row["name"]]
+    return files.select("path", F.split(name, NAME_SEPARATOR)[1].alias("name")).where("name <> ''")
+
+
+def extract_tables(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the tables that a folder has extracts of."""
+    return sorted(row["name"] for row in extract_files(spark, folder).select("name").distinct().collect())
 
 
 def write_extract(rows: DataFrame, folder: str, table: str, prefix: str = "catalog") -> None:
-    """Write rows as one extract of ``table``, in parts, under the name it is routed by."""
+    """Write rows as one extract of ``table``, in parts, under the name it is routed by.
+
+    A table that is not known is written with the columns it has.
+    """
     name = NAME_SEPARATOR.join((prefix, table, "data.csv"))
     (
-        conform(rows, table)
+        (conform(rows, table) if table in STAGED else rows)
         .write.mode("overwrite")
         .option("header", True)
         .option("sep", DELIMITER)

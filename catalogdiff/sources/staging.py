@@ -7,7 +7,9 @@ from collections.abc import Iterator, Mapping
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from catalogdiff.functions import literal, quoted
 from catalogdiff.operators.supplied import sourcecode_rollup
 from catalogdiff.schemas import STAGED, conform
 from catalogdiff.sources.extracts import extract_tables, read_extracts
@@ -21,8 +23,11 @@ class Staging(Mapping[str, DataFrame]):
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, tables: list[str] | None = None) -> Staging:
-        """Tables of a staging folder, read lazily and only when a section asks for them."""
-        return _Folder(spark, path, tables or list(STAGED))
+        """Tables of a staging folder, read lazily and only when a section asks for them.
+
+        Without ``tables`` those of the user's own are found as well, under the names they were staged by.
+        """
+        return _Folder(spark, path, tables)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name == "sourcecode" and name not in self._tables:
@@ -39,17 +44,17 @@ class Staging(Mapping[str, DataFrame]):
 
 
 class _Folder(Staging):
-    def __init__(self, spark: SparkSession, path: str, tables: list[str]):
+    def __init__(self, spark: SparkSession, path: str, tables: list[str] | None):
         super().__init__({})
-        self._spark, self._path, self._names = spark, path, tables
+        self._spark, self._path, self._names, self._any = spark, path, tables or list(STAGED), tables is None
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._tables and name in self._names:
+        if name not in self._tables and (self._any or name in self._names):
             try:
                 self._tables[name] = read_staged(self._spark, self._path, name)
             except AnalysisException as error:
-                # Only the rollup can be had without being staged.
-                if name != "sourcecode" or error.getCondition() != "PATH_NOT_FOUND":
+                # The rollup can be had without being staged; a name that is not known is a missing key.
+                if error.getCondition() != "PATH_NOT_FOUND" or name in STAGED and name != "sourcecode":
                     raise
         return super().__getitem__(name)
 
@@ -62,7 +67,11 @@ class _Folder(Staging):
 
 def read_staged(spark: SparkSession, path: str, table: str) -> DataFrame:
     """One staged table. The schema is given, so an id such as ``007`` stays text."""
-    return spark.read.schema(STAGED[table]).parquet(f"{path}/{table}").select(*STAGED[table].names)
+    schema = STAGED.get(table)
+    if schema is None:
+        # A table of the user's own: text columns, whatever its instance ids look like.
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in spark.read.parquet(f"{path}/{table}").columns])
+    return spark.read.schema(schema).parquet(f"{path}/{table}").select(*map(quoted, schema.names))
 
 
 def write_staged(rows: DataFrame, path: str, table: str) -> None:
@@ -70,11 +79,16 @@ def write_staged(rows: DataFrame, path: str, table: str) -> None:
 
     Rows are gathered by instance first, so that an instance is a few files
     rather than one per task; an instance that holds much of the rows is split
-    at run time. A row without an instance id fails the job.
+    at run time. A row without an instance id fails the job. A table of the user's own
+    keeps its columns; one without ``pkey`` is replaced as a whole.
     """
-    missing = f"raise_error('a row of {table} has no pkey')"
+    missing = f"raise_error({literal(f'a row of {table} has no pkey')})"
+    if table in STAGED:
+        rows = conform(rows, table)
+    elif "pkey" not in map(str.lower, rows.columns):
+        return rows.write.mode("overwrite").parquet(f"{path}/{table}")
     (
-        conform(rows, table)
+        rows
         .withColumn("pkey", F.expr(f"CASE WHEN pkey <> '' THEN pkey ELSE {missing} END"))
         .hint("rebalance", "pkey")
         .write.mode("overwrite")
@@ -95,14 +109,14 @@ def import_extracts(
 ) -> list[str]:
     """Load the extracts of a folder into staging; returns the tables loaded.
 
-    Without ``tables``, every table that has an extract is loaded, and an extract of
-    a table that is not known fails. A record that does not fit its table fails the job.
+    Without ``tables``, every table that has an extract is loaded. One that is not known is a
+    table of the user's own: its header names its columns, which are text, and custom
+    sections read it by its name. A record that does not fit its table fails the job.
     ``splittable`` reads big files in pieces, where no record goes over several lines.
     """
-    if tables is None and (unknown := sorted(set(extract_tables(spark, folder)) - set(STAGED))):
-        raise ValueError(f"extracts of unknown tables: {unknown}")
+    own = sorted(set(extract_tables(spark, folder)) - set(STAGED)) if tables is None else []
     loaded = []
-    for name in tables or STAGED:
+    for name in tables or [*STAGED, *own]:
         try:
             rows = read_extracts(spark, folder, name, splittable)
         except AnalysisException as error:

@@ -59,6 +59,13 @@ SELECT 'oracle_src' AS pkey, c_name AS grantee, c_mktsegment AS privilege FROM c
     "fx_indexes": """
 SELECT 'oracle_src' AS pkey, 'SCH_' || CAST(p_size AS STRING) AS owner, p_brand AS table_name, 'IX_' || CAST(p_partkey AS STRING) AS index_name, CASE WHEN p_partkey % 10 = 0 THEN 'LOB' WHEN p_partkey % 37 = 0 THEN NULL ELSE 'NORMAL' END AS index_type FROM part WHERE p_partkey % 13 <> 0
 UNION ALL SELECT 'postgres_tgt', 'SCH_' || CAST(p_size AS STRING), p_brand, 'IX_' || CAST(p_partkey AS STRING), CASE WHEN p_partkey % 10 = 0 THEN 'LOB' WHEN p_partkey % 37 = 0 THEN NULL WHEN p_partkey % 41 = 0 THEN 'BITMAP' ELSE 'NORMAL' END FROM part WHERE p_partkey % 17 <> 0
+UNION ALL SELECT 'oracle_src', 'SCH_' || CAST(p_size AS STRING), p_brand, 'IX_' || CAST(p_partkey AS STRING), CASE WHEN p_partkey % 2 = 0 THEN 'BITMAP' ELSE 'LOB' END FROM part WHERE p_partkey % 17 = 0 AND p_partkey % 13 <> 0
+""",
+    "fx_columns_repeated": """
+SELECT pkey, con_id, owner, table_name, column_name, data_type, data_length, data_precision, data_scale, nullable FROM fx_columns
+UNION ALL SELECT pkey, con_id, owner, table_name, column_name, data_type, data_length + 1, data_precision, data_scale, nullable FROM fx_columns WHERE data_scale = 1
+UNION ALL SELECT pkey, con_id, owner, table_name, column_name, 'RAW', data_length, data_precision, data_scale, nullable FROM fx_columns WHERE data_scale < 2 AND pkey = 'oracle_src'
+UNION ALL SELECT pkey, con_id, owner, table_name, column_name, data_type, data_length, data_precision, data_scale, nullable FROM fx_columns WHERE data_precision < 9
 """,
     "fx_mapped_objects": """
 SELECT 'oracle_src' AS pkey, REPLACE(owner,'SCH_','SRC_') AS owner, object_name, object_type FROM fx_objects_base WHERE k % 13 <> 0 UNION ALL SELECT 'postgres_tgt', REPLACE(owner,'SCH_','TGT_'), object_name, object_type FROM fx_objects_base WHERE k % 17 <> 0
@@ -75,6 +82,9 @@ SELECT CAST(n_nationkey AS BIGINT) AS oid, CASE WHEN n_nationkey=0 THEN 'pg_cata
     "raw_pg_class": """
 SELECT o_orderkey AS oid, CASE WHEN o_orderkey % 61 = 0 THEN 'x_rowid_' || CAST(o_orderkey AS STRING) WHEN o_orderkey % 59 = 0 THEN 'shared_' || CAST(o_orderkey % 10 AS STRING) ELSE 'rel_' || CAST(o_orderkey AS STRING) END AS relname, CAST(c_nationkey AS BIGINT) + CASE WHEN o_orderkey % 499 = 0 THEN 1000 ELSE 0 END AS relnamespace,
  SUBSTRING('rvmiStpIfc', CAST(o_orderkey % 10 AS INT) + 1, 1) AS relkind FROM orders JOIN customer ON o_custkey=c_custkey
+""",
+    "raw_pg_class_two": """
+SELECT oid, CASE WHEN relkind IN ('v','S') THEN relname || '_two' ELSE relname END AS relname, relnamespace, relkind FROM raw_pg_class
 """,
     "raw_pg_inherits": """
 SELECT oid AS inhrelid, oid - 6 AS inhparent FROM raw_pg_class WHERE oid % 4 = 0 UNION ALL SELECT oid, oid - 16 FROM raw_pg_class WHERE oid % 40 = 0
@@ -97,6 +107,9 @@ SELECT n.nspname AS table_schema, c.relname AS table_name FROM raw_pg_class c JO
     "raw_ora_objects": """
 SELECT CASE WHEN c_nationkey = 0 THEN 'SYS' WHEN c_nationkey = 1 THEN 'SYSTEM' ELSE 'sch_' || CAST(c_nationkey AS STRING) END AS owner, CASE WHEN o_orderkey % 53 = 0 THEN 'DR$IDX_' || CAST(o_orderkey AS STRING) ELSE 'OBJ_' || CAST(o_orderkey AS STRING) END AS object_name,
  CASE WHEN o_orderkey % 7 = 1 AND o_orderkey % 3 <> 0 THEN 'P' || CAST(o_orderkey % 4 AS STRING) END AS subobject_name, CASE WHEN o_orderkey % 7 = 0 THEN 'TABLE' WHEN o_orderkey % 7 = 1 THEN 'TABLE PARTITION' WHEN o_orderkey % 7 = 2 THEN 'VIEW' WHEN o_orderkey % 7 = 3 THEN 'INDEX' WHEN o_orderkey % 7 = 4 THEN 'LOB' WHEN o_orderkey % 7 = 5 THEN 'PACKAGE BODY' ELSE 'SEQUENCE' END AS object_type FROM orders JOIN customer ON o_custkey=c_custkey
+""",
+    "raw_ora_objects_two": """
+SELECT owner, CASE WHEN object_type IN ('VIEW','SEQUENCE') THEN object_name || '_TWO' ELSE object_name END AS object_name, subobject_name, object_type FROM raw_ora_objects
 """,
     "raw_ora_tab_partitions": """
 SELECT owner AS table_owner, object_name AS table_name, 'P1' AS partition_name FROM raw_ora_objects WHERE object_type='TABLE' AND object_name LIKE '%5' UNION ALL SELECT owner, object_name, 'P2' FROM raw_ora_objects WHERE object_type='TABLE' AND object_name LIKE '%5'

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from catalogdiff.plans.sections import MAPPED_SECTIONS, SECTIONS
 from catalogdiff.verify.fixtures import SRC, TGT, ctes
 from catalogdiff.verify.queries import OWNER_MAP, OWNER_MAPS, OWNERS, PAIRS
 
@@ -91,12 +90,12 @@ def pair_counts(pairs: Sequence[tuple[str, str]]) -> str:
     return " UNION ALL ".join(parts)
 
 
-def drift(one: str = SRC, two: str = TGT, names: tuple[str, str] = (f"{SRC}_{{}}", f"{TGT}_{{}}")) -> str:
+def drift(one: str = SRC, two: str = TGT, names: tuple[str, str] = (f"{SRC}_{{}}", f"{TGT}_{{}}"), table: str = "fx_columns") -> str:
     shown = ("data_type", "data_length", "data_precision", "nullable")
     pairs = ", ".join(f"{s}.{c} AS {n.format(c)}" for c in shown for s, n in zip("xy", names))
     unequal = " OR ".join(f"x.{c} <> y.{c}" for c in (*shown, "data_scale"))
     return (
-        f"SELECT {cols(COLUMN, 'x.')}, {pairs} FROM fx_columns x JOIN fx_columns y ON {on('x', 'y', COLUMN)}"
+        f"SELECT {cols(COLUMN, 'x.')}, {pairs} FROM {table} x JOIN {table} y ON {on('x', 'y', COLUMN)}"
         f" AND x.pkey = '{one}' AND y.pkey = '{two}' AND ({unequal})"
     )
 
@@ -118,11 +117,10 @@ def mapped_absent(table: str, keys: Sequence[str], maps: Sequence[tuple[str, str
     for o1, o2 in maps:
         one = f"(pkey = '{SRC}' AND owner = '{o1}')"
         two = f"(pkey = '{TGT}' AND owner = '{o2}')"
-        status = [f"CASE WHEN {s}.{keys[-1]} IS NULL THEN 'Missing' ELSE 'Present' END AS {i}_status" for s, i in zip("xy", (SRC, TGT))]
+        # A match needs every key part; the first part alone may be present.
+        status = [f"CASE WHEN {s}.hit IS NULL THEN 'Missing' ELSE 'Present' END AS {i}_status" for s, i in zip("xy", (SRC, TGT))]
         labels = f"'{o1}' AS owner_1, '{o2}' AS owner_2, " if len(maps) > 1 else ""
         first = keys[0]
-        # A match needs every key part; the first part alone may be present.
-        status = [t.replace(f".{keys[-1]} IS NULL", ".hit IS NULL") for t in status]
         parts.append(
             f"SELECT {labels}u.owner, {cols(keys, 'u.')}, {', '.join(status)}"
             f" FROM (SELECT DISTINCT owner, {cols(keys)} FROM {table} WHERE {one} OR {two}) u"
@@ -171,11 +169,14 @@ def staged(select: str, source: str, pkey: str | None, dialect: str) -> str:
     return f"SELECT {key}, 1 AS con_id, {select}, '{dialect}' AS dma_source_id, CAST(NULL AS VARCHAR) AS dma_manual_id FROM ({source}) s"
 
 
-def pg_objects(prefix: str = "raw", pkey: str | None = TGT, kinds_left_out: Sequence[str] = ()) -> str:
+# The kinds of relations that are objects.
+RELATION_KINDS = ("r", "v", "m", "i", "S", "t", "p", "I")
+
+
+def pg_objects(prefix: str = "raw", pkey: str | None = TGT, classes: str | None = None) -> str:
     db = "pkey, " if pkey is None else ""
     same = lambda a, b: f" AND {a}.pkey = {b}.pkey" if pkey is None else ""
-    out = f" AND c.relkind NOT IN ({text_list(kinds_left_out)})" if kinds_left_out else ""
-    cls = f"(SELECT * FROM {prefix}_pg_class c WHERE true{out})"
+    cls = classes or f"{prefix}_pg_class"
     k = "c.pkey, " if pkey is None else ""
     kp = "p.pkey, " if pkey is None else ""
     relations = (
@@ -187,7 +188,7 @@ def pg_objects(prefix: str = "raw", pkey: str | None = TGT, kinds_left_out: Sequ
         f" LEFT JOIN {prefix}_pg_inherits h ON h.inhrelid = c.oid{same('h', 'c')}"
         " LEFT JOIN (VALUES ('r', 'TABLE'), ('v', 'VIEW'), ('m', 'MATERIALIZED VIEW'), ('S', 'SEQUENCE'),"
         " ('t', 'TOAST TABLE'), ('p', 'PARTITIONED TABLE')) d(letter, kind) ON d.letter = c.relkind"
-        " WHERE strpos('rvmiStpI', c.relkind) > 0 AND n.nspname NOT IN ('pg_catalog', 'information_schema', 'pg_toast')"
+        f" WHERE c.relkind IN ({text_list(RELATION_KINDS)}) AND n.nspname NOT IN ('pg_catalog', 'information_schema', 'pg_toast')"
     )
     routines = (
         f"SELECT {kp}n.nspname, p.proname, CASE WHEN p.prokind = 'p' THEN 'PROCEDURE' WHEN p.prokind = 'f' THEN 'FUNCTION' END"
@@ -237,13 +238,12 @@ def quoted(name: str) -> str:
     return f"CASE WHEN regexp_full_match({name}, '[a-z_][a-z0-9_]*') THEN {name} ELSE '\"' || {name} || '\"' END"
 
 
-def ora_objects(table: str = "raw_ora_objects", parts: str = "raw_ora_tab_partitions", pkey: str | None = SRC, user: bool = False, left_out: Sequence[str] = ()) -> str:
+def ora_objects(table: str = "raw_ora_objects", parts: str = "raw_ora_tab_partitions", pkey: str | None = SRC, user: bool = False) -> str:
     more = " AND p.pkey = s.pkey" if pkey is None else ""
     owner_match = "" if user else " AND p.table_owner = s.owner"
-    out = f" AND s.object_type NOT IN ({text_list(left_out)})" if left_out else ""
     who = "'APP_OWNER'" if user else "upper(s.owner)"
     keep = "true" if user else USERS
-    source = f"SELECT * FROM {table} s WHERE {keep} AND s.object_type <> 'LOB'{out}"
+    source = f"SELECT * FROM {table} s WHERE {keep} AND s.object_type <> 'LOB'"
     name = (
         "CASE WHEN s.object_type = 'TABLE PARTITION' THEN concat(s.object_name, '_', s.subobject_name)"
         " WHEN s.object_name LIKE 'DR$IDX_%' THEN s.object_name || ' *Warning: FULL TEXT SEARCH INDEX*' ELSE s.object_name END"
@@ -261,9 +261,9 @@ ORA_COLUMNS = (
 
 MODE_PARTS = {
     ("oracle", "db_one"): lambda k: ora_objects(pkey=k),
-    ("oracle", "db_two"): lambda k: ora_objects(pkey=k, left_out=("VIEW", "SEQUENCE")),
+    ("oracle", "db_two"): lambda k: ora_objects("raw_ora_objects_two", pkey=k),
     ("postgres", "db_one"): lambda k: pg_objects(pkey=k),
-    ("postgres", "db_two"): lambda k: pg_objects(pkey=k, kinds_left_out=("v", "S")),
+    ("postgres", "db_two"): lambda k: pg_objects(pkey=k, classes="raw_pg_class_two"),
 }
 PG_RAW = [f"raw_pg_{t}" for t in ("namespace", "class", "inherits", "language", "proc", "trigger", "info_columns", "info_views")]
 ORA_RAW = [f"raw_ora_{t}" for t in ("objects", "tab_partitions", "source", "tab_columns", "views", "triggers")]
@@ -274,7 +274,7 @@ def compare_modes(mode: str) -> str:
         f"SELECT * FROM ({MODE_PARTS[d, k](k)})" for d, k in zip(mode.split("_to_"), ("db_one", "db_two"))
     )
     found = absent("both_sides", OBJECT, "pkey = 'db_one'", "pkey = 'db_two'", names=("db_one_status", "db_two_status"))
-    return f"{ctes(*PG_RAW, *ORA_RAW)}, both_sides AS ({both}) {found}"
+    return f"{ctes(*PG_RAW, *ORA_RAW, 'raw_pg_class_two', 'raw_ora_objects_two')}, both_sides AS ({both}) {found}"
 
 
 def supplied_grants(table: str, grant: str) -> str:
@@ -315,20 +315,50 @@ def named(names: Sequence[str], of: dict[str, str] | None = None) -> str:
     return " || ', ' || ".join(f"'{n}=' || COALESCE(CAST({(of or {}).get(n, n)} AS VARCHAR), 'NULL')" for n in names)
 
 
-def findings(sections, sqls) -> str:
+# What names a finding of each section, its value on a side, and the sections that run unasked.
+REPORTED = {
+    "Instances": (("instance_id",), ()),
+    "Mismatched Object Counts": (("owner", "object_type"), ("count",)),
+    "All Object Counts": (("owner", "object_type"), ("count",)),
+    "All Object Counts (per Schema)": (("owner", "object_type"), ("count",)),
+    "Mismatched Object Counts (per Schema)": (("owner", "object_type"), ("count",)),
+    "Missing Objects": (OBJECT, ("status",)),
+    "Missing Columns": (COLUMN, ("status",)),
+    "Missing Indexes": (INDEX, ("status",)),
+    "Column Type Mismatches": (COLUMN, ("data_type", "data_length", "data_precision", "nullable")),
+    "Mismatched Line Counts (PL/SQL)": (("owner", "type"), ("line_count",)),
+    "Missing PLSQL": (ROUTINE, ("status",)),
+    "Mismatched Line Counts per Object (PL/SQL)": (ROUTINE, ("line_count",)),
+    "Missing Role Grants": (("grantee", "granted_role"), ("status",)),
+    "Missing Sys Privileges": (("grantee", "privilege"), ("status",)),
+}
+MAPPED_REPORTED = {
+    "Instances": (("instance_id",), ()),
+    "All Object Counts": (("object_type",), ("count",)),
+    "Missing Objects": (OBJECT, ("status",)),
+    "Missing Columns": (COLUMN, ("status",)),
+    "Missing PLSQL": (ROUTINE, ("status",)),
+}
+DEFAULTS = (
+    "Instances", "Mismatched Object Counts", "All Object Counts", "All Object Counts (per Schema)",
+    "Mismatched Object Counts (per Schema)", "Missing Objects", "Missing Columns", "Missing PLSQL",
+)
+
+
+def findings(reported: dict[str, tuple], sqls: dict[str, str]) -> str:
     parts = []
     for title, sql in sqls.items():
-        s = sections[title]
+        keys, shown = reported[title]
         values = []
         for i in (SRC, TGT):
-            if not s.values:
+            if not shown:
                 values.append("CAST(NULL AS VARCHAR)")
-            elif len(s.values) == 1:
-                values.append(f"CAST({i}_{s.values[0]} AS VARCHAR)")
+            elif len(shown) == 1:
+                values.append(f"CAST({i}_{shown[0]} AS VARCHAR)")
             else:
-                values.append(named(s.values, {v: f"{i}_{v}" for v in s.values}))
+                values.append(named(shown, {v: f"{i}_{v}" for v in shown}))
         parts.append(
-            f"SELECT '{SRC}|{TGT}' AS pair_id, '{title}' AS section, {named(s.keys)} AS key,"
+            f"SELECT '{SRC}|{TGT}' AS pair_id, '{title}' AS section, {named(keys)} AS key,"
             f" {values[0]} AS value_1, {values[1]} AS value_2 FROM ({sql})"
         )
     return " UNION ALL ".join(parts)
@@ -383,6 +413,7 @@ ORACLES: dict[str, str] = {
         absent("fx_three_sources", ROUTINE, universe="pkey IN (SELECT pkey FROM fx_roleprivs)"),
     ),
     "column_type_mismatch": section("Column Type Mismatches"),
+    "column_type_mismatch_several_declarations": over("fx_columns_repeated", drift(table="fx_columns_repeated")),
     "line_count_mismatch": section("Mismatched Line Counts (PL/SQL)"),
     "line_count_mismatch_staged_rollup": over(
         "fx_sourcecode_staged", lines("fx_sourcecode_staged", ("owner", "type"), "sum_nr_lines")
@@ -482,6 +513,10 @@ ORACLES: dict[str, str] = {
     ),
     "host_instance_ids": f"SELECT host, 'oracle_' || {HOST_ID} AS oracle_id, 'postgres' || {HOST_ID} AS postgres_id FROM ({HOSTS})",
     "extract_roundtrip": over("fx_columns", "SELECT * FROM fx_columns"),
+    "extract_import_other_table": over(
+        "fx_sysprivs",
+        f"SELECT grantee, privilege, COUNT(*) AS times FROM fx_sysprivs WHERE pkey = '{SRC}' GROUP BY grantee, privilege",
+    ),
     "custom_section": over(
         "fx_columns",
         f"SELECT owner, data_type, COUNT(*) FILTER (WHERE pkey = '{SRC}') AS columns_1, COUNT(*) FILTER (WHERE pkey = '{TGT}') AS columns_2"
@@ -497,15 +532,15 @@ ORACLES: dict[str, str] = {
         f"SELECT 'Only in {SRC}, not {TGT}' AS note, owner, COUNT(*) AS names FROM fx_dbobjectnames"
         f" WHERE pkey = '{SRC}' AND owner IN ({text_list(OWNERS)}) GROUP BY owner",
     ),
-    "findings": over(ALL_STAGED, findings(SECTIONS, STAGED_SQL)),
+    "findings": over(ALL_STAGED, findings(REPORTED, STAGED_SQL)),
     "findings_with_custom": over(
         ALL_STAGED,
-        findings(SECTIONS, {"Missing PLSQL": STAGED_SQL["Missing PLSQL"]})
+        findings(REPORTED, {"Missing PLSQL": STAGED_SQL["Missing PLSQL"]})
         + f" UNION ALL SELECT '{SRC}|{TGT}', 'Types', {named(('owner', 'data_type', 'columns_1', 'columns_2'))}, NULL, NULL FROM ("
         f"SELECT owner, data_type, COUNT(*) FILTER (WHERE pkey = '{SRC}') AS columns_1, COUNT(*) FILTER (WHERE pkey = '{TGT}') AS columns_2"
         f" FROM fx_columns GROUP BY owner, data_type)",
     ),
-    "findings_written": over(ALL_STAGED, findings(SECTIONS, {t: q for t, q in STAGED_SQL.items() if SECTIONS[t].default})),
+    "findings_written": over(ALL_STAGED, findings(REPORTED, {t: STAGED_SQL[t] for t in DEFAULTS})),
     "section_summary": over(ALL_STAGED, summary()),
     "section_summary_many_pairs": over(
         ALL_STAGED,
@@ -513,5 +548,5 @@ ORACLES: dict[str, str] = {
         f" (VALUES {', '.join(f"('{a}|{b}')" for a, b in PAIRS)}) p(pair_id) LEFT JOIN"
         f" ({per_pair(lambda a, b: pair_absent('fx_dbobjectnames', OBJECT, a, b))}) f ON f.pair_id = p.pair_id GROUP BY p.pair_id",
     ),
-    "mapped_findings": over(ALL_MAPPED, findings(MAPPED_SECTIONS, MAPPED_SQL)),
+    "mapped_findings": over(ALL_MAPPED, findings(MAPPED_REPORTED, MAPPED_SQL)),
 }

@@ -56,6 +56,7 @@ ORA_VIEWS = {
     "views": "raw_ora_views",
     "triggers": "raw_ora_triggers",
 }
+PG_TWO, ORA_TWO = {"pg_class": "raw_pg_class_two"}, {"objects": "raw_ora_objects_two"}
 FLEET_PG_VIEWS = {t: f"fleet_{t}" for t in ("pg_namespace", "pg_class", "pg_inherits", "pg_language", "pg_proc", "pg_trigger")}
 FLEET_ORA_VIEWS = {t: f"fleet_ora_{t}" for t in ("objects", "tab_partitions")}
 
@@ -126,12 +127,10 @@ def compare_modes(mode: str) -> Query:
         sides = []
         for dialect, pkey in zip(mode.split("_to_"), ("db_one", "db_two"), strict=True):
             names = PG_VIEWS if dialect == "postgres" else ORA_VIEWS
+            # In the second database views and sequences have other names.
+            if pkey == "db_two":
+                names = names | (PG_TWO if dialect == "postgres" else ORA_TWO)
             raw = frames(spark, sf_dir, names)
-            # Two databases of one dialect: the second has no triggers, views or sequences.
-            if pkey == "db_two" and "objects" in raw:
-                raw["objects"] = raw["objects"].where(~F.col("object_type").isin("VIEW", "SEQUENCE"))
-            if pkey == "db_two" and "pg_class" in raw:
-                raw["pg_class"] = raw["pg_class"].where(~F.col("relkind").isin("v", "S"))
             build = op.normalize_postgres if dialect == "postgres" else op.normalize_oracle
             sides.append(build(raw, pkey))
         found = compare(staged_pair(*sides), instances=("db_one", "db_two"), sections=["Missing Objects"])
@@ -174,6 +173,29 @@ def extract_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_staged(spark, f"{folder}/staging", "columns").drop("dma_source_id", "dma_manual_id")
 
 
+OWN_TABLE_TEXT = """
+SELECT grantee, privilege, count(*) AS times FROM IDENTIFIER(:grants_seen) WHERE pkey = :instance_1_id GROUP BY grantee, privilege
+"""
+
+
+def extract_import_other_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extract of a table of the user's own, loaded next to known ones and read by a custom section."""
+    folder = shared_folder(spark)
+    raw = frames(spark, sf_dir, {"instances": "fx_instances", "grants_seen": "fx_sysprivs"})
+    for table, rows in raw.items():
+        write_extract(rows, f"{folder}/extracts", table)
+    import_extracts(spark, f"{folder}/extracts", f"{folder}/staging")
+    staging = Staging.open(spark, f"{folder}/staging")
+    return compare(staging, instances=(SRC, TGT), sections=[], custom={"Own": OWN_TABLE_TEXT})["Own"]
+
+
+def drift_of_several_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns staged several times a side, with equal and with other declarations."""
+    title = "Column Type Mismatches"
+    staging = frames(spark, sf_dir, {"instances": "fx_instances", "columns": "fx_columns_repeated"})
+    return compare(Staging(staging), instances=(SRC, TGT), sections=[title])[title]
+
+
 def findings_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the default sections, written by section and read back."""
     folder = shared_folder(spark)
@@ -247,6 +269,7 @@ QUERIES: dict[str, Query] = {
     "routines_missing": section("Missing PLSQL"),
     "routines_missing_listed_instances": routines_missing_listed,
     "column_type_mismatch": section("Column Type Mismatches"),
+    "column_type_mismatch_several_declarations": drift_of_several_declarations,
     "line_count_mismatch": section("Mismatched Line Counts (PL/SQL)"),
     "line_count_mismatch_staged_rollup": line_count_staged_rollup,
     "line_count_mismatch_detailed": section("Mismatched Line Counts per Object (PL/SQL)"),
@@ -300,6 +323,7 @@ QUERIES: dict[str, Query] = {
     "instance_rank": view("fx_fleet_instances", op.instance_rank),
     "host_instance_ids": host_instance_ids,
     "extract_roundtrip": extract_roundtrip,
+    "extract_import_other_table": extract_import_other_table,
     "custom_section": custom(CUSTOM_TEXT),
     "custom_template": custom(CUSTOM_TEMPLATE),
     "custom_template_in_text": custom(CUSTOM_TEMPLATE_IN_TEXT),

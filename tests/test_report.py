@@ -144,3 +144,19 @@ def test_template_placeholders_in_text_and_out_of_place():
     for text in ("SELECT <instance_1_owner>", "SELECT 1 FROM <dataset_name>"):
         with pytest.raises(ValueError, match="placeholder"):
             from_template(text, sides)
+
+
+@pytest.mark.parametrize("mapped", [False, True])
+@pytest.mark.parametrize("ids", [("DB", "db"), ("a`b", "a.b c")])
+def test_ids_that_differ_in_case_only_or_are_odd(spark, sf_dir, mapped, ids):
+    renamed = {SRC: ids[0], TGT: ids[1]}
+    plain = frames(spark, sf_dir, MAPPED_VIEWS if mapped else STAGED_VIEWS)
+    odd = {t: rows.replace(renamed, subset=["pkey"]) for t, rows in plain.items()}
+    options = {"sections": list(MAPPED_SECTIONS if mapped else SECTIONS), "owner_maps": OWNER_MAP if mapped else None}
+    want = compare(Staging(plain), instances=(SRC, TGT), **options)
+    got = compare(Staging(odd), instances=ids, ordered=True, **options)
+    for title in want.results:
+        names = [c.replace(SRC, ids[0]).replace(TGT, ids[1]) for c in want[title].columns]
+        assert got[title].columns == names
+    found = {(r["section"], r["findings"]) for r in got.summary().collect()}
+    assert found == {(r["section"], r["findings"]) for r in want.summary().collect()}

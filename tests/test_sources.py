@@ -107,6 +107,32 @@ def test_import_loads_what_is_there(spark, tmp_path):
         import_extracts(spark, folder, path, ["views"])
 
 
+def test_extracts_of_other_tables_are_staged_as_text(spark, tmp_path):
+    folder, path = str(tmp_path / "x"), str(tmp_path / "s")
+    extract(folder, "a__mine__data.csv", [("007", "01", "x|y"), ("b", None, "NA")], ["PKEY", "N", "odd `name`"])
+    extract(folder, "b__mine__data.csv", [("c", "3", "z")], ["PKEY", "N", "odd `name`"])
+    extract(folder, "a__mine__eoj.csv", [("skipped",)], ["done"])
+    extract(folder, "a__plain__data.csv", [("1",)], ["n"])
+    extract(folder, "a__views__data.csv", [("o", 1, "S", "V", None, None)], STAGED["views"].names)
+    assert import_extracts(spark, folder, path) == ["views", "mine", "plain"]
+    import_extracts(spark, folder, path)
+    staging = Staging.open(spark, path)
+    rows = sorted(tuple(r) for r in staging["mine"].select("pkey", "N", "`odd ``name```").collect())
+    assert rows == [("007", "01", "x|y"), ("b", None, "NA"), ("c", "3", "z")]
+    assert [tuple(r) for r in staging["plain"].collect()] == [("1",)] and staging["views"].count() == 1
+    with pytest.raises(KeyError):
+        staging["nothing"]
+    with pytest.raises(KeyError):
+        Staging.open(spark, path, ["views"])["mine"]
+
+
+def test_extracts_of_another_table_agree_in_their_header(spark, tmp_path):
+    extract(str(tmp_path / "x"), "a__mine__data.csv", [("o", "1")], ["pkey", "n"])
+    extract(str(tmp_path / "x"), "b__mine__data.csv", [("o", "1")], ["pkey", "m"])
+    with pytest.raises(Exception, match="(?i)header"):
+        import_extracts(spark, str(tmp_path / "x"), str(tmp_path / "s"))
+
+
 def test_staging_derives_sourcecode(spark, tmp_path):
     lines = spark.createDataFrame([("o", 1, "S", "f", "FUNCTION", 3), ("o", 1, "S", "g", "FUNCTION", 4)],
                                   "pkey string, con_id int, owner string, name string, type string, nr_lines int")
