@@ -54,8 +54,8 @@ def word_count(text: Column) -> Column:
 def word_pieces(data: bytes, keep: int, piece: int = PIECE) -> Iterator[tuple[list[bytes], bool]]:
     """The words of a text in lists, each with the last ``keep`` words of the one before in front.
 
-    The flag tells the first list, whose front is its own. Bounds memory on very
-    long texts. Bytes split at exactly the white space that ``WORD`` leaves out.
+    The flag tells the first list, whose front is its own. A list has more than ``keep`` words, or is
+    the first and ends the text. Bounds memory on very long texts. Bytes split at exactly the white space that ``WORD`` leaves out.
     """
     if len(data) <= piece:
         yield data.split(), True
@@ -65,9 +65,11 @@ def word_pieces(data: bytes, keep: int, piece: int = PIECE) -> Iterator[tuple[li
         end = min(at + piece, len(data))
         while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
             end += 1
-        words = tail + data[at:end].split()
-        yield words, first
-        tail, at, first = (words[-keep:] if keep else []), end, False
+        words, at = tail + data[at:end].split(), end
+        if len(words) > keep or (first and at == len(data)):
+            yield words, first
+            words, first = (words[-keep:] if keep else []), False
+        tail = words
 
 
 def cut_points(keys: DataFrame, column: str, ranges: int) -> list:

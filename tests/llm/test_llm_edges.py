@@ -136,6 +136,19 @@ def test_fingerprint_in_pieces():
     assert parts == data.split()
 
 
+def test_fingerprint_of_long_texts_that_begin_with_few_words():
+    """A piece may hold fewer words than a shingle: a giant word, white space, or both at either end."""
+    blob, space = "a" * common.PIECE, " " * (common.PIECE + 1)
+    texts = [
+        blob + " b", blob + " c", blob + " b c d", blob + " b c d e", blob + " " + blob + " x y z u", blob + space + "b c d e f" + space,
+        space + "hello big world", space + "hello big wide world again" + space + "end", space + space, blob + space, "x " + blob + " y",
+    ]
+    for text in texts:
+        assert simhash.fingerprint(text) == brute.simhash(text)
+        assert simhash.fingerprint(text, 5) == brute.simhash(text, 5)
+    assert len({simhash.fingerprint(t) for t in texts[:3]}) == 3
+
+
 def test_anchors_meet_at_every_distance():
     rng = np.random.default_rng(1)
     some = rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 300).astype(np.uint64)
