@@ -42,13 +42,12 @@ SHINGLE, SEED, THRESHOLD = 4, 42, 4
 BLOCK = 2048
 
 
-def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of the shingles of ``width`` words, A-Z in lower case; 0 for a text without words.
+def shingle_hashes(text: str | None, width: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of ``width`` words, A-Z in lower case, piece by piece.
 
-    A text of fewer words is one shingle.
+    A text of fewer words is one shingle, a text without words none.
     """
     data = (text or "").encode("utf-8", "surrogatepass").lower()
-    ones, total = np.zeros(64, np.int64), 0
     for words, first in word_pieces(data, width - 1):
         if len(words) < width:
             if not first or not words:
@@ -61,7 +60,17 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
             digest = xxhash.xxh64_intdigest
             spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())
             hashes = [digest(line[a:b], seed) for a, b in spans]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        yield np.array(hashes, "<u8")
+
+
+def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of the shingles of ``width`` words, A-Z in lower case; 0 for a text without words.
+
+    A text of fewer words is one shingle.
+    """
+    ones, total = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, width, seed):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
         total += len(hashes)
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
@@ -335,7 +344,12 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     with the smallest hash over all columns stays. Rows without doc_id cannot be
     named and stay as they are.
     """
-    found = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
+    return first_rows(docs, near_duplicates(docs, **options))
+
+
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id names its component in ``found (doc_id, component_id)``, one each, and those without doc_id."""
+    found = found.where("doc_id = component_id").select("doc_id").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"))
     kept = rows.join(found.select(F.col("doc_id").alias("key")), "key", "left_semi")
     first = Window.partitionBy("key").orderBy(F.xxhash64("row"), F.to_json("row"))

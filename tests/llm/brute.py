@@ -47,6 +47,29 @@ def components(rows, threshold=4, width=4):
     return [(doc, f"{p:016x}", least.get(root(p))) for (doc, _), p in zip(rows, prints)]
 
 
+def shingles(text, width=5):
+    words = WORD.findall(lower(text or ""))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or {tuple(words)}
+
+
+def alike(rows, part=4, whole=5):
+    """Per row of ``(doc_id, text)``, in order, the smallest doc_id reached over texts of a Jaccard similarity of 0.8 or more."""
+    sets = [frozenset(shingles(t)) for _, t in rows]
+    distinct = list(set(sets))
+    root = {s: s for s in distinct}
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            shared = len(a & b) if part * max(len(a), len(b)) <= whole * min(len(a), len(b)) else 0
+            if whole * shared >= part * (len(a) + len(b) - shared) and root[a] != root[b]:
+                old = root[a]
+                root = {s: root[b] if r == old else r for s, r in root.items()}
+    least = {}
+    for (doc, _), s in zip(rows, sets):
+        if doc is not None:
+            least[root[s]] = min(doc, least.get(root[s], doc))
+    return [least.get(root[s]) for s in sets]
+
+
 def water_fill(sizes, weights=(5, 2, 1), epochs=3):
     """Targets by source; ``sizes`` is source to words."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from catalogdiff.llm import (
-    common, licences, mixing, packing, pii, quality, queries, reputation, simhash, toxicity, warc, winnowing,
+    alike, common, licences, mixing, packing, pii, quality, queries, reputation, simhash, toxicity, warc, winnowing,
 )
 from tests.llm import brute
 
@@ -163,6 +163,45 @@ def test_anchors_meet_at_every_distance():
         assert {i for i, _ in own & set(zip(where.tolist(), keys.tolist()))} == set(range(300))
 
 
+@pytest.mark.parametrize("block", [150, alike.BLOCK])
+def test_alike_groups(spark, block):
+    """Groups with copies around 0.8, chains of copies of copies, and unlike texts that share most of one."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+
+    def put(text):
+        rows.append((len(rows) * 7919 % 10_007, " ".join(text)))
+
+    for size in (60, 12, 200):
+        base = rng.choices(words, k=size)
+        put(base)
+        for _ in range(40):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(2, size // 30))):
+                copy[rng.randrange(size)] = rng.choice(words)
+            put(copy)
+    chain = rng.choices(words, k=100)
+    for _ in range(25):
+        chain = [*chain[4:], *rng.choices(words, k=4)]
+        put(chain)
+    for _ in range(40):
+        put(rng.choices(words, k=30))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in alike.near_duplicates(table, block).collect()}
+    assert [got[d] for d, _ in rows] == brute.alike(rows)
+
+
+def test_alike_of_odd_rows(odd, rows, none):
+    got = [(r["doc_id"], r["component_id"]) for r in alike.near_duplicates(odd).collect()]
+    want = brute.alike([(d, t) for d, t, _ in rows])
+    assert Counter(got) == Counter(zip((d for d, _, _ in rows), want))
+    kept = corpus_pipeline.drop_near_duplicates(None, odd, None)
+    assert kept.columns == odd.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter({d: 1 for d in set(want) - {None}} | {None: 2})
+    assert alike.near_duplicates(none).count() == 0 and alike.one_of_each(none).count() == 0
+
+
 def test_packing_of_odd_rows(odd, rows, none):
     from tokenizers import Tokenizer
 

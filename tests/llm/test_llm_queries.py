@@ -204,3 +204,12 @@ def test_pipeline_stages(spark, sf_dir):
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir).collect()
     brute.sequences(pieces)
     assert {p["doc_id"] for p in pieces} == {r[0] for r in kept.select("doc_id").collect()}
+
+
+def test_pipeline_drops_near_copies_by_similarity(spark, sf_dir):
+    """The stage against all pairs at a Jaccard similarity of five-word shingles of 0.8 or more."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [tuple(r) for r in table.select("doc_id", "text").collect()]
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, table, sf_dir).select("doc_id").collect())
+    assert got == sorted(set(brute.alike(rows)))
+    assert len(got) < len({frozenset(brute.shingles(t)) for _, t in rows})
