@@ -192,6 +192,26 @@ def test_alike_groups(spark, block):
     assert [got[d] for d, _ in rows] == brute.alike(rows)
 
 
+def test_texts_that_share_a_fingerprint_only_stay(spark):
+    """A line repeated over half of a text gives its fingerprint; a chain of steps of three bits joins unlike texts."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    padded = [" ".join(rng.choices(words, k=60)) + " ." * 200 for _ in range(4)]
+    # Steps of one word whose fingerprints are within three bits.
+    text, steps = rng.choices(words, k=60), []
+    while len(steps) < 25:
+        other = list(text)
+        other[rng.randrange(60)] = rng.choice(words)
+        if (brute.simhash(" ".join(text), 5) ^ brute.simhash(" ".join(other), 5)).bit_count() <= 3:
+            text = other
+            steps.append(" ".join(text))
+    rows = list(enumerate([*padded, *steps]))
+    assert len({brute.simhash(t, 5) for t in padded}) == 1 and len({c for _, _, c in brute.components(rows, 3, 5)}) == 2
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(None, table, None).collect()}
+    assert got == set(brute.alike(rows)) and {0, 1, 2, 3} <= got
+
+
 def test_alike_of_odd_rows(odd, rows, none):
     got = [(r["doc_id"], r["component_id"]) for r in alike.near_duplicates(odd).collect()]
     want = brute.alike([(d, t) for d, t, _ in rows])
