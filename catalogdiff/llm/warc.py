@@ -28,6 +28,7 @@ from catalogdiff.llm.common import written
 VERSION = "WARC/1.1"
 END, CLOSE = "\r\n", "\r\n\r\n"
 START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+RECORD = re.compile(rb"\r\nWARC/1\.[01]\r\n")
 LENGTH = re.compile(rb"\d{1,15}")
 
 # A gzip member that holds nothing.
@@ -69,14 +70,12 @@ def write_archives(
     """Write a record for every row of ``pages (page_id, url, html)`` to the new folder ``path``.
 
     A page whose payload an other page of larger page_id has becomes a revisit without payload.
-    A NULL page_id is written as ``null``, a NULL url as ``about:blank``, and white space in urls is
-    escaped. Files hold as many records as make ``file_bytes`` unpacked on average.
+    A NULL page_id is written as ``null``, a NULL url as ``about:blank#``, and a url of other than printable ASCII, white
+    space too, whole and percent-coded behind that. Files hold as many records as make ``file_bytes`` unpacked on average.
     """
     rows = revisits(pages, smallest)
-    url = F.url_encode(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(\S*)$", 1))
-    url = F.when(F.coalesce(F.col("url"), F.lit("")).rlike(r"^[\x21-\x7e]+$"), F.col("url")).otherwise(
-        F.concat(F.lit("about:blank#"), url)
-    )
+    url = F.coalesce("url", F.lit(""))
+    url = F.when(url.rlike(r"^[\x21-\x7e]+\z"), url).otherwise(F.concat(F.lit("about:blank#"), F.url_encode(F.regexp_extract(url, r"^(\S*)$", 1))))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     again = F.col("keeper").isNotNull()
     head = F.concat(F.lit(HTTP), F.col("bytes").cast("string"), F.lit(CLOSE))
@@ -120,6 +119,10 @@ def _parse(data: bytes, at: int) -> tuple[dict | None, int, str]:
     if not re.match(rb"WARC/1\.[01]\r\n", data[at : at + 10]):
         return None, at, "no version line"
     close = data.find(b"\r\n\r\n", at, at + 65_536)
+    if close < 0:
+        # Long headers end anywhere in the member, in plain files before the next version line.
+        following = RECORD.search(data, at)
+        close = data.find(b"\r\n\r\n", at, following.start() + 2 if following else len(data))
     if close < 0:
         return None, at, "headers do not end"
     fields: dict[str, str] = {}

@@ -443,6 +443,26 @@ def test_warc_of_odd_rows(spark, packed):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+LONG_URLS = ["data:," + "x" * 100_000, "é" * 12_000, "中" * 8_000, "http://x/\r\n", "http://y/\n"]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_warc_of_long_urls_and_line_ends(spark, packed):
+    rows = [(i, u, f"page {i}\r\n\r\nWARC/1.1\r\n") for i, u in enumerate(LONG_URLS)]
+    path = common.new_folder(spark, "long-urls")
+    warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path, packed=packed)
+    got = warc.read_archives(spark, path).collect()
+    assert sorted((r["kind"], r["record_id"], bytes(r["payload"]).decode()) for r in got) == [
+        ("record", f"<urn:page:{i}>", html) for i, _, html in rows
+    ]
+
+
+def test_warc_headers_without_end_take_no_other_record():
+    good = b"WARC/1.1\r\nWARC-Type: x\r\nWARC-Record-ID: <u>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    data = b"WARC/1.1\r\nX: " + b"x" * 200_000 + b"\r\n" + good
+    assert [(a, b, f is None) for a, b, f, _ in warc.salvage(data)] == [(0, len(data) - len(good), True), (len(data) - len(good), len(data), False)]
+
+
 def _records(n):
     out = []
     for i in range(n):
