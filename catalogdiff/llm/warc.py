@@ -75,7 +75,7 @@ def write_archives(
     """
     rows = revisits(pages, smallest)
     url = F.coalesce("url", F.lit(""))
-    url = F.when(url.rlike(r"^[\x21-\x7e]+\z"), url).otherwise(F.concat(F.lit("about:blank#"), F.url_encode(F.regexp_extract(url, r"^(\S*)$", 1))))
+    url = F.when(url.rlike(r"^[\x21-\x7e]+\z"), url).otherwise(F.concat(F.lit("about:blank#"), F.url_encode(url)))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     again = F.col("keeper").isNotNull()
     head = F.concat(F.lit(HTTP), F.col("bytes").cast("string"), F.lit(CLOSE))

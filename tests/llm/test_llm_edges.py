@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import random
 from collections import Counter, defaultdict
+from urllib.parse import unquote_plus
 
 import numpy as np
 import pytest
@@ -463,6 +464,18 @@ def test_warc_headers_without_end_take_no_other_record():
     assert [(a, b, f is None) for a, b, f, _ in warc.salvage(data)] == [(0, len(data) - len(good), True), (len(data) - len(good), len(data), False)]
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_warc_keeps_urls(spark, packed):
+    urls = [*LONG_URLS, "http://a b\r\nX: y", " ", "http://x/?q=a%20b+c", "", None]
+    path = common.new_folder(spark, "urls")
+    pages = spark.createDataFrame([(i, u, f"{i}") for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+    warc.write_archives(pages, path, packed=packed)
+    for r in warc.read_archives(spark, path).collect():
+        url = urls[int(bytes(r["payload"]))] or ""
+        plain = url.isascii() and url.isprintable() and " " not in url and url != ""
+        assert r["uri"] == url if plain else unquote_plus(r["uri"].removeprefix("about:blank#")) == url
+
+
 def _records(n):
     out = []
     for i in range(n):
