@@ -210,6 +210,48 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
+# Every document meets every step of every order; no masks are folded and no prefixes shared.
+AUDIT = r"""
+WITH RECURSIVE t AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+    SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS smallest FROM t
+), f AS (
+    SELECT doc_id, part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+           100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+           coalesce(smallest < doc_id, false) AS e
+    FROM w
+), l AS (
+    SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id
+), doc AS (
+    SELECT part, MAP {{'A': a, 'B': b, 'C': c, 'D': d, 'E': e}} AS fails, coalesce(good, false) AS good,
+           coalesce(toxic, false) AS toxic, count(*) AS n
+    FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL
+), orders AS (
+    SELECT '' AS o UNION ALL
+    SELECT o || x FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE NOT contains(o, x)
+), steps AS (
+    SELECT o, CAST(k AS INTEGER) AS k, o[k] AS x, string_split(o[1:k - 1], '') AS earlier
+    FROM orders, range(1, 6) r(k) WHERE len(o) = 5
+), seen AS (
+    SELECT part, o, k, x, n, good, toxic, fails[x] AS failing,
+           len([y FOR y IN earlier IF y <> '' AND fails[y]]) > 0 AS gone,
+           len([y FOR y IN ['A', 'B', 'C', 'D', 'E'] IF y <> x AND fails[y]]) = 0 AS alone
+    FROM doc, steps
+), m AS (
+    SELECT part, o AS filter_order, k AS step, x, sum(n) FILTER (NOT failing AND NOT gone) AS kept,
+           sum(n) FILTER (failing AND NOT gone) AS removed, sum(n) FILTER (failing AND gone) AS redundant,
+           sum(n) FILTER (failing AND alone) AS unique_fails, sum(n) FILTER (failing AND NOT gone AND good) AS good_lost,
+           sum(n) FILTER (failing AND NOT gone AND toxic) AS toxic_lost
+    FROM seen GROUP BY ALL
+)
+SELECT part, filter_order, step, {columns},
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley
+FROM m
+""".format(columns=", ".join(
+    f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
+))
+
 
 ORACLES: dict[str, str] = {
     "op1_mixing": MIXING,
@@ -217,4 +259,5 @@ ORACLES: dict[str, str] = {
     "op6_quality": quality(),
     "op7_licences": licence_scan(),
     "op10_reputation": reputation(),
+    "op11_audit": AUDIT,
 }

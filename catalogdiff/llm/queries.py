@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogdiff.llm import licences, mixing, packing, pii, quality, reputation, simhash, toxicity, warc, winnowing
+from catalogdiff.llm import audit, licences, mixing, packing, pii, quality, reputation, simhash, toxicity, warc, winnowing
 from catalogdiff.llm.common import new_folder, read_table
 
 # Rows a toxicity model is fitted on, at most; the score from which a document is toxic.
@@ -119,10 +119,14 @@ def op10_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_toxicity, op3_simhash, op4_packing, op5_warc, op6_quality, op7_licences, op8_pii, op9_winnowing,
-        op10_reputation,
+        op10_reputation, op11_audit,
     )
 }
