@@ -46,6 +46,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Keys that are joined by broadcast because many rows have them: at most so many, of at least so many rows.
+HOT_KEYS, HOT_ROWS = 10_000, 200
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, copies: str | None = None) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``key``, however many rows share one.
+
+    The keys of most rows are broadcast, ``HOT_KEYS`` of them at most, so rows of such a key stay where they are; any other key
+    has less than that share of all rows, and goes through a plain join. ``copies`` is the column of ``table`` with the
+    rows of a key, which are counted where there is none. Both sides are read twice and should be stored tables.
+    """
+    counted = table
+    if copies is None:
+        counted = table.join(rows.groupBy(key).agg(F.count("*").alias("_copies")), key)
+    weight = F.col(copies or "_copies")
+    hot = counted.where(weight >= HOT_ROWS).orderBy(weight.desc(), key).limit(HOT_KEYS).select(*table.columns)
+    hot = written(hot, "hot-keys")
+    there = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+    return there.unionByName(others)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for NULL."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

@@ -210,6 +210,41 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
+# All pairs that share a shingle, counted; the components by stepping along links.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), g AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                 ELSE [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] END) AS s
+    FROM d
+), x AS MATERIALIZED (
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(list_sort(s), chr(10))) AS same, s FROM g
+), one AS MATERIALIZED (
+    SELECT same, min(doc_id) AS doc_id, any_value(n) AS n, any_value(s) AS s FROM x WHERE n > 0 GROUP BY same
+), u AS MATERIALIZED (
+    SELECT doc_id, n, unnest(s) AS shingle FROM one
+), pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS shared
+    FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+    GROUP BY ALL
+), near AS MATERIALIZED (
+    SELECT a, b FROM pairs WHERE 100 * shared >= 85 * (an + bn - shared)
+), link AS MATERIALIZED (
+    SELECT a, b FROM near UNION ALL SELECT b, a FROM near
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM one UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), least AS (
+    SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT x.doc_id, x.n AS n_shingles, coalesce(least.component_id, x.doc_id) AS component_id,
+       x.doc_id = coalesce(least.component_id, x.doc_id) AS kept
+FROM x LEFT JOIN one ON x.same = one.same AND x.n > 0 LEFT JOIN least ON least.a = one.doc_id
+"""
+
+
 # Every document meets every step of every order; no masks are folded and no prefixes shared.
 AUDIT = r"""
 WITH RECURSIVE t AS (
@@ -292,5 +327,6 @@ ORACLES: dict[str, str] = {
     "op7_licences": licence_scan(),
     "op10_reputation": reputation(),
     "op11_audit": AUDIT,
+    "op12_minhash": NEAR_DUPLICATES,
     "op13_lexical": LEXICAL,
 }

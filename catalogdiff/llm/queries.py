@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogdiff.llm import audit, lexical, licences, mixing, packing, pii, quality, reputation, simhash, toxicity, warc, winnowing
+from catalogdiff.llm import (
+    audit, coordinates, lexical, licences, mixing, packing, pii, quality, reputation, simhash, toxicity, warc, winnowing,
+)
 from catalogdiff.llm.common import new_folder, read_table
 
 # Rows a toxicity model is fitted on, at most; the score from which a document is toxic.
@@ -123,6 +125,11 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = coordinates.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -131,6 +138,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_toxicity, op3_simhash, op4_packing, op5_warc, op6_quality, op7_licences, op8_pii, op9_winnowing,
-        op10_reputation, op11_audit, op13_lexical,
+        op10_reputation, op11_audit, op12_minhash, op13_lexical,
     )
 }
