@@ -38,6 +38,8 @@ from catalogdiff.llm.simhash import components, shingle_hashes
 ALIKE, SHINGLE, SEED = 85, 3, 42
 # MinHash values of a text; collisions from which a pair is checked, 37 of 64: P(fewer at 0.85) = 3.5e-8.
 VALUES, MATCHES = 64, 37
+# Slots that texts are looked up by before they are joined, as a power of 2.
+SLOTS = 20
 # Counters of tokens, as a power of 2; partners, signatures and shingles in one piece; shingles whose values are taken at once.
 COUNTERS, PARTNERS, SIGNATURES, SHINGLES, CHUNK = 20, 512, 2_048, 1 << 20, 256
 
@@ -75,6 +77,11 @@ def prefixes(signatures: np.ndarray, levels: np.ndarray, length: int) -> np.ndar
     return np.take_along_axis(all_, order[:, :length], axis=1).view(np.int64)
 
 
+def marks(values: np.ndarray) -> bytes:
+    """A signature for counting collisions: 16 bits a value, where one more in 65,536 costs a check."""
+    return (values & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+
 def alike(shared: np.ndarray | int, size: np.ndarray | int, other: np.ndarray | int, limit: int = ALIKE):
     return 100 * shared >= limit * (size + other - shared)
 
@@ -128,7 +135,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _in_pairs(pairs: DataFrame, data: DataFrame, good: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
+def _in_pairs(pairs: DataFrame, data: DataFrame, kind: str, good: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
     """The ``pairs (a, b)`` for which ``good`` holds of their ``data (node, data)``.
 
     A node's partners are dealt out in chunks, each with one copy of its data, so a node of many partners is many small groups.
@@ -140,12 +147,12 @@ def _in_pairs(pairs: DataFrame, data: DataFrame, good: Callable[[np.ndarray, np.
     theirs = dealt.join(data.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, one = None, np.zeros(0, np.uint64)
+        key, one = None, np.zeros(0, kind)
         for batch in batches:
             a, chunk, b, data = (batch.column(i) for i in range(4))
             kept = []
             for i in range(batch.num_rows):
-                values = np.frombuffer(data[i].as_buffer(), np.uint64)
+                values = np.frombuffer(data[i].as_buffer(), kind)
                 if not b[i].is_valid:
                     key, one = (a[i].as_py(), chunk[i].as_py()), values.copy()
                 elif key == (a[i].as_py(), chunk[i].as_py()) and good(one, values):
@@ -200,8 +207,33 @@ def token_levels(nodes: DataFrame) -> np.ndarray:
     return levels
 
 
+def _sets(wanted: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """``node, data``: the shingles of the texts ``wanted (node, first)``, from ``rows (doc_id, node, text)``.
+
+    Texts are looked up by slot first, in a table of 2^20 at most, so that few of the others are shuffled.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            nodes, found = [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                # Rows that repeat a document lie together behind the merge join.
+                if node != last:
+                    nodes.append(node)
+                    found.append(shingle_set(text.as_py(), width).tobytes())
+                last = node
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(found, pa.binary())], ["node", "data"])
+
+    slot = f"int(pmod(xxhash64(node, {{}}), {1 << SLOTS})) AS slot"
+    slots = wanted.selectExpr(slot.format("first")).distinct()
+    rows = rows.selectExpr("*", slot.format("doc_id")).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    met = rows.alias("r").join(wanted.alias("w").hint("merge"), F.expr("r.node = w.node AND r.doc_id <=> w.first"), "left_semi")
+    return met.select("node", "text").mapInArrow(hashed, "node binary, data binary")
+
+
 def links(nodes: DataFrame, rows: DataFrame, width: int, limit: int, matches: int) -> DataFrame:
-    """``a, b``: alike pairs that join every component of ``nodes (node, first, size, signature)``.
+    """``a, b``: alike pairs that join every component of ``nodes (node, first, size, signature, marks)``.
 
     The texts are in ``rows (doc_id, node, text)`` under the doc_id ``first``.
     """
@@ -220,26 +252,18 @@ def links(nodes: DataFrame, rows: DataFrame, width: int, limit: int, matches: in
     heads = posts.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     members = written(spread_join(posts, written(heads, "heads"), "token", "n"), "lists")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "data"])
-
-    signatures = nodes.select("node", F.col("signature").alias("data"))
     stars = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    stars = written(stars, "meetings")
     enough = lambda one, two: np.count_nonzero(one == two) >= matches
-    stars = written(_in_pairs(stars, signatures, enough), "collisions")
+    signatures = nodes.select("node", F.col("marks").alias("data"))
+    stars = written(_in_pairs(written(stars, "meetings"), signatures, "<u2", enough), "collisions")
 
-    # One row of each text that shares a token with another: copies of it are not read again.
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first")
-    met = rows.alias("r").join(wanted.alias("w"), F.expr("r.node = w.node AND r.doc_id <=> w.first"), "left_semi")
-    sets = written(met.select("node", "text").mapInArrow(hashed, "node binary, data binary").dropDuplicates(["node"]), "shingles")
+    ends = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(_sets(nodes.join(ends, "node", "left_semi").select("node", "first"), rows, width), "shingles")
 
     def same(one: np.ndarray, two: np.ndarray) -> bool:
         return bool(alike(len(np.intersect1d(one, two, assume_unique=True)), len(one), len(two), limit))
 
-    stars = written(_in_pairs(stars, sets, same), "stars")
+    stars = written(_in_pairs(stars, sets, "<u8", same), "stars")
 
     # Lists of two have been compared whole; so have those that are one component.
     labels = components(stars)
@@ -283,6 +307,9 @@ def links(nodes: DataFrame, rows: DataFrame, width: int, limit: int, matches: in
         edges = forest(some, np.unique(labels, return_inverse=True)[1], split, limit)
         return [pa.RecordBatch.from_arrays([pa.array([nodes[e[k]] for e in edges], pa.binary()) for k in (0, 1)], ["a", "b"])]
 
+    more = needed.select("node").distinct().join(sets.select("node"), "node", "left_anti")
+    more = written(_sets(nodes.join(more, "node", "left_semi").select("node", "first"), rows, width), "more-shingles")
+    sets = sets.unionByName(more)
     checked = spread_join(needed, counts, "token", "copies").join(sets, "node").select("token", "blocks", "node", "label", "data")
     return stars.unionByName(_in_blocks(checked, check, "a binary, b binary"))
 
@@ -305,13 +332,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, limit: int = ALIKE, m
         for batch in batches:
             sets = [shingle_set(t.as_py(), width) for t in batch.column(2)]
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            found = pa.array([signature(s).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], sizes, found], ["doc_id", "node", "size", "signature"])
+            found = [signature(s) for s in sets]
+            signed = [pa.array([f.tobytes() for f in found], pa.binary()), pa.array([marks(f) for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], sizes, *signed], ["doc_id", "node", "size", "signature", "marks"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "text")
-    signed = written(rows.mapInArrow(sign, "doc_id bigint, node binary, size bigint, signature binary"), "signatures")
+    signed = written(rows.mapInArrow(sign, "doc_id bigint, node binary, size bigint, signature binary, marks binary"), "signatures")
     words = signed.where("size > 0").groupBy("node")
-    nodes = words.agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature"))
+    one = [F.first(c).alias(c) for c in ("size", "signature", "marks")]
+    nodes = words.agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *one)
     nodes = written(nodes, "nodes")
     linked = components(written(links(nodes, rows, width, limit, matches), "alike"))
     linked = written(linked.join(nodes.select("node", "first"), "node"), "linked")
