@@ -15,7 +15,7 @@ from tests.conftest import bag
 def test_query_matches_sql(spark, name, size):
     folder = f"/root/testdata/{size}"
     con = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     result = con.execute(ORACLES[name])
     names = [d[0] for d in result.description]
