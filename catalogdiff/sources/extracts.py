@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalogdiff.schemas import STAGED, conform
 
@@ -29,12 +30,16 @@ def read_extracts(spark: SparkSession, folder: str, table: str, splittable: bool
     and fails (never misreads) on a record that goes over several lines. Staging
     spreads the rows again either way.
     """
-    if table in STAGED:
-        reader, paths = spark.read.schema(STAGED[table]), f"{folder}/*{NAME_SEPARATOR}{table}{NAME_SEPARATOR}*"
-    else:
-        # The header comes from a file, which has to be one of this table.
-        files = extract_files(spark, folder)
-        reader, paths = spark.read, sorted(row["path"] for row in files.where(F.col("name") == table).collect())
+    paths = f"{folder}/*{NAME_SEPARATOR}{table}{NAME_SEPARATOR}*"
+    schema = STAGED.get(table)
+    if schema is None:
+        # The header of one file of this table; the plan fails where another file's differs.
+        path = extract_files(spark, folder).where(F.col("name") == table).agg(F.min("path")).first()[0]
+        if path is None:
+            raise FileNotFoundError(f"no extract of {table} in {folder}")
+        header = spark.read.option("header", True).option("sep", DELIMITER).option("quote", '"').option("escape", '"').csv(path)
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header.columns])
+    reader = spark.read.schema(schema)
     name = F.regexp_extract(F.col("_metadata.file_path"), EXTRACT_NAME, 1)
     rows = (
         reader.option("header", True)

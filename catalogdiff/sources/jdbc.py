@@ -1,8 +1,8 @@
 """Raw catalogs over JDBC, read in parallel.
 
 Only the columns a normaliser uses are selected at the source. A table is cut
-into reads by a hash of an object's name, not by schema, so that one large
-schema is spread as well. Connection options come from the caller.
+into reads of equal size by ranges of an object's name, which the source is asked for once; not by schema, so
+that one large schema is spread as well. Connection options come from the caller.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ FETCH_SIZE = 10_000
 # Read on request only: no normaliser needs them, and grants of other users are in DBA views.
 ON_REQUEST = ("indexes", "role_privs", "sys_privs")
 
-# Catalog table → (SELECT list and FROM, expression to spread reads by).
+# Catalog table → (SELECT list and FROM, expression to spread reads by).
 POSTGRES: dict[str, tuple[str, str]] = {
     "pg_namespace": ("oid::bigint AS oid, nspname::text AS nspname FROM pg_namespace", "nspname"),
     "pg_class": (
@@ -105,6 +105,26 @@ def read_predicates(dialect: str, spread: str, reads: int) -> list[str]:
     return [f"MOD(ABS({hashed}), {reads}) = {i}" for i in range(reads)]
 
 
+def cut_query(query: str, spread: str, reads: int) -> str:
+    """The subquery that gives the last name of each of ``reads`` equal parts of a table: ``part, cut``."""
+    column = spread.partition("::")[0]
+    tiles = f"SELECT {column} AS name, NTILE({reads}) OVER (ORDER BY {column}) AS part FROM {query} WHERE {column} IS NOT NULL"
+    return f"(SELECT part, MAX(name) AS cut FROM ({tiles}) p GROUP BY part) c"
+
+
+def range_predicates(spread: str, cuts: Sequence[str | int]) -> list[str]:
+    """One predicate per range between the ``cuts``, in their order. Together they take every row once.
+
+    A name that is many rows long ends one range only, so equal cuts are one. NULLs are in the last range.
+    """
+    column = spread.partition("::")[0]
+    ends = [str(c) if isinstance(c, int) else "'" + str(c).replace("'", "''") + "'" for c in dict.fromkeys(cuts)][:-1]
+    if not ends:
+        return ["1 = 1"]
+    inner = [f"{column} > {low} AND {column} <= {high}" for low, high in zip(ends, ends[1:])]
+    return [f"{column} <= {ends[0]}", *inner, f"{column} > {ends[-1]} OR {column} IS NULL"]
+
+
 def default_tables(dialect: str) -> list[str]:
     return [t for t in (POSTGRES if dialect == "postgres" else ORACLE) if t not in ON_REQUEST]
 
@@ -117,13 +137,23 @@ def read_catalog(
     scope: str = "dba",
     reads: int = 8,
     properties: Mapping[str, str] | None = None,
+    ranges: bool = True,
 ) -> dict[str, DataFrame]:
-    """Raw catalog tables of one database: those a normaliser needs, unless ``tables`` names others."""
+    """Raw catalog tables of one database: those a normaliser needs, unless ``tables`` names others.
+
+    With ``ranges`` the source gives the ends of ``reads`` equal ranges of names, one short query a table. Without,
+    reads are by a hash of the name, each of which goes through the whole view.
+    """
     names = tables or default_tables(dialect)
     options = {"fetchsize": str(FETCH_SIZE), **(properties or {})}
     out = {}
     for name in names:
         query, spread = catalog_query(dialect, name, scope)
-        predicates = read_predicates(dialect, spread, reads)
+        if ranges:
+            # Sorted by part: the order of names is the source's own.
+            found = spark.read.jdbc(url, cut_query(query, spread, reads), properties=options).toDF("part", "cut").collect()
+            predicates = range_predicates(spread, [row["cut"] for row in sorted(found, key=lambda row: row["part"])])
+        else:
+            predicates = read_predicates(dialect, spread, reads)
         out[name] = spark.read.jdbc(url, query, predicates=predicates, properties=options)
     return out

@@ -143,14 +143,6 @@ def test_staging_derives_sourcecode(spark, tmp_path):
         Staging({})["views"]
 
 
-def test_reading_two_instances_prunes_partitions(spark, tmp_path):
-    write_staged(objects(spark, ("a", "x"), ("b", "y"), ("c", "z")), str(tmp_path), "dbobjectnames")
-    rows = read_staged(spark, str(tmp_path), "dbobjectnames").where("pkey in ('a', 'b')")
-    assert len(rows.inputFiles()) == 3
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [pkey" in plan
-
-
 def test_catalog_queries():
     query, spread = catalog_query("postgres", "pg_class")
     assert query.startswith("(SELECT oid::bigint AS oid") and query.endswith("FROM pg_class) t") and spread == "relname"
