@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogdiff.functions import all_present, differs
+from catalogdiff.operators import pairs
 from catalogdiff.operators.copies import repeat_rows
 from catalogdiff.operators.presence import Sides
+from catalogdiff.operators.selection import InstancePairs
 
 KEYS = ("owner", "table_name", "column_name")
 COMPARED = ("data_type", "data_length", "data_precision", "data_scale", "nullable")
@@ -26,20 +28,34 @@ def column_drift(
     count comes back as copies. Side 1 joins as it is: it is shuffled once, and
     a key that holds much of it is split by the adaptive skew join.
     """
-    group = [*sides.group, *KEYS]
-    rows = sides.tag(columns, own_only=True).where(all_present(KEYS)).select("side", *group, *COMPARED)
+    if isinstance(sides, InstancePairs):
+        return _drift_of_pairs(columns, sides, dedupe, order)
+    rows = sides.tag(columns, own_only=True).where(all_present(KEYS)).select("side", *KEYS, *COMPARED)
     left = rows.where("side = 1").drop("side").alias("l")
-    right = rows.where("side = 2").groupBy(*group, *COMPARED).agg(F.count("*").alias("_copies")).alias("r")
+    right = rows.where("side = 2").groupBy(*KEYS, *COMPARED).agg(F.count("*").alias("_copies")).alias("r")
     if dedupe:
         left = left.distinct().alias("l")
-    same_key = F.expr(" AND ".join(f"l.{k} = r.{k}" for k in group))
+    same_key = F.expr(" AND ".join(f"l.{k} = r.{k}" for k in KEYS))
     joined = left.join(right, same_key & differs("l", "r", COMPARED))
-    shown = [f"l.{k} AS {k}" for k in group]
-    for name in SHOWN:
-        shown += [f"l.{name} AS {name}_1", f"r.{name} AS {name}_2"]
-    if dedupe:
-        found = joined.selectExpr(*shown).distinct()
-        found = found.orderBy(*order) if order else found
-    else:
-        found = repeat_rows(joined.selectExpr(*shown, "_copies"), "_copies", order=order)
-    return sides.labelled(found, *SHOWN)
+    found = joined.selectExpr(*[f"l.{k} AS {k}" for k in KEYS], *_shown(), "_copies")
+    return sides.labelled(_finished(found, dedupe, order), *SHOWN)
+
+
+def _shown() -> list[str]:
+    return [f"{side}.{name} AS {name}_{number}" for name in SHOWN for number, side in ((1, "l"), (2, "r"))]
+
+
+def _finished(found: DataFrame, dedupe: bool, order: Sequence[str]) -> DataFrame:
+    if not dedupe:
+        return repeat_rows(found, "_copies", order=order)
+    found = found.drop("_copies").distinct()
+    return found.orderBy(*order) if order else found
+
+
+def _drift_of_pairs(columns: DataFrame, sides: InstancePairs, dedupe: bool, order: Sequence[str]) -> DataFrame:
+    """Declarations are counted per instance, and only those of pairs that differ meet."""
+    rows = sides.nodes(columns).where(all_present(KEYS))
+    counted = rows.groupBy(*KEYS, *COMPARED, "node").agg(F.count("*").alias("_n"))
+    unequal = " OR ".join(f"l.{n} <> r.{n}" for n in COMPARED)
+    found = pairs.differing(counted, KEYS, COMPARED, unequal, sides.edges, sides.small)
+    return _finished(found.selectExpr("pair_id", *KEYS, *_shown(), "_copies"), dedupe, order)

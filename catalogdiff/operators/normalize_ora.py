@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 
 from catalogdiff.functions import listed, literal
-from catalogdiff.operators.selection import filter_owners
+from catalogdiff.operators.selection import described, filter_owners
 from catalogdiff.schemas import conform
 
 Raw = Mapping[str, DataFrame]
@@ -56,7 +56,7 @@ def ora_instance(raw: Raw, pkey: str | None = None) -> DataFrame:
     """One row per database described."""
     objects = raw["objects"]
     if pkey is None:
-        return conform(objects.select("pkey").distinct(), "instances")
+        return conform(described(raw), "instances")
     return conform(objects.sparkSession.range(1), "instances", pkey=literal(pkey))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from catalogdiff.functions import line_count, listed, literal, regclass_text
 from catalogdiff.operators.copies import repeat_rows
-from catalogdiff.operators.selection import filter_owners
+from catalogdiff.operators.selection import described, filter_owners
 from catalogdiff.schemas import conform
 
 Raw = Mapping[str, DataFrame]
@@ -70,7 +70,7 @@ def pg_instance(raw: Raw, pkey: str | None = None) -> DataFrame:
     """One row per database described."""
     schemas = raw["pg_namespace"]
     if pkey is None:
-        return conform(schemas.select("pkey").distinct(), "instances")
+        return conform(described(raw), "instances")
     return conform(schemas.sparkSession.range(1), "instances", pkey=literal(pkey))
 
 

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogdiff.functions import all_present
+from catalogdiff.operators import pairs
 from catalogdiff.operators.copies import repeat_rows
-from catalogdiff.operators.selection import InstancePairs, TwoInstances, map_columns, map_owners
+from catalogdiff.operators.selection import InstancePairs, TwoInstances, edge_roles, map_columns, map_owners, map_roles
 
 Sides = TwoInstances | InstancePairs
 
@@ -47,8 +48,29 @@ def _finish(
 
 def lacking(rows: DataFrame, keys: Sequence[str], sides: Sides) -> DataFrame:
     """One row per key that a side lacks, with the row counts ``_n1, _n2``."""
-    tagged = sides.tag(rows)
-    return tagged.groupBy(*sides.group, *keys).agg(*_side_counts(keys)).where(_LACKS_A_SIDE)
+    if isinstance(sides, InstancePairs):
+        return pairs.lacking(pairs.counted_by(sides.nodes(rows), keys), keys, sides.edges, sides.small, sides.count)
+    return sides.tag(rows).groupBy(*keys).agg(*_side_counts(keys)).where(_LACKS_A_SIDE)
+
+
+def finest(rows: DataFrame, keys: Sequence[str], sides: Sides) -> DataFrame:
+    """The aggregate that counts and presence diffs of one table can share: rows per key and side, or per key and instance."""
+    if isinstance(sides, InstancePairs):
+        return pairs.counted_by(sides.nodes(rows), keys)
+    each = [F.expr(f"count_if(side = {side})").alias(f"_r{side}") for side in (1, 2)]
+    return sides.tag(rows).groupBy(*keys).agg(*each)
+
+
+def lacking_of(counted: DataFrame, keys: Sequence[str], sides: Sides, only: str | None = None) -> DataFrame:
+    """As ``lacking``, from the ``finest`` aggregate. ``only`` filters keys behind it, so that others share it unfiltered."""
+    if only is not None:
+        # Keys of a count as well: filters of keys alone, those a join adds too, would be moved before the aggregate.
+        count = "_n" if isinstance(sides, InstancePairs) else "_r1 + _r2 + 1L"
+        counted = counted.where(f"IF({only}, {count}, 0L) > 0").withColumns({k: F.expr(f"IF({count} > 0, {k}, NULL)") for k in keys})
+    if isinstance(sides, InstancePairs):
+        return pairs.lacking(counted, keys, sides.edges, sides.small, sides.count)
+    whole = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    return counted.selectExpr(*keys, *(f"IF({whole}, _r{side}, 0L) AS _n{side}" for side in (1, 2))).where(_LACKS_A_SIDE)
 
 
 def presence_diff(
@@ -66,6 +88,13 @@ def presence_diff(
     ``unless_on`` (and the same pair); a NULL matches nothing.
     """
     found = _without(lacking(rows, keys, sides), unless, unless_on, sides.group)
+    return presence_of(found, keys, sides, dedupe, order)
+
+
+def presence_of(
+    found: DataFrame, keys: Sequence[str], sides: Sides, dedupe: bool = False, order: Sequence[str] = ()
+) -> DataFrame:
+    """The presence diff of keys that were ``found`` to be lacking."""
     return _finish(found, keys, sides, dedupe, order)
 
 
@@ -84,9 +113,14 @@ def presence_diff_by_variant(
     Variants are a small vocabulary, so the set of them is bounded and one aggregate does.
     With ``dedupe`` a finding with a variant kept is listed once.
     """
-    kinds = F.collect_set(F.when(keep, F.col(variant))).alias("_kinds")
-    counted = sides.tag(rows).groupBy(*sides.group, *keys).agg(*_side_counts(keys), kinds)
-    found = counted.where(_LACKS_A_SIDE).where("size(_kinds) > 0")
+    kind = F.when(keep, F.col(variant))
+    if isinstance(sides, InstancePairs):
+        per_instance = pairs.counted_by(sides.nodes(rows), keys, extra=kind)
+        found = pairs.lacking(per_instance, keys, sides.edges, sides.small, sides.count).withColumnRenamed("_extra", "_kinds")
+    else:
+        counted = sides.tag(rows).groupBy(*sides.group, *keys).agg(*_side_counts(keys), F.collect_set(kind).alias("_kinds"))
+        found = counted.where(_LACKS_A_SIDE)
+    found = found.where("size(_kinds) > 0")
     if not dedupe:
         found = found.withColumn("_kind", F.explode("_kinds"))
     return _finish(found, keys, sides, dedupe, order)
@@ -100,11 +134,16 @@ def mapped_lacking(
     Rows with a NULL key part belong to the side that holds them, so those
     are kept apart by owner.
     """
-    mine = map_owners(sides.tag(rows, own_only=True), owner_maps)
+    many = isinstance(sides, InstancePairs)
+    mine = map_roles(sides.nodes(rows), owner_maps) if many else map_owners(sides.tag(rows, own_only=True), owner_maps)
     mine = mine.withColumn("_loose", F.when(~all_present(keys), F.col("owner")))
-    counted = mine.groupBy(*sides.group, "owner_1", "owner_2", "_loose", *keys).agg(*_side_counts(keys))
+    group = ("owner_1", "owner_2", "_loose", *keys)
+    if many:
+        found = pairs.lacking(pairs.counted_by(mine, group), group, edge_roles(sides.edges), sides.small, None, whole=keys)
+    else:
+        found = mine.groupBy(*group).agg(*_side_counts(keys)).where(_LACKS_A_SIDE)
     holder = F.when(F.col("_n1") > 0, F.col("owner_1")).otherwise(F.col("owner_2"))
-    return counted.where(_LACKS_A_SIDE).withColumn("owner", F.coalesce("_loose", holder))
+    return found.withColumn("owner", F.coalesce("_loose", holder))
 
 
 def mapped_presence_diff(

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,12 @@ def instances(table: DataFrame) -> DataFrame:
     return table.select(F.col("pkey").alias("instance_id")).distinct()
 
 
+def described(raw: Mapping[str, DataFrame]) -> DataFrame:
+    """The distinct ``pkey`` of all raw tables of a fleet: a database without objects may have other facts."""
+    some = [table.select("pkey").distinct() for table in raw.values() if "pkey" in table.columns]
+    return reduce(DataFrame.union, some).distinct()
+
+
 def pick_instances(table: DataFrame) -> tuple[str, str]:
     """The first two instance ids in order; the only values that reach the driver."""
     ids = table.select("pkey").where(F.col("pkey").isNotNull()).distinct().orderBy("pkey").limit(2).collect()
@@ -52,13 +59,11 @@ def pick_instances(table: DataFrame) -> tuple[str, str]:
 def known_instances(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Keep rows of instances listed in the ``instances`` table.
 
-    The few ids are measured and broadcast by hint, so that rows are not dealt out by
-    instance; beyond the bound the join is left to Spark.
+    The ids are as many as instances, so Spark's own size check broadcasts them in most cases;
+    no job measures them while a comparison is built.
     """
     ids = table.select("pkey").where(F.col("pkey").isNotNull()).distinct()
-    size = "coalesce(sum(octet_length(pkey)), 0L)"
-    small = fits(*ids.limit(MAX_HINTED_ROWS + 1).selectExpr("count(*)", size).first())
-    return rows.join(F.broadcast(ids) if small else ids, "pkey", "left_semi").select(*rows.columns)
+    return rows.join(ids, "pkey", "left_semi").select(*rows.columns)
 
 
 def instance_rank(table: DataFrame) -> DataFrame:
@@ -116,6 +121,8 @@ class TwoInstances:
     first: str
     second: str
     universe: str = "staged"
+    # The table of staged instances; a query then fails if one of the two is not in it.
+    listed: DataFrame | None = field(default=None, compare=False)
 
     group: tuple[str, ...] = ()
 
@@ -125,6 +132,10 @@ class TwoInstances:
         if self.universe not in ("staged", "pair"):
             raise ValueError("universe is 'staged' or 'pair'")
 
+    @property
+    def ids(self) -> tuple[str, str]:
+        return self.first, self.second
+
     def tag(self, rows: DataFrame, own_only: bool = False) -> DataFrame:
         """Add ``side``: 1, 2, or 0 for an instance that only adds to the universe.
 
@@ -136,6 +147,11 @@ class TwoInstances:
         else:
             rows = rows.where("pkey IS NOT NULL")
         one, two = literal(self.first), literal(self.second)
+        if self.listed is not None:
+            # Part of the query: the few rows of the two ids are looked up when it runs.
+            missing = ", ".join(f"IF(bool_or(pkey = {i}), NULL, {i})" for i in (one, two))
+            both = f"CASE WHEN bool_or(pkey = {one}) AND bool_or(pkey = {two}) THEN true ELSE raise_error(concat('not staged: ', concat_ws(', ', {missing}))) END"
+            rows = rows.where(self.listed.where(f"pkey IN ({one}, {two})").agg(F.expr(both).alias("there")).scalar())
         return rows.selectExpr("*", f"CASE pkey WHEN {one} THEN 1 WHEN {two} THEN 2 ELSE 0 END AS side")
 
     def label(self, side: int, what: str) -> str:
@@ -155,29 +171,38 @@ def pair_id(first: str, second: str) -> str:
 class InstancePairs:
     """Many comparisons in one job: ``pairs`` has ``pair_id, pkey_1, pkey_2``.
 
-    Each row joins the pairs its instance takes part in, and a pair looks at
-    its own keys only. A pair given twice is one pair; a pair of an instance with
-    itself or with NULL, and an id for two pairs, fail. ``small`` pairs are broadcast; otherwise the join is a
-    plain one, and adaptive execution splits an instance that holds much of the
+    A pair looks at its own keys only. A pair given twice is one pair; a pair of an instance with
+    itself or with NULL, an id for two pairs, and with ``listed`` an instance that is not staged, fail.
+    ``numbers (pkey, node)`` are the instances, ``edges (node, other, side, pair_id)`` the pairs from both ends.
+    ``small`` ones are broadcast; otherwise joins are plain ones, and adaptive execution splits an instance that holds much of the
     table. ``known`` ids, where they are few, prune the scan.
     """
 
     pairs: DataFrame
     small: bool
+    numbers: DataFrame
+    edges: DataFrame
+    count: int | None = None
     known: tuple[str, ...] | None = None
+    listed: DataFrame | None = field(default=None, compare=False)
 
     group: tuple[str, ...] = ("pair_id",)
 
     @classmethod
-    def of(cls, spark: SparkSession, pairs: DataFrame | Sequence[tuple[str, str]]) -> InstancePairs:
+    def of(
+        cls, spark: SparkSession, pairs: DataFrame | Sequence[tuple[str, str]], listed: DataFrame | None = None
+    ) -> InstancePairs:
         if not isinstance(pairs, DataFrame):
             if any(a is None or b is None or a == b for a, b in pairs):
                 raise ValueError("the two instances of a pair must differ")
             rows = [(pair_id(a, b), a, b) for a, b in dict.fromkeys(map(tuple, pairs))]
             pairs = spark.createDataFrame(rows, "pair_id string, pkey_1 string, pkey_2 string")
-            ids = tuple(dict.fromkeys(i for _, *ends in rows for i in ends))
-            small = fits(len(rows), text_size(rows))
-            return cls(pairs, small, ids if len(ids) <= MAX_IN_LIST else None)
+            number = {i: n for n, i in enumerate(dict.fromkeys(i for _, *ends in rows for i in ends))}
+            ends = [e for p, a, b in rows for e in ((number[a], number[b], 1, p), (number[b], number[a], 2, p))]
+            numbers = spark.createDataFrame(list(number.items()), "pkey string, node int")
+            edges = spark.createDataFrame(ends, "node int, other int, side int, pair_id string")
+            known = tuple(number) if len(number) <= MAX_IN_LIST else None
+            return cls(pairs, fits(len(rows), text_size(rows)), numbers, edges, len(number), known, listed)
         ends = "struct(pkey_1, pkey_2)"
         pairs = pairs.groupBy("pair_id").agg(F.expr(f"min({ends})").alias("low"), F.expr(f"max({ends})").alias("high"))
         fault = "raise_error('a pair_id names two pairs, or a pair whose instances do not differ')"
@@ -186,17 +211,35 @@ class InstancePairs:
         # Measured no further than the bound.
         texts = "octet_length(concat_ws('', string(pair_id), pkey_1, pkey_2))"
         head = pairs.limit(MAX_HINTED_ROWS + 1).selectExpr("count(*)", f"coalesce(sum({texts}), 0L)").first()
-        return cls(pairs, fits(*head))
+        numbers = instance_rank(pairs.select(F.explode(F.array("pkey_1", "pkey_2")).alias("pkey")))
+        numbers = numbers.selectExpr("instance_id AS pkey", "int(rn - 1) AS node")
+        both = pairs.join(numbers.toDF("pkey_1", "node_1"), "pkey_1").join(numbers.toDF("pkey_2", "node_2"), "pkey_2")
+        ends = "inline(array(struct(node_1 AS node, node_2 AS other, 1 AS side), struct(node_2 AS node, node_1 AS other, 2 AS side)))"
+        return cls(pairs, fits(*head), numbers, both.selectExpr(ends, "pair_id"), listed=listed)
+
+    @property
+    def ids(self) -> tuple[str, ...] | None:
+        return self.known
+
+    def nodes(self, rows: DataFrame) -> DataFrame:
+        """Rows of the instances compared, which ``node`` names instead of ``pkey``: as many as there are, whatever the pairs."""
+        return self._numbered(rows).drop("pkey")
 
     def tag(self, rows: DataFrame, own_only: bool = False) -> DataFrame:
-        ends = F.array(
-            F.struct(F.col("pkey_1").alias("pkey"), F.lit(1).alias("side")),
-            F.struct(F.col("pkey_2").alias("pkey"), F.lit(2).alias("side")),
-        )
+        """Rows with ``pair_id`` and ``side``, once for each pair of their instance: for texts that group by pair."""
+        edges = F.broadcast(self.edges) if self.small else self.edges
+        return self._numbered(rows).join(edges.drop("other"), "node").drop("node")
+
+    def _numbered(self, rows: DataFrame) -> DataFrame:
         if self.known is not None:
             rows = rows.where(f"pkey IN ({listed(self.known)})" if self.known else "false")
-        sides = self.pairs.select("pair_id", F.inline(ends))
-        return rows.join(F.broadcast(sides) if self.small else sides, "pkey")
+        if self.listed is not None:
+            # Part of the query, and apart from its joins, whose filters would take such an id away before it fails.
+            staged = self.listed.select("pkey").where("pkey IS NOT NULL").distinct()
+            unknown = self.numbers.join(staged, "pkey", "left_anti")
+            none = "CASE WHEN count(*) = 0 THEN true ELSE raise_error(concat('not staged: ', min(pkey))) END"
+            rows = rows.where(unknown.agg(F.expr(none).alias("there")).scalar())
+        return rows.join(F.broadcast(self.numbers) if self.small else self.numbers, "pkey")
 
     def label(self, side: int, what: str) -> str:
         return f"{what}_{side}"
@@ -211,6 +254,17 @@ def map_columns(owner_maps: Sequence[tuple[str, str]]) -> list[str]:
     return [] if len(owner_maps) == 1 else ["owner_1", "owner_2"]
 
 
+def map_roles(rows: DataFrame, owner_maps: Sequence[tuple[str, str]]) -> DataFrame:
+    """As ``map_owners`` for rows with a ``node`` and no side: a node's two sides are nodes of their own."""
+    sided = rows.withColumn("side", F.explode(F.array(F.lit(1), F.lit(2))))
+    return map_owners(sided, owner_maps).withColumn("node", F.expr("2 * node + side - 1")).drop("side")
+
+
+def edge_roles(edges: DataFrame) -> DataFrame:
+    """Edges between the nodes of ``map_roles``."""
+    return edges.selectExpr("2 * node + side - 1 AS node", "2 * other + 2 - side AS other", "side", "pair_id")
+
+
 def map_owners(rows: DataFrame, owner_maps: Sequence[tuple[str, str]]) -> DataFrame:
     """Keep tagged rows whose owner is mapped for their side; add ``owner_1, owner_2``."""
     if len(owner_maps) == 1:

@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogdiff.functions import parse_owner_list, parse_owner_map, quoted, shown
-from catalogdiff.operators.selection import MAX_IN_LIST, InstancePairs, TwoInstances, pair_id, pick_instances, renamed
+from catalogdiff.operators.selection import InstancePairs, TwoInstances, pair_id, pick_instances, renamed
 from catalogdiff.plans.custom import custom_section
-from catalogdiff.plans.sections import MAPPED_SECTIONS, SECTIONS, Comparison, Section, object_counts
+from catalogdiff.plans.sections import MAPPED_SECTIONS, OF_OBJECTS, SECTIONS, Comparison, Section
 
 MAP_COLUMNS = ("owner_1", "owner_2")
 
 
 class Report:
-    """Sections of one comparison. Nothing runs until a result is used or written."""
+    """Sections of one comparison. With named instances nothing runs until a result is used or written."""
 
     def __init__(
         self, comparison: Comparison, sections: Mapping[str, Section], custom: Mapping[str, str], ordered: bool
@@ -27,12 +27,12 @@ class Report:
         self.sections = dict(sections)
         self.custom = tuple(custom)
         self.results = {}
-        shared = any(s.build is object_counts for s in sections.values())
+        shared = sum(s.build in OF_OBJECTS for s in sections.values()) > 1
         for title, s in sections.items():
             # Only sections of pairs have a pair to sort by first; an unsorted section stays so.
             group = comparison.sides.group if s.values else ()
             order = (*group, *s.order) if ordered and s.order else ()
-            self.results[title] = s.build(replace(comparison, order=order, counts_shared=shared))
+            self.results[title] = s.build(replace(comparison, order=order, shared=shared))
         for title, text in custom.items():
             self.results[title] = custom_section(text, comparison)
 
@@ -71,9 +71,12 @@ class Report:
 
     def _custom_findings(self, title: str) -> DataFrame:
         rows, none = self.results[title], F.lit(None).cast("string")
-        key = F.create_map(*[part for n in rows.columns for part in (F.lit(n), F.col(quoted(n)).cast("string"))])
+        many = bool(self.comparison.sides.group)
+        pair = F.col("pair_id") if many else F.lit(self.pair_id)
+        names = [n for n in rows.columns if not (many and n == "pair_id")]
+        key = F.create_map(*[part for n in names for part in (F.lit(n), F.col(quoted(n)).cast("string"))])
         return rows.select(
-            F.lit(self.pair_id).cast("string").alias("pair_id"), F.lit(title).alias("section"),
+            pair.cast("string").alias("pair_id"), F.lit(title).alias("section"),
             key.cast("map<string,string>").alias("key"), none.alias("value_1"), none.alias("value_2"),
         )
 
@@ -101,7 +104,7 @@ class Report:
         if isinstance(sides, TwoInstances):
             return spark.range(1).select(F.lit(self.pair_id).alias("pair_id"), titles)
         general = [t for t, s in self.sections.items() if not s.values]
-        per_pair = [t for t, s in self.sections.items() if s.values]
+        per_pair = [*(t for t, s in self.sections.items() if s.values), *self.custom]
         parts = []
         if general:
             none = F.lit(None).cast("string").alias("pair_id")
@@ -129,7 +132,7 @@ def compare(
     ``instances`` defaults to the first two staged ids. ``owners`` restricts the
     schemas compared, ``owner_maps`` compares schemas of different names
     instead, and picks the mapped sections; both may be text (``"A, B"``,
-    ``"SOURCE/TARGET"``). ``sections`` are titles; without it
+    ``"SOURCE/TARGET"``). A result that names an instance which is not staged fails when it is used. ``sections`` are titles; without it
     the default ones run. ``custom`` maps titles to SQL texts.
     """
     owners = parse_owner_list(owners) if isinstance(owners, str) else owners
@@ -137,18 +140,13 @@ def compare(
     owner_maps = owner_maps and list(dict.fromkeys(map(tuple, owner_maps)))
     if instances is not None and pairs is not None:
         raise ValueError("give two instances or many pairs, not both")
+    listed = staging["instances"]
     if pairs is not None:
-        spark = staging[next(iter(staging))].sparkSession
-        sides = InstancePairs.of(spark, pairs)
+        sides = InstancePairs.of(listed.sparkSession, pairs, listed)
+    elif instances is not None:
+        sides = TwoInstances(*instances, universe, listed)
     else:
-        sides = TwoInstances(*(instances or pick_instances(staging["instances"])), universe)
-    named = list(instances or ())
-    if pairs is not None and not isinstance(pairs, DataFrame):
-        named = list(dict.fromkeys(i for pair in pairs for i in pair))
-    if 0 < len(named) <= MAX_IN_LIST:
-        staged = staging["instances"].where(F.col("pkey").isin(*named)).select("pkey").distinct()
-        if unknown := sorted(set(named) - {row["pkey"] for row in staged.collect()}):
-            raise ValueError(f"not staged: {unknown}")
+        sides = TwoInstances(*pick_instances(listed), universe)
     registry = MAPPED_SECTIONS if owner_maps else SECTIONS
     titles = [t for t, s in registry.items() if s.default] if sections is None else list(sections)
     unknown = [t for t in titles if t not in registry]

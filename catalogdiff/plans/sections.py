@@ -8,17 +8,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalogdiff.functions import listed
 from catalogdiff.operators import drift
-from catalogdiff.operators.counts import count_diff, line_diff, mapped_count_diff
+from catalogdiff.operators.counts import count_diff, counts_of, line_diff, mapped_count_diff
 from catalogdiff.operators.presence import (
     Sides,
+    finest,
     lacking,
+    lacking_of,
     mapped_lacking,
     mapped_presence_diff,
     presence_diff,
     presence_diff_by_variant,
+    presence_of,
 )
-from catalogdiff.operators.selection import filter_owners, instances, known_instances
+from catalogdiff.operators.selection import InstancePairs, filter_owners, instances, known_instances
 
 # The types whose absence explains that all their columns are absent.
 TABLE_TYPES = ("TABLE", "PARTITIONED TABLE")
@@ -41,8 +45,8 @@ class Comparison:
     owner_maps: Sequence[tuple[str, str]] | None = None
     dedupe: bool = False
     order: Sequence[str] = ()
-    # Whether the report has all counts too, whose exchange the mismatches then share.
-    counts_shared: bool = False
+    # Whether sections of one report count objects, which one aggregate then does for all of them.
+    shared: bool = False
 
     @property
     def result(self) -> dict:
@@ -52,30 +56,54 @@ class Comparison:
     def sorted(self, df: DataFrame) -> DataFrame:
         return df.orderBy(*self.order) if self.order else df
 
-    def rows(self, table: str, known: bool = False) -> DataFrame:
-        """Rows of a table for the owners compared; ``known`` keeps listed instances only.
+    def table(self, name: str, known: bool = False, own: bool = False) -> DataFrame:
+        """A table; ``known`` keeps listed instances only, ``own`` reads those compared only, where they are named.
+
+        Instances that are compared are listed ones, as the sides check.
+        """
+        sides = self.sides
+        own = own or isinstance(sides, InstancePairs) or sides.universe == "pair"
+        staging = self.staging.of(sides.ids) if own and sides.ids is not None and hasattr(self.staging, "of") else self.staging
+        if known and not (own and sides.listed is not None):
+            return known_instances(staging[name], self.staging["instances"])
+        return staging[name]
+
+    def rows(self, table: str, known: bool = False, own: bool = False) -> DataFrame:
+        """Rows of a table for the owners compared.
 
         The owner is part of every key these rows are compared on, so filtering
         before the comparison gives what filtering after it would.
         """
-        rows = filter_owners(self.staging[table], self.owners)
-        return known_instances(rows, self.staging["instances"]) if known else rows
+        return filter_owners(self.table(table, known, own), self.owners)
+
+
+    def objects(self) -> DataFrame:
+        """Objects per key and side: counts are its rollup, missing objects and tables its filters."""
+        return finest(self.rows("dbobjectnames"), OBJECT, self.sides)
 
 
 def instance_list(c: Comparison) -> DataFrame:
     return c.sorted(instances(c.staging["instances"]))
 
 
+def _object_counts(c: Comparison, mismatch: bool) -> DataFrame:
+    keys = ("owner", "object_type")
+    if c.shared:
+        return c.sorted(counts_of(c.objects(), keys, c.sides, mismatch))
+    return c.sorted(count_diff(c.rows("dbobjectnames", own=mismatch), keys, c.sides, mismatch))
+
+
 def object_counts(c: Comparison) -> DataFrame:
-    return c.sorted(count_diff(c.rows("dbobjectnames"), ("owner", "object_type"), c.sides))
+    return _object_counts(c, mismatch=False)
 
 
 def object_counts_mismatch(c: Comparison) -> DataFrame:
-    rows = c.rows("dbobjectnames")
-    return c.sorted(count_diff(rows, ("owner", "object_type"), c.sides, mismatch=True, prune=not c.counts_shared))
+    return _object_counts(c, mismatch=True)
 
 
 def missing_objects(c: Comparison) -> DataFrame:
+    if c.shared:
+        return presence_of(lacking_of(c.objects(), OBJECT, c.sides), OBJECT, c.sides, **c.result)
     return presence_diff(c.rows("dbobjectnames"), OBJECT, c.sides, **c.result)
 
 
@@ -84,13 +112,17 @@ def missing_columns(c: Comparison) -> DataFrame:
 
     Being TABLE on one side and PARTITIONED TABLE on the other is missing too.
     """
-    objects = c.rows("dbobjectnames").where(F.col("object_type").isin(*TABLE_TYPES))
+    tables = f"object_type IN ({listed(TABLE_TYPES)})"
+    if c.shared:
+        gone = lacking_of(c.objects(), OBJECT, c.sides, tables)
+    else:
+        gone = lacking(c.rows("dbobjectnames").where(tables), OBJECT, c.sides)
     return presence_diff(
         c.rows("columns", known=True),
         COLUMN,
         c.sides,
         **c.result,
-        unless=lacking(objects, OBJECT, c.sides),
+        unless=gone,
         unless_on=[("owner", "owner"), ("table_name", "object_name")],
     )
 
@@ -106,21 +138,20 @@ def missing_routines(c: Comparison) -> DataFrame:
 
 
 def column_type_mismatch(c: Comparison) -> DataFrame:
-    return drift.column_drift(c.rows("columns"), c.sides, **c.result)
+    return drift.column_drift(c.rows("columns", own=True), c.sides, **c.result)
 
 
 def line_count_mismatch(c: Comparison) -> DataFrame:
-    return c.sorted(line_diff(c.rows("sourcecode"), ("owner", "type"), "sum_nr_lines", c.sides))
+    return c.sorted(line_diff(c.rows("sourcecode", own=True), ("owner", "type"), "sum_nr_lines", c.sides))
 
 
 def line_count_mismatch_detailed(c: Comparison) -> DataFrame:
-    return c.sorted(line_diff(c.rows("sourcecodedetailed"), ROUTINE, "nr_lines", c.sides))
+    return c.sorted(line_diff(c.rows("sourcecodedetailed", own=True), ROUTINE, "nr_lines", c.sides))
 
 
 def _grants(c: Comparison, table: str, keys: Sequence[str]) -> DataFrame:
     """Grants have no owner, so the owner filter does not apply."""
-    rows = known_instances(c.staging[table], c.staging["instances"])
-    return presence_diff(rows, keys, c.sides, **c.result)
+    return presence_diff(c.table(table, known=True), keys, c.sides, **c.result)
 
 
 def missing_role_grants(c: Comparison) -> DataFrame:
@@ -132,17 +163,17 @@ def missing_sys_privs(c: Comparison) -> DataFrame:
 
 
 def mapped_object_counts(c: Comparison) -> DataFrame:
-    return c.sorted(mapped_count_diff(c.staging["dbobjectnames"], "object_type", c.sides, c.owner_maps))
+    return c.sorted(mapped_count_diff(c.table("dbobjectnames", own=True), "object_type", c.sides, c.owner_maps))
 
 
 def mapped_missing_objects(c: Comparison) -> DataFrame:
-    return mapped_presence_diff(c.staging["dbobjectnames"], OBJECT[1:], c.sides, c.owner_maps, **c.result)
+    return mapped_presence_diff(c.table("dbobjectnames", own=True), OBJECT[1:], c.sides, c.owner_maps, **c.result)
 
 
 def mapped_missing_columns(c: Comparison) -> DataFrame:
-    objects = c.staging["dbobjectnames"].where(F.col("object_type").isin(*TABLE_TYPES))
+    objects = c.table("dbobjectnames", own=True).where(F.col("object_type").isin(*TABLE_TYPES))
     return mapped_presence_diff(
-        known_instances(c.staging["columns"], c.staging["instances"]),
+        c.table("columns", known=True, own=True),
         COLUMN[1:],
         c.sides,
         c.owner_maps,
@@ -153,7 +184,7 @@ def mapped_missing_columns(c: Comparison) -> DataFrame:
 
 
 def mapped_missing_routines(c: Comparison) -> DataFrame:
-    rows = known_instances(c.staging["sourcecodedetailed"], c.staging["instances"])
+    rows = c.table("sourcecodedetailed", known=True, own=True)
     return mapped_presence_diff(rows, ROUTINE[1:], c.sides, c.owner_maps, **c.result)
 
 
@@ -172,6 +203,9 @@ class Section:
         return F.col(f"{self.values[0]}_{side}") if len(self.values) == 1 else None
 
 
+# Sections that one aggregate of objects serves.
+OF_OBJECTS = (object_counts, object_counts_mismatch, missing_objects, missing_columns)
+
 _STATUS, _COUNT, _LINES = ("status",), ("count",), ("line_count",)
 _BY_OWNER = ("owner", "object_type")
 

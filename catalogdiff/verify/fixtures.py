@@ -168,6 +168,20 @@ SELECT pkey, owner AS table_owner, object_name AS table_name FROM fleet_ora_obje
 }
 
 
+# One database and eight that each lack something of it, with overloads on both sides.
+STAR = [f"star_{n}" for n in range(8)]
+VIEWS["fx_star_objects"] = "".join(
+    f"{' UNION ALL ' if i else ''}SELECT '{pkey}' AS pkey, 1 AS con_id, owner, object_name, object_type FROM fx_objects_base WHERE {kept}\n"
+    for i, (pkey, kept) in enumerate(
+        [(SRC, "true"), (SRC, "object_type = 'FUNCTION' AND k % 5 = 0")]
+        + [(s, f"k % {11 + n} <> 0") for n, s in enumerate(STAR)]
+        + [(s, "object_type = 'FUNCTION' AND k % 10 = 0") for s in STAR[:2]]
+        + [(STAR[0], "object_type = 'VIEW' AND k % 3 = 0 AND k % 11 = 0")]
+    )
+)
+VIEWS["fx_star_instances"] = "SELECT DISTINCT pkey, 1 AS con_id FROM fx_star_objects"
+
+
 def needed(*names: str) -> list[str]:
     """The given views and the views they read, in order of definition."""
     want, todo = set(), list(names)
@@ -180,8 +194,8 @@ def needed(*names: str) -> list[str]:
 
 
 def ctes(*names: str) -> str:
-    """The views as common table expressions, for a query that must be one statement."""
-    return "WITH " + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in needed(*names))
+    """The views as common table expressions of DuckDB, for a query that must be one statement; each is made once."""
+    return "WITH " + ",\n".join(f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in needed(*names))
 
 
 def views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from catalogdiff.verify.fixtures import SRC, TGT, ctes
-from catalogdiff.verify.queries import OWNER_MAP, OWNER_MAPS, OWNERS, PAIRS
+from catalogdiff.verify.fixtures import SRC, TGT, THIRD, ctes
+from catalogdiff.verify.queries import OWNER_MAP, OWNER_MAPS, OWNERS, PAIRS, STAR_PAIRS
 
 OBJECT = ("owner", "object_name", "object_type")
 COLUMN = ("owner", "table_name", "column_name")
@@ -95,8 +95,8 @@ def drift(one: str = SRC, two: str = TGT, names: tuple[str, str] = (f"{SRC}_{{}}
     pairs = ", ".join(f"{s}.{c} AS {n.format(c)}" for c in shown for s, n in zip("xy", names))
     unequal = " OR ".join(f"x.{c} <> y.{c}" for c in (*shown, "data_scale"))
     return (
-        f"SELECT {cols(COLUMN, 'x.')}, {pairs} FROM {table} x JOIN {table} y ON {on('x', 'y', COLUMN)}"
-        f" AND x.pkey = '{one}' AND y.pkey = '{two}' AND ({unequal})"
+        f"SELECT {cols(COLUMN, 'x.')}, {pairs} FROM (SELECT * FROM {table} WHERE pkey = '{one}') x"
+        f" JOIN (SELECT * FROM {table} WHERE pkey = '{two}') y ON {on('x', 'y', COLUMN)} WHERE {unequal}"
     )
 
 
@@ -152,8 +152,14 @@ def mapped_columns(maps: Sequence[tuple[str, str]] = OWNER_MAP) -> str:
     return " UNION ALL ".join(parts)
 
 
-def per_pair(build) -> str:
-    return " UNION ALL ".join(f"SELECT '{a}|{b}' AS pair_id, * FROM ({build(a, b)})" for a, b in PAIRS)
+def per_pair(build, pairs: Sequence[tuple[str, str]] = PAIRS) -> str:
+    return " UNION ALL ".join(f"SELECT '{a}|{b}' AS pair_id, * FROM ({build(a, b)})" for a, b in pairs)
+
+
+def of_pair(sql: str, a: str, b: str, value: str) -> str:
+    """The SQL of the two usual instances for two others, its value columns named by side."""
+    swapped = sql.replace(SRC, "<1>").replace(TGT, "<2>").replace("<1>", a).replace("<2>", b)
+    return f"SELECT * EXCLUDE ({a}_{value}, {b}_{value}), {a}_{value} AS {value}_1, {b}_{value} AS {value}_2 FROM ({swapped})"
 
 
 def pair_absent(table: str, keys: Sequence[str], a: str, b: str, where: str = "true") -> str:
@@ -389,6 +395,18 @@ HOSTS = (
 )
 HOST_ID = r"CASE WHEN regexp_full_match(host, '[0-9.]*') THEN 'ip_' || replace(host, '.', '_') ELSE regexp_replace(host, '[^\p{L}]', '', 'g') END"
 
+NOT_LOB = "u.index_type <> 'LOB'"
+FINDINGS_OF_PAIRS = (
+    f"SELECT pair_id, 'Missing Sys Privileges' AS section, {named(('grantee', 'privilege'))} AS key, status_1 AS value_1, status_2 AS value_2"
+    f" FROM ({per_pair(lambda a, b: pair_absent('fx_sysprivs', ('grantee', 'privilege'), a, b))}) UNION ALL"
+    f" SELECT pair_id, 'Types', {named(('owner', 'data_type', 'columns_1', 'columns_2'))}, NULL, NULL FROM ("
+    + per_pair(
+        lambda a, b: f"SELECT owner, data_type, COUNT(*) FILTER (WHERE pkey = '{a}') AS columns_1, COUNT(*) FILTER (WHERE pkey = '{b}') AS columns_2"
+        f" FROM fx_columns WHERE pkey IN ('{a}', '{b}') GROUP BY owner, data_type"
+    )
+    + ")"
+)
+
 ORACLES: dict[str, str] = {
     "instances": over("fx_staged_instances", "SELECT DISTINCT pkey AS instance_id FROM fx_staged_instances"),
     "object_counts": section("All Object Counts"),
@@ -403,6 +421,9 @@ ORACLES: dict[str, str] = {
     ),
     "objects_missing_picked_instances": section("Missing Objects"),
     "objects_missing_long_owner_list": over("fx_dbobjectnames", absent("fx_dbobjectnames", OBJECT, where=IN_OWNERS)),
+    "objects_missing_after_empty_reload": over(
+        "fx_dbobjectnames", absent(f"(SELECT * FROM fx_dbobjectnames WHERE pkey <> '{TGT}') r", OBJECT)
+    ),
     "columns_missing": section("Missing Columns"),
     "columns_missing_owner_filter": over(ALL_STAGED, missing_columns(OWNERS)),
     "indexes_missing": section("Missing Indexes"),
@@ -430,6 +451,39 @@ ORACLES: dict[str, str] = {
     "mapped_columns_missing_many_maps": over(ALL_MAPPED, mapped_columns(OWNER_MAPS)),
     "mapped_null_names_missing": over("fx_mapped_names", mapped_absent("fx_mapped_names", OBJECT[1:])),
     "objects_missing_many_pairs": over(ALL_STAGED, per_pair(lambda a, b: pair_absent("fx_dbobjectnames", OBJECT, a, b))),
+    "objects_missing_star_of_pairs": over(
+        "fx_star_objects", per_pair(lambda a, b: pair_absent("fx_star_objects", OBJECT, a, b), STAR_PAIRS)
+    ),
+    "indexes_missing_many_pairs": over(
+        ALL_STAGED,
+        per_pair(
+            lambda a, b: absent(
+                "fx_indexes", INDEX, f"pkey = '{a}'", f"pkey = '{b}'", f"pkey IN ('{a}', '{b}')", "index_type", ("status_1", "status_2"), NOT_LOB
+            )
+        ),
+    ),
+    "routines_missing_many_pairs": over(ALL_STAGED, per_pair(lambda a, b: pair_absent("fx_sourcecodedetailed", ROUTINE, a, b))),
+    "line_count_mismatch_many_pairs": over(
+        ALL_STAGED, per_pair(lambda a, b: of_pair(STAGED_SQL["Mismatched Line Counts (PL/SQL)"], a, b, "line_count"))
+    ),
+    "line_count_mismatch_detailed_many_pairs": over(
+        ALL_STAGED, per_pair(lambda a, b: of_pair(STAGED_SQL["Mismatched Line Counts per Object (PL/SQL)"], a, b, "line_count"))
+    ),
+    "role_grants_missing_many_pairs": over(
+        ALL_STAGED, per_pair(lambda a, b: pair_absent("fx_roleprivs", ("grantee", "granted_role"), a, b))
+    ),
+    "object_counts_mismatch_many_pairs": over(ALL_STAGED, f"SELECT * FROM ({pair_counts(PAIRS)}) WHERE count_1 <> count_2"),
+    "column_type_mismatch_several_declarations_many_pairs": over(
+        "fx_columns_repeated",
+        per_pair(lambda a, b: drift(a, b, ("{}_1", "{}_2"), "fx_columns_repeated"), [(SRC, TGT), (TGT, SRC)]),
+    ),
+    "mapped_objects_missing_many_pairs": over(
+        ALL_MAPPED,
+        per_pair(
+            lambda a, b: of_pair(mapped_absent("fx_mapped_objects", OBJECT[1:], OWNER_MAPS), a, b, "status"), [(SRC, TGT), (SRC, THIRD)]
+        ),
+    ),
+    "custom_section_many_pairs": over(ALL_STAGED, FINDINGS_OF_PAIRS),
     "columns_missing_many_pairs": over(ALL_STAGED, per_pair(pair_columns)),
     "column_type_mismatch_many_pairs": over(ALL_STAGED, per_pair(lambda a, b: drift(a, b, ("{}_1", "{}_2")))),
     "object_counts_many_pairs": over(ALL_STAGED, pair_counts(PAIRS)),

@@ -13,8 +13,8 @@ from catalogdiff import operators as op
 from catalogdiff.functions import host_to_instance_id
 from catalogdiff.plans import MAPPED_SECTIONS, SECTIONS, compare, custom_section, write_findings
 from catalogdiff.plans.report import Report
-from catalogdiff.sources import Staging, import_extracts, read_staged, write_extract
-from catalogdiff.verify.fixtures import SRC, TGT, THIRD, views
+from catalogdiff.sources import Staging, import_extracts, read_staged, stage, write_extract
+from catalogdiff.verify.fixtures import SRC, STAR, TGT, THIRD, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,8 @@ OWNER_MAP = [("SRC_3", "TGT_3")]
 OWNER_MAPS = [("SRC_3", "TGT_3"), ("SRC_4", "TGT_4"), ("SRC_5", "TGT_6")]
 PAIRS = [(SRC, TGT), (TGT, SRC), (SRC, THIRD), (TGT, THIRD)]
 
+STAR_PAIRS = [(SRC, s) for s in STAR]
+
 STAGED_VIEWS = {
     "instances": "fx_instances",
     "dbobjectnames": "fx_dbobjectnames",
@@ -78,6 +80,21 @@ def objects_missing_picked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(Staging(staging), sections=["Missing Objects"])["Missing Objects"]
 
 
+def objects_missing_after_empty_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One database is loaded again and has no objects any more; the others stay as they were loaded."""
+    folder, first = shared_folder(spark), frames(spark, sf_dir, {t: STAGED_VIEWS[t] for t in ("instances", "dbobjectnames")})
+    stage(first, folder)
+    stage({"instances": first["instances"].where(F.col("pkey") == TGT), "dbobjectnames": first["dbobjectnames"].where("false")}, folder)
+    staging = Staging.open(spark, folder)
+    return compare(staging, instances=(SRC, TGT), sections=["Missing Objects"])["Missing Objects"]
+
+
+def objects_missing_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One database against each of many: its rows are counted once, not once for each pair."""
+    staging = frames(spark, sf_dir, {"instances": "fx_star_instances", "dbobjectnames": "fx_star_objects"})
+    return compare(Staging(staging), pairs=STAR_PAIRS, sections=["Missing Objects"])["Missing Objects"]
+
+
 def routines_missing_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routines of instances that have grants only: the third instance is not listed."""
     staging = frames(spark, sf_dir, {"instances": "fx_roleprivs", "sourcecodedetailed": "fx_three_sources"})
@@ -196,6 +213,12 @@ def drift_of_several_declarations(spark: SparkSession, sf_dir: str) -> DataFrame
     return compare(Staging(staging), instances=(SRC, TGT), sections=[title])[title]
 
 
+def drift_of_several_declarations_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = "Column Type Mismatches"
+    staging = frames(spark, sf_dir, {"instances": "fx_instances", "columns": "fx_columns_repeated"})
+    return compare(Staging(staging), pairs=[(SRC, TGT), (TGT, SRC)], sections=[title])[title]
+
+
 def findings_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the default sections, written by section and read back."""
     folder = shared_folder(spark)
@@ -227,6 +250,20 @@ GROUP BY a.OWNER;
 """
 
 
+CUSTOM_TEXT_OF_PAIRS = """
+SELECT t.pair_id, t.owner, t.data_type, count_if(t.side = 1) AS columns_1, count_if(t.side = 2) AS columns_2
+FROM IDENTIFIER(:columns) t
+WHERE :all_owners OR array_contains(:owners, t.owner)
+GROUP BY t.pair_id, t.owner, t.data_type
+"""
+
+
+def custom_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a custom section over many pairs, which groups by pair itself, next to a built-in one."""
+    found = report(spark, sf_dir, sections=["Missing Sys Privileges"], pairs=PAIRS, custom={"Types": CUSTOM_TEXT_OF_PAIRS})
+    return readable(found.findings())
+
+
 def custom(text: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = report(spark, sf_dir, sections=[], owners=OWNERS)
@@ -262,6 +299,7 @@ QUERIES: dict[str, Query] = {
     "objects_missing_own_universe": section("Missing Objects", universe="pair"),
     "objects_missing_picked_instances": objects_missing_picked,
     "objects_missing_long_owner_list": section("Missing Objects", owners=[*OWNERS, *(f"NOBODY_{i}" for i in range(1500))]),
+    "objects_missing_after_empty_reload": objects_missing_after_empty_reload,
     "columns_missing": section("Missing Columns"),
     "columns_missing_owner_filter": section("Missing Columns", owners=OWNERS),
     "indexes_missing": section("Missing Indexes"),
@@ -289,7 +327,16 @@ QUERIES: dict[str, Query] = {
     ),
     # Many pairs in one job.
     "objects_missing_many_pairs": section("Missing Objects", pairs=PAIRS),
+    "objects_missing_star_of_pairs": objects_missing_star,
     "columns_missing_many_pairs": section("Missing Columns", pairs=PAIRS),
+    "indexes_missing_many_pairs": section("Missing Indexes", pairs=PAIRS),
+    "routines_missing_many_pairs": section("Missing PLSQL", pairs=PAIRS),
+    "line_count_mismatch_many_pairs": section("Mismatched Line Counts (PL/SQL)", pairs=PAIRS),
+    "line_count_mismatch_detailed_many_pairs": section("Mismatched Line Counts per Object (PL/SQL)", pairs=PAIRS),
+    "role_grants_missing_many_pairs": section("Missing Role Grants", pairs=PAIRS),
+    "object_counts_mismatch_many_pairs": section("Mismatched Object Counts", pairs=PAIRS),
+    "column_type_mismatch_several_declarations_many_pairs": drift_of_several_declarations_of_pairs,
+    "mapped_objects_missing_many_pairs": section("Missing Objects", mapped=True, pairs=[(SRC, TGT), (SRC, THIRD)], owner_maps=OWNER_MAPS),
     "column_type_mismatch_many_pairs": section("Column Type Mismatches", pairs=PAIRS),
     "object_counts_many_pairs": section("All Object Counts", pairs=PAIRS),
     "object_counts_many_pairs_repeated": section("All Object Counts", pairs=[*PAIRS, *PAIRS]),
@@ -329,6 +376,7 @@ QUERIES: dict[str, Query] = {
     "custom_template_in_text": custom(CUSTOM_TEMPLATE_IN_TEXT),
     "findings": lambda spark, sf_dir: readable(all_sections(spark, sf_dir).findings()),
     "findings_with_custom": findings_with_custom,
+    "custom_section_many_pairs": custom_of_pairs,
     "findings_written": findings_written,
     "section_summary": lambda spark, sf_dir: all_sections(spark, sf_dir).summary(),
     "section_summary_many_pairs": lambda spark, sf_dir: report(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from catalogdiff import InstancePairs, Staging, compare, stage
 from catalogdiff.operators import TwoInstances, column_drift, ora_source_lines, pg_source_lines, presence_diff
@@ -31,7 +32,16 @@ def no_broadcast(spark):
 
 
 def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The plan of the rows: the look-up of the two ids in the list of instances is left out."""
+    lines, skipped = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if skipped is not None and depth > skipped:
+            continue
+        skipped = depth if re.match(r"[ :+-]*(Reused)?Subquery", line) else None
+        if skipped is None:
+            lines.append(line)
+    return "\n".join(lines)
 
 
 def exchanges(df) -> int:
@@ -68,10 +78,11 @@ def test_missing_columns_uses_an_equi_anti_join(staging):
 
 
 def test_own_instances_prune_the_scan(staging):
-    for title in ("Column Type Mismatches", "Mismatched Line Counts per Object (PL/SQL)"):
-        assert re.search(r"PartitionFilters: \[pkey#\d+ IN|PartitionFilters: \[.*= oracle_src", plan(section(staging, title)))
+    for title in ("Column Type Mismatches", "Mismatched Line Counts per Object (PL/SQL)", "Mismatched Object Counts"):
+        assert re.search(r"PartitionFilters: \[.*staged_bucket#\d+ IN", plan(section(staging, title)))
     pruned = plan(section(staging, "Missing Objects", universe="pair"))
-    assert re.search(r"PartitionFilters: \[pkey#\d+ IN", pruned)
+    assert re.search(r"PartitionFilters: \[.*staged_bucket#\d+ IN", pruned) and re.search(r"PushedFilters: \[.*In\(pkey", pruned)
+    assert "staged_bucket#" not in plan(section(staging, "Missing Objects")).split("PartitionFilters")[1].split("]")[0]
 
 
 def test_owner_filter_and_columns_reach_the_scan(staging):
@@ -83,7 +94,65 @@ def test_owner_filter_and_columns_reach_the_scan(staging):
 def test_pairs_are_broadcast_not_rows(spark, staging):
     rows = presence_diff(staging["dbobjectnames"], OBJECT, InstancePairs.of(spark, [(SRC, TGT)]))
     text = plan(rows)
-    assert "BroadcastHashJoin" in text and exchanges(rows) == 1
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def written_rows(df) -> list[int]:
+    """Rows that each exchange of the executed plan wrote, the small ones of the pairs themselves left out."""
+    df.collect()
+    sizes = []
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        if name == "Exchange" and "object_name" in node.simpleString(1000):
+            sizes.append(node.metrics().get("shuffleRecordsWritten").get().value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return sizes
+
+
+def test_rows_of_one_database_against_many_are_not_multiplied(spark, sf_dir):
+    """1, 2 and 8 pairs of one database with copies of another: the largest exchange is that of the staged rows."""
+    one, two = (frames(spark, sf_dir, {"o": "fx_dbobjectnames"})["o"].where(F.col("pkey") == p).cache() for p in (SRC, TGT))
+    most = []
+    for n in (2, 8):
+        copies = two.withColumn("pkey", F.explode(F.array(*[F.lit(f"copy_{i}") for i in range(n)])))
+        rows = one.unionByName(copies)
+        found = presence_diff(rows, OBJECT, InstancePairs.of(spark, [(SRC, f"copy_{i}") for i in range(n)]), dedupe=True)
+        sizes = written_rows(found)
+        most.append(max(sizes) / (one.count() + n * two.count()))
+    # Rows times pairs would be 1.5 and 1.8 of these.
+    assert max(most) <= 1
+
+
+def test_a_report_scans_each_table_once(spark, staging):
+    """Counts, their mismatches, missing objects and the tables missing columns are held against: one aggregate."""
+    report = compare(staging, instances=(SRC, TGT), sections=[t for t in SECTIONS if "Object" in t and "PL/SQL" not in t] + ["Missing Columns"])
+    findings = report.findings()
+    findings.collect()
+    text = plan(findings)
+    executed = text[text.index("Final Plan") : text.index("Initial Plan")]
+    scans = [s for s in re.findall(r"FileScan parquet \[[^\]]*\]", executed) if "object_name" in s]
+    assert len(scans) == 1
+    assert executed.count("ReusedExchange") >= 5
+
+
+def test_named_ids_start_no_job_while_a_report_is_built(spark, staging):
+    def jobs():
+        return len(spark.sparkContext._jsc.sc().statusTracker().getJobIdsForGroup("building"))
+
+    spark.sparkContext.setJobGroup("building", "building")
+    try:
+        compare(staging, instances=(SRC, TGT), sections=list(SECTIONS))
+        compare(staging, pairs=[(SRC, TGT), (SRC, "zz_third")], sections=list(SECTIONS))
+        assert jobs() == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_definitions_are_not_shuffled(spark, sf_dir):

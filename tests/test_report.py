@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from catalogdiff import Staging, compare, write_findings
+from catalogdiff import Staging, compare, stage, write_findings
 from catalogdiff.operators import TwoInstances
 from catalogdiff.plans import MAPPED_SECTIONS, SECTIONS, from_template
 from catalogdiff.verify.queries import MAPPED_VIEWS, OWNER_MAP, SRC, STAGED_VIEWS, TGT, frames
@@ -51,12 +51,18 @@ def test_many_pair_summary_lists_every_pair(staging):
     assert got[None, "Instances"] == 3 and got[f"{SRC}|{TGT}", "Missing PLSQL"] == got[f"{TGT}|{SRC}", "Missing PLSQL"]
 
 
-def test_pairs_and_ids_that_cannot_be_compared(staging):
-    for pairs in ([(TGT, TGT)], [(SRC, None)], [(SRC, "nowhere")]):
+def test_pairs_and_ids_that_cannot_be_compared(spark, staging, tmp_path):
+    for pairs in ([(TGT, TGT)], [(SRC, None)]):
         with pytest.raises(ValueError):
             compare(staging, pairs=pairs, sections=["Instances"])
-    with pytest.raises(ValueError):
-        compare(staging, instances=(SRC, "nowhere"))
+    # Whether an id is staged is found out by the query that compares it.
+    stage(staging, str(tmp_path))
+    staging = Staging.open(spark, str(tmp_path))
+    for options in ({"pairs": [(SRC, "nowhere")]}, {"instances": (SRC, "nowhere")}):
+        for title in SECTIONS:
+            if title != "Instances":
+                with pytest.raises(Exception, match="not staged: nowhere"):
+                    compare(staging, sections=[title], **options)[title].collect()
 
 
 def test_custom_sections_are_findings(staging):
