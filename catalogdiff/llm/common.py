@@ -50,8 +50,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HOT_KEYS, HOT_ROWS = 10_000, 200
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, copies: str | None = None) -> DataFrame:
-    """``rows`` joined with ``table``, which has one row for each ``key``, however many rows share one.
+def spread_join(rows: DataFrame, table: DataFrame, key: str, copies: str | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``key``, however many rows share one; ``how`` may be ``left``.
 
     The keys of most rows are broadcast, ``HOT_KEYS`` of them at most, so rows of such a key stay where they are; any other key
     has less than that share of all rows, and goes through a plain join. ``copies`` is the column of ``table`` with the
@@ -64,7 +64,7 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, copies: str | None
     hot = counted.where(weight >= HOT_ROWS).orderBy(weight.desc(), key).limit(HOT_KEYS).select(*table.columns)
     hot = written(hot, "hot-keys")
     there = rows.join(F.broadcast(hot), key)
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key, how)
     return there.unionByName(others)
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalogdiff.llm.common import word_pieces, written
+from catalogdiff.llm.common import spread_join, word_pieces, written
 
 # The generator polynomial of the binary Golay code of length 23,
 # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -328,13 +328,15 @@ def near_duplicates(
     are not read, an empty table gives no rows.
     """
     found = written(fingerprints(docs, width, seed), "fingerprints")
-    nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "distinct")
     linked = components(links(nodes, threshold, block))
-    linked = linked.join(nodes, linked["node"] == nodes["fp"]).select("node", "root", "first")
-    roots = linked.groupBy("root").agg(F.min("first").alias("reached"))
-    linked = linked.join(roots, "root").select(F.col("node").alias("fp"), "reached")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("reached", "first").alias("component_id"))
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    linked = written(linked.join(nodes, linked["node"] == nodes["fp"]).select("node", "root", "first"), "linked")
+    roots = linked.groupBy("root").agg(F.min("first").alias("reached"), F.count("*").alias("members"))
+    linked = spread_join(linked.drop("first"), written(roots, "roots"), "root", "members")
+    linked = linked.select(F.col("node").alias("fp"), "reached")
+    named = nodes.join(linked, "fp", "left").select("fp", "copies", F.coalesce("reached", "first").alias("component_id"))
+    # A fingerprint that many rows share, that of texts without words among them, is not brought to one task.
+    return spread_join(found, written(named, "named"), "fp", "copies").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
