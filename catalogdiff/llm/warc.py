@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogdiff.llm.common import written
+from catalogdiff.llm.common import spread_join, written
 
 # The format's version line, line ends and gzip's first bytes.
 VERSION = "WARC/1.1"
 END, CLOSE = "\r\n", "\r\n\r\n"
 START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 RECORD = re.compile(rb"\r\nWARC/1\.[01]\r\n")
+RECORD_START = re.compile(rb"WARC/1\.[01]\r\n")
 LENGTH = re.compile(rb"\d{1,15}")
 
 # A gzip member that holds nothing.
@@ -37,6 +38,10 @@ NOTHING = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + bytes(8)
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 # Payloads below this are never told apart by digest; bytes of an archive file that are aimed at.
 SMALLEST, FILE_BYTES = 1000, 16 << 20
+# Bytes of a row of packed members; a longer one is followed by rows without any, so that rows count bytes.
+ROW_BYTES = 1 << 20
+# Slots that payloads are looked up by.
+SLOTS = 1 << 20
 
 RECORD_SCHEMA = (
     "kind string, file string, start bigint, stop bigint, reason string, record_type string, record_id string, "
@@ -58,20 +63,29 @@ def revisits(pages: DataFrame, smallest: int = SMALLEST) -> DataFrame:
     rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("bigint").alias("bytes"))
     large = written(rows.where(F.col("bytes") >= smallest).select("page_id", "digest"), "digests")
     keepers = large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(keepers.select(F.col("digest").alias("kept"), "keeper"), F.col("digest") == F.col("kept"), "left")
-    other = (F.col("bytes") >= smallest) & ~F.col("keeper").eqNullSafe(F.col("page_id"))
-    return joined.withColumn("keeper", F.when(other, F.col("keeper"))).drop("kept")
+    keepers = written(keepers, "keepers")
+    # Pages are looked up by slot first, in a table of 2^20 at most: those of no keeper's slot, and small ones, are not shuffled.
+    slot = F.expr(f"int(pmod(xxhash64(digest), {SLOTS}))")
+    slots = F.broadcast(keepers.select(slot.alias("slot")).distinct())
+    rows = rows.withColumn("slot", F.when(F.col("bytes") >= smallest, slot))
+    alone = rows.join(slots, "slot", "left_anti").drop("slot").withColumn("keeper", F.lit(None).cast(pages.schema["page_id"].dataType))
+    some = rows.join(slots, "slot", "left_semi").drop("slot")
+    joined = spread_join(some, keepers, "digest", "n", "left").drop("n")
+    other = ~F.col("keeper").eqNullSafe(F.col("page_id"))
+    return alone.unionByName(joined.withColumn("keeper", F.when(other, F.col("keeper"))))
 
 
 def write_archives(
     pages: DataFrame, path: str, smallest: int = SMALLEST, file_bytes: int = FILE_BYTES,
-    date: str = "2024-01-01T00:00:00Z", packed: bool = True,
+    date: str = "2024-01-01T00:00:00Z", packed: bool = True, row_bytes: int = ROW_BYTES,
 ) -> None:
     """Write a record for every row of ``pages (page_id, url, html)`` to the new folder ``path``.
 
     A page whose payload an other page of larger page_id has becomes a revisit without payload.
     A NULL page_id is written as ``null``, a NULL url as ``about:blank#``, and a url of other than printable ASCII, white
-    space too, whole and percent-coded behind that. Files hold as many records as make ``file_bytes`` unpacked on average.
+    space too, whole and percent-coded behind that. A file holds ``file_bytes`` and at most one record more, whatever the order of
+    pages; unpacked ones hold as many records as fit if each were the longest. An empty table writes an empty folder, rows that
+    repeat are records of their own, and other columns are not read.
     """
     rows = revisits(pages, smallest)
     url = F.coalesce("url", F.lit(""))
@@ -96,22 +110,35 @@ def write_archives(
         F.lit(END),
         block,
     )
-    size, count = pages.select(F.sum(F.octet_length("html")), F.count("*")).first()
-    per_file = max(1, int(file_bytes * count / max(1, (size or 0) + 500 * count)))
     out, between = rows.select(record.alias("value")), CLOSE
     if packed:
         # The bytes pass as a text, which Spark neither checks nor changes.
-        out = out.mapInArrow(_pack, "value binary").select(F.col("value").cast("string").alias("value"))
-        between = NOTHING.decode("latin-1")
+        out = out.mapInArrow(lambda batches: _pack(batches, row_bytes), "value binary").select(F.col("value").cast("string").alias("value"))
+        between, per_file = NOTHING.decode("latin-1"), max(1, file_bytes // row_bytes)
+    else:
+        longest = pages.agg(F.max(F.coalesce(F.octet_length("html"), F.lit(0)) + 3 * F.coalesce(F.octet_length("url"), F.lit(0)))).first()[0]
+        per_file = max(1, file_bytes // (1_000 + (longest or 0)))
     out = out.write.option("encoding", "ISO-8859-1" if packed else "UTF-8").option("maxRecordsPerFile", per_file)
     out.option("lineSep", between).text(path)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    close = CLOSE.encode()
+def _pack(batches: Iterator[pa.RecordBatch], row_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Members one behind the other in rows of ``row_bytes``; a longer row is followed by as many empty members as it stands for."""
+    close, held, size = CLOSE.encode(), [], 0
+
+    def row() -> pa.RecordBatch:
+        whole = [b"".join(held), *[NOTHING] * (size // row_bytes - 1)]
+        return pa.RecordBatch.from_arrays([pa.array(whole, pa.binary())], ["value"])
+
     for batch in batches:
-        members = [gzip.compress(r.as_py().encode() + close, mtime=0) for r in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["value"])
+        for record in batch.column(0):
+            held.append(gzip.compress(record.as_py().encode() + close, mtime=0))
+            size += len(held[-1])
+            if size >= row_bytes:
+                yield row()
+                held, size = [], 0
+    if held:
+        yield row()
 
 
 def _parse(data: bytes, at: int) -> tuple[dict | None, int, str]:
@@ -153,47 +180,79 @@ def _parse(data: bytes, at: int) -> tuple[dict | None, int, str]:
     return fields | {"payload": payload}, end + 4, ""
 
 
-def _member(data: bytes, at: int) -> tuple[dict | None, int, str]:
-    """The record in the gzip member at ``at``."""
-    inflate, parts, fed = zlib.decompressobj(31), [], at
+def _inflated(data: bytes, at: int, step: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``at`` holds, as far as it can be had; where it ends, and what is wrong with it."""
+    inflate, parts, fed, reason = zlib.decompressobj(31), [], at, ""
     try:
         while not inflate.eof and fed < len(data):
-            parts.append(inflate.decompress(data[fed : fed + 65_536]))
-            fed = min(fed + 65_536, len(data))
+            parts.append(inflate.decompress(data[fed : fed + step]))
+            fed = min(fed + step, len(data))
     except zlib.error:
-        return None, at, "gzip member is damaged"
-    if not inflate.eof:
-        return None, at, "gzip member is cut short"
-    plain = b"".join(parts)
-    if not plain:
-        return {}, fed - len(inflate.unused_data), ""
-    fields, end, reason = _parse(plain, 0)
-    if fields is not None and end != len(plain):
-        return None, at, "more than a record in a member"
-    return fields, fed - len(inflate.unused_data), reason
-
-
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
-    """``(start, stop, fields, reason)`` of records and, without fields, of the gaps between them; empty members are neither."""
+        reason = "gzip member is damaged"
+    if not reason and not inflate.eof:
+        reason = "gzip member is cut short"
+    return b"".join(parts), fed - len(inflate.unused_data), reason
+
+
+def _member(data: bytes, at: int) -> tuple[list[dict], int, str, bool]:
+    """The records in the gzip member at ``at``, where it ends, what is wrong, and whether its end is known."""
+    plain, stop, reason = _inflated(data, at, 65_536)
+    if reason == "gzip member is damaged":
+        # Again in small steps: bytes before the damage are lost by the step that meets it.
+        plain = _inflated(data, at, 64)[0]
+    records, wrong = [], ""
+    for _, _, fields, why in _walk(plain, RECORD_START, False):
+        if fields is None:
+            wrong = wrong or why
+        else:
+            records.append(fields)
+    return records, stop, reason or wrong, not reason
+
+
+def _walk(data: bytes, start: re.Pattern, members: bool) -> Iterator[tuple[int, int, dict | None, str]]:
+    """Records from the start on; where a check fails, from the next place that ``start`` fits, with the bytes between as a gap."""
     at, lost, why = 0, None, ""
     while at < len(data):
-        found, stop, reason = (_member if data[at : at + 2] == b"\x1f\x8b" else _parse)(data, at)
-        if found is not None:
-            if lost is not None:
-                yield lost, at, None, why
-                lost = None
-            if found:
-                yield at, stop, found, ""
+        known = True
+        if members and data[at : at + 2] == b"\x1f\x8b":
+            found, stop, reason, known = _member(data, at)
+        else:
+            fields, stop, reason = _parse(data, at)
+            found = [] if fields is None else [fields]
+        good = known and (not reason or bool(found))
+        if lost is not None and (found or good):
+            yield lost, at, None, why
+            lost = None
+        if known:
+            for fields in found:
+                yield at, stop, fields, ""
+        if good:
+            if reason:
+                # Some of the member's records are whole, and some of its bytes are none.
+                yield at, stop, None, reason
             at = stop
             continue
+        following = start.search(data, at + 1)
+        behind = following.start() if following else len(data)
+        if not known:
+            for fields in found:
+                yield at, behind, fields, ""
         if lost is None:
             lost, why = at, reason
-        following = START.search(data, at + 1)
-        at = following.start() if following else len(data)
+        at = behind
     if lost is not None:
         yield lost, len(data), None, why
 
 
+def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
+    """``(start, stop, fields, reason)`` of records and, without fields, of the gaps between them; empty members are neither.
+
+    A member of several records, or one whose end is cut off or damaged, gives the records that are whole in what
+    can be inflated, with the bytes of the member; what else is in it is a gap of these bytes.
+    """
+    return _walk(data, START, True)
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records and gaps of the archives in a folder; ``kind`` is ``record`` or ``gap``.
 
