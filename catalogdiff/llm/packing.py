@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogdiff.llm.common import written
+from catalogdiff.llm.common import HOT_KEYS, HOT_ROWS, written
 
 TIERS = (4096, 2048, 1024, 512)
 # Pieces of a shard, and tokens of a step.
@@ -218,7 +218,8 @@ def pack(
     ``tiers`` are powers of two, longest first; ``tokenizer`` is a tokenizer's file, which every executor
     has under that path. Every id lies in one piece; a NULL or empty text is the
     one id ``end``. Rows that repeat a doc_id are documents of their own, a NULL doc_id stays NULL, other columns
-    are not read, and an empty table gives no rows. ``sequence_id`` and
+    are not read, and an empty table gives no rows. Shards hold about
+    ``shard`` pieces each, whatever ids or texts repeat. ``sequence_id`` and
     ``step_group`` are unique over all shards, not without gaps.
     """
     tiers = tuple(tiers)
@@ -236,10 +237,16 @@ def pack(
             sequence_id=first + np.array(number), offset=offset, step_group=first + np.array(group)
         )
 
-    dealt = cut_rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("bigint"))
+    # Dealt by all that a piece is; of pieces equal in it, where there are many, by their place in the stored table as well.
+    kinds = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    equal = cut_rows.groupBy(F.xxhash64(*kinds).alias("draw")).agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS)
+    hot = written(equal.orderBy(F.desc("n"), "draw").limit(HOT_KEYS).select("draw", F.lit(True).alias("hot")), "equal-pieces")
+    dealt = cut_rows.withColumn("draw", F.xxhash64(*kinds)).withColumn("place", F.monotonically_increasing_id())
+    dealt = dealt.join(F.broadcast(hot), "draw", "left")
+    draw = F.when(F.col("hot"), F.xxhash64("draw", "place")).otherwise(F.col("draw"))
+    dealt = dealt.select(*kinds, F.pmod(draw, F.lit(shards)).cast("bigint").alias("shard"))
     # NULL ids pass pandas as a value that no shard is disturbed by.
     dealt = dealt.withColumn("known", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    kinds = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     schema = ", ".join(f"{n} bigint" for n in kinds) + ", known boolean, sequence_id bigint, offset bigint, step_group bigint"
     packed = dealt.groupBy("shard").applyInPandas(run, schema)
     doc = F.when(F.col("known"), F.col("doc_id")).alias("doc_id")
