@@ -3,11 +3,15 @@
 A text is the set of its words; a word gives itself, its beginnings and its
 endings as features, so that unseen forms of a word count too. Logistic regression is
 fitted on a bounded, hash-chosen sample of labelled texts. In every sample text
-that names a group (nationality, religion, gender, ...) the terms are swapped
-for others of the same kind, and the squared change of the score is penalised:
+that names a group (nationality, religion, gender, ..., in four languages) the terms are swapped
+for every other of the same kind, and the squared change of the score is penalised:
 a mention of a group as such then moves the score little, and neutral texts that
 mention one aren't taken for toxic because of it.
 
+Odd rows: a NULL or empty text has the score of the bias. Texts of any length are read whole. Rows that repeat are scored each,
+and count once in a fit. A table without labels, or without rows, gives a model whose score is constant. Rows that are scored come
+back as structs, so that no column of theirs, whatever its name, meets one of the operator's.
+
 Counting features, choosing them and scoring are distributed; the driver sees
 the counts of the chosen features and the sample as vectors over them, both
 bounded by parameters.
@@ -29,23 +33,44 @@ from catalogdiff.llm.common import written
 
 # Terms for groups of people, in sets whose members can stand for each other.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
-    ("men", "women"),
     ("man", "woman"),
+    ("men", "women"),
+    ("boy", "girl"),
     ("boys", "girls"),
-    ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
-    ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "arab"),
-    ("african", "european", "american", "mexican", "chinese", "indian"),
-    ("gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("immigrant", "refugee", "foreigner", "citizen"),
-    ("immigrants", "refugees", "foreigners", "citizens"),
+    ("male", "female", "nonbinary"),
+    ("christian", "muslim", "jewish", "hindu", "buddhist", "sikh", "atheist", "catholic", "protestant"),
+    ("christians", "muslims", "jews", "hindus", "buddhists", "sikhs", "atheists", "catholics", "protestants"),
+    ("black", "white", "asian", "latino", "arab", "indigenous"),
+    ("african", "european", "american", "mexican", "chinese", "indian", "turkish", "russian", "polish"),
+    ("gay", "straight", "lesbian", "bisexual", "transgender", "heterosexual", "homosexual"),
+    ("immigrant", "refugee", "foreigner", "migrant", "citizen"),
+    ("immigrants", "refugees", "foreigners", "migrants", "citizens"),
     ("young", "old", "elderly"),
+    ("disabled", "blind", "deaf"),
+    ("homme", "femme"),
     ("hommes", "femmes"),
-    ("chrétiens", "musulmans", "juifs"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée", "catholique", "protestant"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées", "catholiques", "protestants"),
+    ("chrétienne", "musulmane", "juive", "hindoue"),
+    ("africain", "européen", "américain", "mexicain", "chinois", "indien", "turc", "arabe"),
+    ("africains", "européens", "américains", "mexicains", "indiens", "turcs", "arabes"),
+    ("immigrés", "réfugiés", "étrangers", "migrants", "citoyens"),
+    ("homosexuel", "hétérosexuel", "bisexuel", "transgenre"),
+    ("hombre", "mujer"),
     ("hombres", "mujeres"),
-    ("cristianos", "musulmanes", "judíos"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo", "católico"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("africano", "europeo", "americano", "mexicano", "chino", "indio", "turco", "árabe"),
+    ("africanos", "europeos", "americanos", "mexicanos", "chinos", "indios", "turcos", "árabes"),
+    ("inmigrantes", "refugiados", "extranjeros", "migrantes", "ciudadanos"),
+    ("homosexual", "heterosexual", "bisexual", "transgénero"),
+    ("mann", "frau"),
     ("männer", "frauen"),
-    ("christen", "muslime", "juden"),
+    ("christ", "muslim", "jude", "hindu", "buddhist", "atheist", "katholik"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    ("afrikaner", "europäer", "amerikaner", "mexikaner", "chinesen", "inder", "türken", "araber"),
+    ("einwanderer", "flüchtlinge", "ausländer", "migranten", "bürger"),
+    ("schwul", "hetero", "lesbisch", "bisexuell", "transgender"),
 )
 
 WORDS = re.compile(r"\w+")
@@ -60,15 +85,31 @@ def _features(word: str) -> tuple[str, ...]:
 
 
 def _words(text: str | None) -> set[str]:
-    """Distinct words in lower case; very long texts go through in pieces."""
-    text = text or ""
-    if len(text) <= 1 << 20:
-        return set(WORDS.findall(text.lower()))
-    return {m.group().lower() for m in WORDS.finditer(text)}
+    """Distinct words, split before they are brought to lower case."""
+    return {w.lower() for w in {m.group() for m in WORDS.finditer(text or "")}}
+
+
+def _swaps(terms: Sequence[Sequence[str]]) -> list[dict[str, str]]:
+    """One way to swap all terms at once for each distance in a set, so that a term meets every other of its set.
+
+    A term of several sets, which languages share, is one of the first of them.
+    """
+    ways = []
+    for step in range(1, max(map(len, terms), default=1)):
+        way: dict[str, str] = {}
+        for group in terms:
+            for i, term in enumerate(group):
+                way.setdefault(term, group[(i + step) % len(group)])
+        ways.append(way)
+    return ways
 
 
-def _swaps(terms: Sequence[Sequence[str]]) -> dict[str, str]:
-    return {t: group[(i + 1) % len(group)] for group in terms for i, t in enumerate(group)}
+def _counterfactuals(words: set[str], ways: Sequence[dict[str, str]]) -> list[set[str]]:
+    """The words with their identity terms swapped, in every way that changes them."""
+    if not ways or ways[0].keys().isdisjoint(words):
+        return []
+    moved = ({way.get(w, w) for w in words} for way in ways)
+    return [m for m in moved if m != words]
 
 
 @dataclass(frozen=True)
@@ -77,6 +118,8 @@ class Toxicity:
 
     weights: dict[str, float]
     bias: float
+    # Texts of the sample that name a group, whose counterfactuals the penalty was taken over.
+    swapped_texts: int = 0
 
     def score_words(self, words: set[str], known: dict[str, tuple[str, ...]] | None = None) -> float:
         """Probability of label 1; ``known`` remembers which features of a word have a weight."""
@@ -97,25 +140,27 @@ class Toxicity:
 
 
 def fit_vectors(
-    labels: np.ndarray, rows: Sequence[np.ndarray], swapped: Sequence[np.ndarray | None], width: int,
+    labels: np.ndarray, rows: Sequence[np.ndarray], swapped: Sequence[Sequence[np.ndarray]], width: int,
     penalty: float, ridge: float, rounds: int,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of the penalised logistic regression, by accelerated gradient steps.
 
-    ``rows`` are the feature numbers of each text, ``swapped`` those of its
-    counterfactual where it has one. Classes weigh the same in total.
+    ``rows`` are the feature numbers of each text, ``swapped`` those of each of its
+    counterfactuals. Classes weigh the same in total, and so do texts that have counterfactuals: the penalty is the mean
+    over them of their mean squared change of the logit.
     """
     n = len(labels)
     where = np.repeat(np.arange(n), [len(r) for r in rows])
     what = np.concatenate([np.asarray(r, np.int64) for r in rows]) if n else np.zeros(0, np.int64)
-    changed, sign, pair, pairs = [], [], [], 0
-    for row, other in zip(rows, swapped):
-        if other is not None:
+    changed, sign, pair, share = [], [], [], []
+    for row, others in zip(rows, swapped):
+        for other in others:
             gone, come = np.setdiff1d(row, other), np.setdiff1d(other, row)
             changed += [gone, come]
             sign += [-np.ones(len(gone)), np.ones(len(come))]
-            pair.append(np.full(len(gone) + len(come), pairs))
-            pairs += 1
+            pair.append(np.full(len(gone) + len(come), len(share)))
+            share.append(1 / len(others))
+    pairs, texts, share = len(share), sum(1 for others in swapped if others), np.array(share)
     changed, sign, pair = (np.concatenate(x) if x else np.zeros(0) for x in (changed, sign, pair))
     changed, pair = changed.astype(np.int64), pair.astype(np.int64)
     ones = max(1, int((labels == 1).sum()))
@@ -127,7 +172,7 @@ def fit_vectors(
     for _ in range(20):
         u = np.bincount(what, 0.25 * (weight * np.bincount(where, v[what], n))[where], width)
         if pairs:
-            u += 2 * penalty / pairs * np.bincount(changed, sign * np.bincount(pair, sign * v[changed], pairs)[pair], width)
+            u += 2 * penalty / texts * np.bincount(changed, sign * (share * np.bincount(pair, sign * v[changed], pairs))[pair], width)
         top = float(np.linalg.norm(u)) or 1.0
         v = u / top
     step = 1 / (1.5 * top + ridge + 0.25)
@@ -139,8 +184,8 @@ def fit_vectors(
         error = weight * (1 / (1 + np.exp(-np.clip(logits, -500, 500))) - labels)
         slope = np.bincount(what, error[where], width) + ridge * yw
         if pairs:
-            shift = np.bincount(pair, sign * yw[changed], pairs)
-            slope += 2 * penalty / pairs * np.bincount(changed, sign * shift[pair], width)
+            shift = share * np.bincount(pair, sign * yw[changed], pairs)
+            slope += 2 * penalty / texts * np.bincount(changed, sign * shift[pair], width)
         prior_w, prior_b, momentum = w, b, following
         w, b = yw - step * slope, yb - step * error.sum()
     return w, float(b)
@@ -157,19 +202,21 @@ def fit(
 ) -> Toxicity:
     """Fit on ``labelled (text, toxic)``, at most about ``sample`` rows of it.
 
-    Rows without a label are left out; a NULL text is an empty one. With more
-    rows than ``sample`` a share of them is chosen by the hash of ``key``, a column that only
-    this reads. ``features`` are chosen by how far their share differs between
+    Rows without a label are left out; a NULL text is an empty one. Rows equal in ``key``, text and label count once. With more
+    rows than ``sample`` a share of them is chosen by a hash of ``key``, a column that only
+    this reads, and the text, so that a key of many rows is kept in part. ``features`` are chosen by how far their share differs between
     the labels, measured in standard errors, and there are no more of them than eight
     for every row of the rarer label. With no labels of one kind every score is
     that of the bias.
     """
-    labelled = labelled.where("toxic IS NOT NULL").select("key", F.col("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    total = labelled.select("toxic").count()
+    labelled = labelled.where("toxic IS NOT NULL").select(
+        F.xxhash64("key", "text").alias("draw"), F.col("text"), (F.col("toxic") > 0).cast("int").alias("toxic")
+    )
+    total = labelled.select("draw").distinct().count()
     if total > sample:
         share = int(sample / total * (1 << 30))
-        labelled = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share)
-    chosen = written(labelled.select("text", "toxic"), "toxicity-sample")
+        labelled = labelled.where(F.pmod(F.xxhash64("draw"), F.lit(1 << 30)) < share)
+    chosen = written(labelled.dropDuplicates(["draw", "toxic"]).select("text", "toxic"), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -195,7 +242,7 @@ def fit(
     gap = F.col("ones") / ones - F.col("zeros") / (n - ones)
     best = counted.select("feature", (gap * gap / spread).alias("z")).orderBy(F.desc("z"), "feature")
     number = {row["feature"]: i for i, row in enumerate(best.limit(min(features, 8 * min(ones, n - ones))).collect())}
-    swaps = _swaps(terms)
+    ways = _swaps(terms)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,22 +250,21 @@ def fit(
             for text in batch.column(0):
                 words = _words(text.as_py())
                 rows.append(_numbers(words, number))
-                moved = {swaps.get(w, w) for w in words} if not swaps.keys().isdisjoint(words) else None
-                others.append(None if moved is None else _numbers(moved, number))
+                others.append([_numbers(moved, number) for moved in _counterfactuals(words, ways)])
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(rows, kind), pa.array(others, kind)], ["toxic", "row", "other"]
+                [batch.column(1), pa.array(rows, kind), pa.array(others, pa.list_(kind))], ["toxic", "row", "others"]
             )
 
-    found = chosen.mapInArrow(vectors, "toxic int, row array<int>, other array<int>").toArrow()
+    found = chosen.mapInArrow(vectors, "toxic int, row array<int>, others array<array<int>>").toArrow()
     rows = [np.asarray(r, np.int64) for r in found["row"].to_pylist()]
-    others = [None if r is None else np.asarray(r, np.int64) for r in found["other"].to_pylist()]
+    others = [[np.asarray(r, np.int64) for r in some] for some in found["others"].to_pylist()]
     # In one order whatever the tasks' was, so that reruns give the same sums.
     toxic = np.asarray(found["toxic"].to_pylist())
     order = sorted(range(len(rows)), key=lambda i: (toxic[i], rows[i].tolist()))
     rows, others = [rows[i] for i in order], [others[i] for i in order]
     w, b = fit_vectors(toxic[order], rows, others, len(number), penalty, ridge, rounds)
-    return Toxicity({f: float(w[i]) for f, i in number.items()}, b)
+    return Toxicity({f: float(w[i]) for f, i in number.items()}, b, sum(1 for some in others if some))
 
 
 def _counts(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
