@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from catalogdiff.llm.licences import COPYRIGHT_LINE, LICENCES, NOTICES, SPELLINGS
-from catalogdiff.llm.reputation import TWO_LABEL_SUFFIXES
 
 MIXING = r"""
 WITH d AS (
@@ -109,24 +107,68 @@ SELECT *, NOT base_failed AND 1000 * dup_line_chars <= 200 * word_chars AND {goo
 """
 
 
+# The forms of one-line notices, and digests of the forms of whole texts, kept apart from the query's own.
+NOTICE_FORMS = {
+    "released under the mit license": "MIT", "licensed under the mit license": "MIT", "spdx license identifier mit": "MIT",
+    "licensed under the apache license version 2 0": "Apache-2.0", "spdx license identifier apache 2 0": "Apache-2.0",
+    "this work is licensed under the gnu general public license version 3": "GPL-3.0", "spdx license identifier gpl 3 0 only": "GPL-3.0",
+    "spdx license identifier gpl 3 0 or later": "GPL-3.0",
+    "this work is licensed under the gnu general public license version 2": "GPL-2.0", "spdx license identifier gpl 2 0 only": "GPL-2.0",
+    "licensed under cc by 4 0": "CC-BY-4.0", "licensed under cc by sa 4 0": "CC-BY-SA-4.0", "licensed under cc by nc 4 0": "CC-BY-NC-4.0",
+}
+TEXT_DIGESTS = {
+    "0cf21bdfd1964a97a8615e128534845826afbc887edc95aa5c925cbf64386b5c": "MIT",
+    "217da0747cec63a2e734185db11cbaa819bcd9e5b83cd12f812128fffe66e26a": "ISC",
+    "25a274d52b3014d9bd64e0f3362fd279ac1655f163d5c518f6b9f6c43354802c": "0BSD",
+    "986c3c3199a93b916c8f2e0aeed57819bcbdcb2cd9d99902dcc9d74b53f93a74": "BSD-2-Clause",
+    "53075742228962c7ea381b8242c64602fa32e7b8f52facb6d13ee4f9c596ddfa": "BSD-3-Clause",
+    "9ddc78a5797b5008d488969fd959f4281a97821e07ddc5d19ca9c163fdbeeb73": "Zlib",
+    "7a4d92cdb11d254973a073803be1148a5402f1b2ca67808cdb3ef78b596102cd": "Unlicense",
+    "cd264b0a4283e71bd0a18e33afd4ad86b5ea9ef0f6e8fac8b03c2d02a026c7c7": "Apache-2.0",
+    "2bdf0417af9f118a4d8d7e3666fb8affabdaa1ac1be8f77970fa447146257410": "Apache-2.0",
+    "888ab175b43ed137ae3c3f8f32a1f0e1677fe31f7a9f09890c39b11b1934ad6c": "CC0-1.0",
+    "7184d26d84b872ba4d2f7f785abf2f2e9fa24bb587420a49515d6d61713c52bb": "GPL-2.0",
+    "c96bbd300040e473c5c8c1406c85b75af765d5f4035156ef4962ce0c62ac5faa": "GPL-2.0",
+    "bd7328918ecee5d4124586097537cc86fbe5616cd6c36107d0bee228d12898bc": "GPL-3.0",
+    "4671d5b2b1066ae8112f48b114054efb01163ffef85367f8994fbc430d73ecd9": "GPL-3.0",
+    "f2755dc4b609b314faab32d30ca6d0466b60adc931cece2ea4f0b61f483bfc98": "LGPL-2.1",
+    "303c35384a2d8ff561e8480f4d8bc87bd79ea2d92d62ba0b24d22e2c1f88f1e3": "LGPL-2.1",
+    "cb8c0f424bdd5c42a0b18285893829d988e9fb9a00d0cd604a59ebe8da7eeb45": "LGPL-3.0",
+    "d17fc6111c9b88ed1373bbab79e0de04d2e2439ce8b9852a7d6ff0ba1cc9d389": "MPL-2.0",
+}
+
+
 def licence_form(value: str) -> str:
-    """The form in which texts are compared."""
-    found = f"regexp_replace(lower(coalesce({value}, '')), {text(COPYRIGHT_LINE)}, '', 'g')"
+    """Lower case without copyright lines, list marks and punctuation, usual spellings, no title before a text's first words."""
+    owner = r"(?m)^[^\p{L}\p{N}\n]*(copyright[^\p{L}\p{N}\n]*(\(c\)|©|[0-9]{4}|by )|\(c\)|©|all rights reserved)[^\n]*$"
+    found = f"regexp_replace(lower(coalesce({value}, '')), '{owner}', '', 'g')"
+    found = rf"regexp_replace({found}, '(?m)^[ \t]*([0-9]{{1,2}}|[a-z])[.)][ \t]+', '', 'g')"
     found = rf"trim(regexp_replace({found}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-    for other, usual in SPELLINGS:
-        found = f"replace({found}, {text(other)}, {text(usual)})"
-    return found
+    for other, usual in (
+        ("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
+        ("copyright owner", "copyright holder"), ("per cent", "percent"), ("acknowledgement", "acknowledgment"),
+        ("favour", "favor"), ("https ", "http "),
+    ):
+        found = f"replace({found}, '{other}', '{usual}')"
+    titles = (
+        "mit license", "mit license mit", "isc license", "isc license isc", "bsd zero clause license", "zero clause bsd license",
+        "0bsd license", "zlib license", "zlib libpng license", "simplified bsd license", "new bsd license", "modified bsd license",
+        "revised bsd license", "bsd 2 clause license", "bsd 3 clause license", "bsd 2 clause simplified license",
+        "bsd 3 clause simplified license", "bsd 2 clause new or revised license", "bsd 3 clause new or revised license", "unlicense",
+    )
+    first = "permission |redistribution |this software is |this is free "
+    return rf"regexp_replace({found}, '^(the )?({'|'.join(sorted(titles, key=len, reverse=True))}) ({first})', '\3')"
 
 
 def licence_scan() -> str:
     """Lines are joined with the notices by their whole form, where the query looks digests up."""
-    notices = ", ".join(f"({text(name)}, {text(one)})" for name, some in NOTICES.items() for one in some)
-    whole = ", ".join(f"({text(name)}, {text(one)})" for name, one in LICENCES.items())
+    notices = ", ".join(f"('{form}', '{name}')" for form, name in NOTICE_FORMS.items())
+    digests = ", ".join(f"('{digest}', '{name}')" for digest, name in TEXT_DIGESTS.items())
     return f"""
 WITH notice AS (
-    SELECT DISTINCT licence, {licence_form('v')} AS form FROM (VALUES {notices}) n(licence, v)
+    SELECT * FROM (VALUES {notices}) n(form, licence)
 ), known AS (
-    SELECT licence, form FROM notice UNION SELECT licence, {licence_form('v')} FROM (VALUES {whole}) n(licence, v)
+    SELECT sha256(form) AS text_digest, licence FROM notice UNION SELECT * FROM (VALUES {digests}) n(text_digest, licence)
 ), d AS (
     SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {licence_form('text')} AS form FROM documents
 ), line AS (
@@ -137,13 +179,20 @@ WITH notice AS (
     SELECT r, string_agg(licence, ',' ORDER BY licence) AS notices FROM named GROUP BY r
 )
 SELECT doc_id, sha256(d.form) AS text_digest, licence, coalesce(notices, '') AS notices
-FROM d LEFT JOIN known ON known.form = d.form LEFT JOIN listed USING (r)
+FROM d LEFT JOIN known ON known.text_digest = sha256(d.form) LEFT JOIN listed USING (r)
 """
 
 
+# Suffixes of two labels.
+TWO_LABELS = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br",
+    "co.in", "co.kr", "co.nz", "co.za", "com.ar", "com.cn", "com.mx", "com.tr", "com.tw",
+)
+
+
 def reputation() -> str:
     """Each level by the same two steps: its prior's weight from the spread of its groups, then their estimates."""
-    two_labels = ", ".join(map(text, TWO_LABEL_SUFFIXES))
+    two_labels = ", ".join(map(text, TWO_LABELS))
     levels, keys, above = "", [], "(SELECT m FROM total)"
     for level in ("suffix", "domain", "host"):
         source = f"known JOIN after_{keys[-1]} USING ({', '.join(keys)})" if keys else "known"
