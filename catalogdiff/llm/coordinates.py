@@ -232,7 +232,7 @@ def _sets(wanted: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     return met.select("node", "text").mapInArrow(hashed, "node binary, data binary")
 
 
-def links(nodes: DataFrame, rows: DataFrame, width: int, limit: int, matches: int) -> DataFrame:
+def links(nodes: DataFrame, rows: DataFrame, width: int, limit: int, matches: int, shingles: int) -> DataFrame:
     """``a, b``: alike pairs that join every component of ``nodes (node, first, size, signature, marks)``.
 
     The texts are in ``rows (doc_id, node, text)`` under the doc_id ``first``.
@@ -299,7 +299,7 @@ def links(nodes: DataFrame, rows: DataFrame, width: int, limit: int, matches: in
     shape = "token bigint, node binary, label binary, size bigint"
     needed = written(_in_blocks(mixed, probe, shape).distinct(), "partners")
     counts = needed.groupBy("token").agg(F.sum("size").alias("total"), F.count("*").alias("copies"))
-    counts = written(counts.selectExpr("token", f"int(ceil(total / {SHINGLES})) AS blocks", "copies"), "partner-lists")
+    counts = written(counts.selectExpr("token", f"int(ceil(total / {shingles})) AS blocks", "copies"), "partner-lists")
 
     def check(group: pa.Table, split: int | None) -> list[pa.RecordBatch]:
         nodes, labels = (group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label"))
@@ -314,7 +314,9 @@ def links(nodes: DataFrame, rows: DataFrame, width: int, limit: int, matches: in
     return stars.unionByName(_in_blocks(checked, check, "a binary, b binary"))
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, limit: int = ALIKE, matches: int = MATCHES) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, width: int = SHINGLE, limit: int = ALIKE, matches: int = MATCHES, empty_alike: bool = False, shingles: int | None = None
+) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs (doc_id, text)``.
 
     ``component_id`` is the smallest doc_id reached over texts whose sets of ``width``-word shingles have a similarity of
@@ -323,7 +325,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, limit: int = ALIKE, m
     without doc_id names no component, so its component_id is NULL where the component has no other. Texts of any
     length are read whole, in pieces. An empty table gives no rows. Other columns are not read, whatever their names.
 
-    ``matches`` goes with ``limit``: a pair at the limit agrees in ``limit`` of a hundred coordinates on average.
+    ``matches`` goes with ``limit``: a pair at the limit agrees in ``limit`` of a hundred coordinates on average. With
+    ``empty_alike`` texts without words are one component instead. ``shingles`` are compared in one piece.
     """
     if not 0 < matches <= VALUES:
         raise ValueError(f"matches are 1 to {VALUES}")
@@ -342,7 +345,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, limit: int = ALIKE, m
     one = [F.first(c).alias(c) for c in ("size", "signature", "marks")]
     nodes = words.agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *one)
     nodes = written(nodes, "nodes")
-    linked = components(written(links(nodes, rows, width, limit, matches), "alike"))
+    linked = components(written(links(nodes, rows, width, limit, matches, shingles or SHINGLES), "alike"))
     linked = written(linked.join(nodes.select("node", "first"), "node"), "linked")
     roots = linked.groupBy("root").agg(F.min("first").alias("reached"), F.count("*").alias("members"))
     reached = spread_join(linked.select("node", "root"), written(roots, "roots"), "root", "members").select("node", "reached")
@@ -350,5 +353,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, limit: int = ALIKE, m
     named = written(named, "components")
     known = spread_join(signed.where("size > 0").select("doc_id", "size", "node"), named, "node", "copies")
     empty = signed.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id"))
+    if empty_alike:
+        least = empty.agg(F.min("doc_id")).first()[0]
+        empty = empty.withColumn("component_id", F.lit(least).cast("bigint"))
     found = known.select("doc_id", "size", "component_id").unionByName(empty)
     return found.select("doc_id", F.col("size").alias("n_shingles"), "component_id")

@@ -71,7 +71,8 @@ def mix(
     order once more, as far as brings the source nearest to its target. That
     order depends on doc_id only, so reruns agree; rows that repeat a doc_id
     stand next to each other and are taken for themselves. NULL sources are one source, a NULL or
-    empty text has size 0, and a source without words has target 0.
+    empty text has size 0, and a source without words has target 0. Texts of any length are counted whole, other
+    columns are not read, whatever their names, and an empty table gives no rows.
     """
     size = word_count(F.col("text")) if size is None else size
     rows = docs.select("doc_id", "source", size.alias("size"), draw(F.col("doc_id"), seed).alias("draw"))

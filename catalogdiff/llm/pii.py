@@ -262,7 +262,8 @@ def detect(docs: DataFrame) -> DataFrame:
     """``doc_id, spans`` of every row of ``docs``: ``start, kind (number), end, base`` by start, then kind.
 
     Positions count characters from 0, ends are exclusive. A NULL or empty text has no spans. Rows that
-    repeat stay rows, other columns are not read, and an empty table gives no rows.
+    repeat stay rows, other columns are not read, whatever their names, and an empty table gives no rows. Texts of any
+    length are searched whole, in one row.
     """
     found, model = found_spans(docs.select(F.col("doc_id").alias("row"), "text"))
     taken = F.filter("spans", model.is_real)

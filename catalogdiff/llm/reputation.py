@@ -123,7 +123,8 @@ def judged(
     ``labels (page_id, good)`` are outcomes, 1 or 0; NULL is none, and of several for a page the lowest counts.
     A page is blocked by the method if ``bound``, the upper posterior bound of its host's share of
     good pages, is below ``accepted``. A rule that fits goes before the method. Urls that are NULL or
-    have no ``://`` have an empty host and path and are judged together. Repeated rows stay, each a page of its own.
+    have no ``://`` have an empty host and path and are judged together. Repeated rows stay, each a page of its own. Urls of any length are
+    read whole, other columns are not read, whatever their names, and an empty table of pages gives no rows.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))

@@ -324,8 +324,8 @@ def near_duplicates(
     ``component_id`` is the smallest doc_id that is reached over fingerprints
     which differ in at most ``threshold`` bits. NULL texts and texts without words
     have fingerprint 0 and are linked by it. A NULL doc_id names no component,
-    so it is NULL where a component has no other. Repeated rows stay rows, other columns
-    are not read, an empty table gives no rows.
+    so it is NULL where a component has no other. Repeated rows stay rows, texts of any length are
+    read whole, in pieces, other columns are not read, an empty table gives no rows.
     """
     found = written(fingerprints(docs, width, seed), "fingerprints")
     nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "distinct")

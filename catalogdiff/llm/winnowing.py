@@ -88,7 +88,8 @@ def likeness(one: Column, two: Column) -> Column:
 def fingerprinted(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
     """``doc_id, fingerprint, hashes, positions`` of every row of ``docs``; hashes are in order and not distinct.
 
-    A NULL or empty text has an empty fingerprint; other columns are not read.
+    A NULL or empty text has an empty fingerprint; other columns are not read. Rows that repeat stay rows, texts of any length
+    are read whole, in one row, and an empty table gives no rows.
     """
     rows = with_fingerprint(docs.select("doc_id", F.col("text").alias("t")), "t", "fingerprint", k, w).drop("t")
     print_ = F.col("fingerprint")
