@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
 from urllib.parse import unquote_plus
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ import corpus_pipeline
 from catalogdiff.llm import (
     alike, common, licences, mixing, packing, pii, quality, queries, reputation, simhash, toxicity, warc, winnowing,
 )
+from catalogdiff.llm.oracles import licence_scan
 from tests.llm import brute
 
 LONG = " ".join(f"w{i % 9973}x" for i in range(300_000)) + " mail a.b@example.com end"
@@ -507,8 +510,9 @@ def test_salvage_recovers_what_damage_leaves(packed):
         data = b"".join(data)
         found, at = [], 0
         for start, stop, fields, reason in warc.salvage(data):
-            assert start == at and stop > start and (fields is not None or reason)
-            at = stop
+            # A damaged member's bytes are those of the records before the damage, and a gap.
+            assert start <= at and stop > start and (fields is not None or reason)
+            at = max(at, stop)
             if fields:
                 # A changed byte may lie in the id itself, which no digest covers.
                 number = fields["warc-record-id"][10:-1]
@@ -527,3 +531,161 @@ def test_stages_with_odd_rows(spark, odd, sf_dir):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() > 0
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.where("false"), sf_dir).count() == 0, name
+
+
+def test_licence_files_as_they_are_published(spark):
+    """Files with titles, owners, list marks and other line breaks; long texts where this machine has them."""
+    mit, three = licences.LICENCES["MIT"], licences.LICENCES["BSD-3-Clause"]
+    folder = "/usr/share/common-licenses"
+    files = [
+        ("MIT License\n\nCopyright (c) 2020 Jane Roe\n\n" + mit, "MIT"), ("The MIT License (MIT)\n\nCopyright © 2020 X\n\n" + " ".join(mit.split()), "MIT"),
+        ("MIT License", None), ("MIT License\n\nsomething else", None), ("# ISC License\n\nCopyright 2001 Y\n\n" + licences.LICENCES["ISC"], "ISC"),
+        ("BSD 3-Clause License\n\nCopyright (c) 2013, Z\nAll rights reserved.\n\n" + three.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), "BSD-3-Clause"),
+        ("Simplified BSD License\n" + licences.LICENCES["BSD-2-Clause"].replace("1. ", "a) "), "BSD-2-Clause"),
+        ("zlib License\n------------\n(C) 2010 A\n" + licences.LICENCES["Zlib"], "Zlib"), ("The Unlicense\n\n" + licences.LICENCES["Unlicense"], "Unlicense"),
+    ]
+    for name, known in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(f"{folder}/{name}"):
+            with open(f"{folder}/{name}", encoding="utf-8") as f:
+                files.append((f.read(), known))
+    table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(files)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["licence"], r["text_digest"]) for r in licences.scan(table).collect()}
+    assert [got[i][0] for i in range(len(files))] == [known for _, known in files]
+    # The oracle spells its own forms: the same digests come out of them.
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (t, _) in enumerate(files)])
+    want = {r[0]: (r[2], r[1]) for r in con.execute(licence_scan()).fetchall()}
+    assert got == want
+
+
+def plain_records(n):
+    out = []
+    for i in range(n):
+        block = f"HTTP/1.1 200 OK\r\n\r\n{i} ".encode() + hashlib.sha256(str(i).encode()).hexdigest().encode() * 40
+        out.append(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r{i}>\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+    return out
+
+
+def salvaged(data):
+    found = list(warc.salvage(data))
+    return [f["warc-record-id"] for _, _, f, _ in found if f is not None], [(a, b, why) for a, b, f, why in found if f is None]
+
+
+def test_members_of_several_records_give_all_of_them():
+    records = plain_records(40)
+    member, single = gzip.compress(b"".join(records[:3]), mtime=0), gzip.compress(records[3], mtime=0)
+    assert salvaged(member + single) == (["<r0>", "<r1>", "<r2>", "<r3>"], [])
+    dirty = gzip.compress(records[0] + b"rubbish\r\n" + records[1], mtime=0)
+    ids, gaps = salvaged(single + dirty + single)
+    assert ids == ["<r3>", "<r0>", "<r1>", "<r3>"]
+    assert gaps == [(len(single), len(single) + len(dirty), "no version line")]
+
+
+def test_a_member_that_is_cut_or_damaged_gives_the_records_before():
+    records = plain_records(40)
+    whole = gzip.compress(b"".join(records), mtime=0)
+    for cut in (len(whole) - 30, len(whole) // 2):
+        ids, gaps = salvaged(whole[:cut])
+        least = len(records) * cut // len(whole) - 3
+        assert ids == [f"<r{i}>" for i in range(len(ids))] and len(ids) >= least
+        assert gaps == [(0, cut, "gzip member is cut short")]
+    damaged = bytearray(whole)
+    damaged[len(whole) * 3 // 4] ^= 0xFF
+    single = gzip.compress(records[-1], mtime=0)
+    ids, gaps = salvaged(bytes(damaged) + single)
+    assert ids[:20] == [f"<r{i}>" for i in range(20)] and ids[-1] == "<r39>" and gaps
+
+
+def test_archive_files_are_cut_by_bytes(spark):
+    """A run of large pages behind many small ones: no file holds more than the bound and a record."""
+    rng = random.Random(1)
+    rows = [(i, "u", rng.randbytes(50).hex()) for i in range(2_000)] + [(3_000 + i, "u", rng.randbytes(60_000).hex()) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    path = common.new_folder(spark, "bytes")
+    warc.write_archives(pages, path, file_bytes=1 << 17, row_bytes=1 << 14)
+    sizes = [r["length"] for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert max(sizes) <= (1 << 17) + 130_000 and len(sizes) >= 10
+    got = warc.read_archives(spark, path)
+    assert got.where("kind = 'gap'").count() == 0 and got.count() == len(rows)
+
+
+def test_packing_deals_rows_that_repeat(spark):
+    """A third of rows without id and with one text, and a third with one id: shards hold about as many pieces."""
+    docs = spark.range(30_000).selectExpr(
+        "if(id % 3 = 0, NULL, if(id % 3 = 1, 1, id)) AS doc_id", "if(id % 3 = 0, 'the same', concat('text number ', id)) AS text"
+    )
+    got = packing.pack(docs, queries.tokenizer_file(), shard=1_000)
+    shards = [r["count"] for r in got.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert sum(shards) == 30_000 and max(shards) < 1_600 and len(shards) == 30
+
+
+def test_toxicity_sample_of_a_key_that_holds_most_rows(spark):
+    """5,000 labelled texts under one key: the sample is as large as asked for, and a row that repeats counts once."""
+    rows = [(1, f"word{i} {'vile awful' if i % 5 == 0 else 'kind calm'} text", int(i % 5 == 0)) for i in range(5_000)] + [(2, "same", 0)] * 3_000
+    table = spark.createDataFrame(rows, "key bigint, text string, toxic int")
+    for sample in (100, 1_000):
+        model = toxicity.fit(table, sample=sample)
+        assert model.weights and model.score("vile awful thing") > 0.5 > model.score("kind calm thing")
+
+
+def test_words_are_split_before_they_are_lowered():
+    short = toxicity._words("İSTANBUL Straße ΣΑΣ")
+    assert toxicity._words("İSTANBUL Straße ΣΑΣ " + "x" * (1 << 20)) - {"x" * (1 << 20)} == short == {"İSTANBUL".lower(), "straße", "σας"}
+
+
+def test_swaps_meet_every_other_term_of_a_set():
+    ways = toxicity._swaps([("a", "b", "c"), ("x", "y")])
+    assert [sorted(m) for m in toxicity._counterfactuals({"a", "w"}, ways)] == [["b", "w"], ["c", "w"]]
+    assert toxicity._counterfactuals({"w"}, ways) == []
+    every = toxicity._swaps(toxicity.IDENTITY_TERMS)
+    for term, size in (("muslim", 9), ("musulmans", 8), ("judíos", 7), ("flüchtlinge", 5)):
+        assert len({way[term] for way in every} | {term}) == size
+
+
+def test_fit_equals_newtons_method():
+    """The penalised regression on dense matrices, solved exactly."""
+    rng = np.random.default_rng(3)
+    n, width, penalty, ridge = 120, 12, 4.0, 0.01
+    rows = [np.nonzero(rng.random(width) < 0.3)[0] for _ in range(n)]
+    labels = (rng.random(n) < 0.4).astype(int)
+    swapped = [[np.nonzero(rng.random(width) < 0.3)[0] for _ in range(rng.integers(0, 3))] if i % 2 else [] for i in range(n)]
+    w, b = toxicity.fit_vectors(labels, rows, swapped, width, penalty, ridge, 20_000)
+    dense = lambda r: np.bincount(r, minlength=width).astype(float)
+    x = np.hstack([np.array([dense(r) for r in rows]), np.ones((n, 1))])
+    weight = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (n - labels.sum()))
+    texts = sum(1 for s in swapped if s)
+    quad = np.zeros((width + 1, width + 1))
+    for row, others in zip(rows, swapped):
+        for other in others:
+            d = np.append(dense(other) - dense(row), 0)
+            quad += 2 * penalty / texts / len(others) * np.outer(d, d)
+    quad[:width, :width] += ridge * np.eye(width)
+    v = np.zeros(width + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ v))
+        slope = x.T @ (weight * (p - labels)) + quad @ v
+        v -= np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + quad + 1e-12 * np.eye(width + 1), slope)
+    assert np.allclose(v[:width], w, atol=1e-3) and abs(v[width] - b) < 1e-3
+
+
+def test_neutral_mentions_are_taken_for_toxic_less_often(spark):
+    """Insults name some groups more often than others; false positives on neutral mentions with and without the penalty."""
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(80)]
+    rows = []
+    for i in range(900):
+        toxic = i % 3 == 0
+        text = rng.choices(words, k=14)
+        if rng.random() < (0.8 if toxic else 0.08):
+            text.append(rng.choice(["muslims", "juifs", "türken", "árabes"]))
+        if toxic and rng.random() < 0.6:
+            text.append(rng.choice(["idiots", "scum", "vermin"]))
+        rows.append((i, " ".join(text), int(toxic)))
+    table = spark.createDataFrame(rows, "key bigint, text string, toxic int")
+    neutral = [" ".join([*rng.choices(words, k=14), t]) for t in ("muslims", "juifs", "türken", "árabes") for _ in range(50)]
+    free, fair = toxicity.fit(table, penalty=0.0), toxicity.fit(table)
+    wrong = [sum(m.score(t) >= 0.5 for t in neutral) / len(neutral) for m in (free, fair)]
+    caught = [sum(m.score(t) >= 0.5 for _, t, x in rows if x) / 300 for m in (free, fair)]
+    print("false positives", wrong, "caught", caught)
+    assert fair.swapped_texts > 200 and wrong[1] < 0.5 * wrong[0]
