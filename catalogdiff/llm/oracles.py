@@ -267,7 +267,7 @@ WITH RECURSIVE d AS (
     FROM documents
 ), g AS (
     SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-                                 ELSE [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] END) AS s
+                                 ELSE [z[1] || ' ' || z[2] || ' ' || z[3] FOR z IN list_zip(w, w[2:], w[3:], true)] END) AS s
     FROM d
 ), x AS MATERIALIZED (
     SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(list_sort(s), chr(10))) AS same, s FROM g
