@@ -214,16 +214,25 @@ def _sets(wanted: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, nodes, found, held = None, [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(found, pa.binary())], ["node", "data"])
+
         for batch in batches:
-            nodes, found = [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for node, text in zip(batch.column(0), batch.column(1)):
+                node = node.as_py()
                 # Rows that repeat a document lie together behind the merge join.
                 if node != last:
                     nodes.append(node)
                     found.append(shingle_set(text.as_py(), width).tobytes())
+                    held += len(found[-1])
                 last = node
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(found, pa.binary())], ["node", "data"])
+                if held > 4 << 20:
+                    yield out()
+                    nodes, found, held = [], [], 0
+        if nodes:
+            yield out()
 
     slot = f"int(pmod(xxhash64(node, {{}}), {1 << SLOTS})) AS slot"
     slots = wanted.selectExpr(slot.format("first")).distinct()
@@ -333,11 +342,15 @@ def near_duplicates(
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(2)]
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            found = [signature(s) for s in sets]
+            sizes, found = [], []
+            for text in batch.column(2):
+                # One set at a time: a batch of them is many times a batch of signatures.
+                hashes = shingle_set(text.as_py(), width)
+                sizes.append(len(hashes))
+                found.append(signature(hashes))
             signed = [pa.array([f.tobytes() for f in found], pa.binary()), pa.array([marks(f) for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], sizes, *signed], ["doc_id", "node", "size", "signature", "marks"])
+            columns = [*batch.columns[:2], pa.array(sizes, pa.int64()), *signed]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "signature", "marks"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "text")
     signed = written(rows.mapInArrow(sign, "doc_id bigint, node binary, size bigint, signature binary, marks binary"), "signatures")
