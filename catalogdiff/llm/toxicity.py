@@ -86,7 +86,10 @@ def _features(word: str) -> tuple[str, ...]:
 
 def _words(text: str | None) -> set[str]:
     """Distinct words, split before they are brought to lower case."""
-    return {w.lower() for w in {m.group() for m in WORDS.finditer(text or "")}}
+    text = text or ""
+    # The same words either way; a list of all those of a very long text is not held.
+    found = set(WORDS.findall(text)) if len(text) <= 1 << 20 else {m.group() for m in WORDS.finditer(text)}
+    return {w.lower() for w in found}
 
 
 def _swaps(terms: Sequence[Sequence[str]]) -> list[dict[str, str]]:
