@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,17 @@ DELIMITER = "|"
 NAME_SEPARATOR = "__"
 SKIPPED_MARKS = ("defines", "eoj")
 
-# An extract is a file, or a folder of that name with the parts Spark wrote.
-EXTRACT_NAME = r"([^/]*)(?:/part-[^/]*)?$"
+
+def _extract_name(path: Column) -> Column:
+    """An extract is a file, or a folder of that name with the parts Spark wrote. Of each row, so without a pattern."""
+    last = F.substring_index(path, "/", -1)
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    return F.when(last.startswith("part-") & path.contains("/"), folder).otherwise(last)
+
+
+def _table_name(name: Column) -> Column:
+    """The second part of an extract's name; NULL where there is none."""
+    return F.when(name.contains(NAME_SEPARATOR), F.split_part(name, F.lit(NAME_SEPARATOR), F.lit(2)))
 
 
 def read_extracts(spark: SparkSession, folder: str, table: str, splittable: bool = False) -> DataFrame:
@@ -40,7 +49,7 @@ def read_extracts(spark: SparkSession, folder: str, table: str, splittable: bool
         header = spark.read.option("header", True).option("sep", DELIMITER).option("quote", '"').option("escape", '"').csv(path)
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header.columns])
     reader = spark.read.schema(schema)
-    name = F.regexp_extract(F.col("_metadata.file_path"), EXTRACT_NAME, 1)
+    name = _extract_name(F.col("_metadata.file_path"))
     rows = (
         reader.option("header", True)
         .option("enforceSchema", False)
@@ -50,7 +59,7 @@ def read_extracts(spark: SparkSession, folder: str, table: str, splittable: bool
         .option("multiLine", not splittable)
         .option("mode", "FAILFAST")
         .csv(paths)
-        .where(F.split(name, NAME_SEPARATOR)[1] == table)
+        .where(_table_name(name) == table)
     )
     for mark in SKIPPED_MARKS:
         rows = rows.where(~name.contains(mark))
@@ -66,10 +75,10 @@ def extract_files(spark: SparkSession, folder: str) -> DataFrame:
         if error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], "path string, name string")
         raise
-    name = F.regexp_extract("path", EXTRACT_NAME, 1)
+    name = _extract_name(F.col("path"))
     for mark in SKIPPED_MARKS:
         files = files.where(~name.contains(mark))
-    return files.select("path", F.split(name, NAME_SEPARATOR)[1].alias("name")).where("name <> ''")
+    return files.select("path", _table_name(name).alias("name")).where("name <> ''")
 
 
 def extract_tables(spark: SparkSession, folder: str) -> list[str]:

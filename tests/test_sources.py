@@ -168,3 +168,15 @@ def test_reads_are_spread_by_a_selected_column(dialect, tables):
 def test_grants_and_indexes_are_read_on_request():
     assert set(ORACLE) - set(default_tables("oracle")) == {"indexes", "role_privs", "sys_privs"}
     assert default_tables("postgres") == list(POSTGRES)
+
+
+def test_tables_are_told_from_names_and_folders_without_a_pattern(spark, tmp_path):
+    """The name is looked at for each row, so it is cut, not searched."""
+    folder = str(tmp_path / "x")
+    extract(folder, "a___b__dbobjectnames__data.csv", [row("o", "another table")])
+    extract(folder, "a__dbobjectnames__part-1.csv", [row("o", "file")])
+    extract(folder + "/b__dbobjectnames__data.csv", "part-00000-x.csv", [row("o", "part")])
+    extract(folder + "/b__dbobjectnames__eoj.csv", "part-00000-x.csv", [row("o", "skipped")])
+    got = read_extracts(spark, folder, "dbobjectnames")
+    assert sorted(r["object_name"] for r in got.collect()) == ["file", "part"]
+    assert "regexp" not in got._jdf.queryExecution().executedPlan().toString()
