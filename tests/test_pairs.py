@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -13,6 +14,7 @@ from catalogdiff.operators import column_drift, count_diff, line_diff, mapped_pr
 from catalogdiff.operators.presence import presence_diff_by_variant
 from catalogdiff.plans import custom_section
 from catalogdiff.schemas import STAGED
+from conftest import bag
 
 IDS = [f"db{i}" for i in range(140)]
 KEYS = ("owner", "name")
@@ -136,3 +138,28 @@ def test_custom_sections_group_by_pair(spark):
     for bad in ("SELECT count(*) AS n FROM IDENTIFIER(:dbobjectnames)", "SELECT pair_id FROM <dataset_name>.dbobjectnames WHERE pkey = '<instance_1_id>'"):
         with pytest.raises(ValueError, match="pair"):
             custom_section(bad, report.comparison)
+
+
+def test_sets_as_columns_and_as_maps_agree(spark, monkeypatch):
+    """One instance against 130 others, so that its partners fill three words."""
+    ids = [f"i{n}" for n in range(131)]
+    rows = spark.range(131 * 40).selectExpr("concat('i', id % 131) AS pkey", "concat('k', id div 131) AS name", "id % 7 AS r").where("r > 0 OR name = 'k1'")
+    sides = InstancePairs.of(spark, [(ids[0], i) for i in ids[1:]])
+    columns = bag(presence_diff(rows, ("name",), sides))
+    monkeypatch.setattr("catalogdiff.operators.pairs.WORDS", 0)
+    assert columns == bag(presence_diff(rows, ("name",), sides))
+    assert {r[3] for r in columns} | {r[2] for r in columns} == {"Present", "Missing"}
+
+
+def test_declarations_of_pairs_are_counted_once(spark):
+    """What follows the deal by key reads it again instead of counting the declarations anew."""
+    rows = spark.range(3000).selectExpr(
+        "concat('i', id % 3) AS pkey", "'o' AS owner", "concat('t', id div 9) AS table_name", "concat('c', id div 3 % 3) AS column_name",
+        "IF(id % 50 = 0, 'RAW', 'DATE') AS data_type", "1 AS data_length", "1 AS data_precision", "1 AS data_scale", "'Y' AS nullable",
+    )
+    found = column_drift(rows, InstancePairs.of(spark, [("i0", "i1"), ("i0", "i2")]))
+    assert found.count() > 0
+    found.collect()
+    text = found._jdf.queryExecution().executedPlan().toString()
+    final = text[: text.index("Initial Plan")] if "Initial Plan" in text else text
+    assert len(re.findall(r"ReusedExchange|ReusedQueryStage|ResultQueryStage", final)) and len(re.findall(r"Range \(", final)) == 1
