@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogdiff.llm.common import spread_join, written
+from catalogdiff.llm.common import small_batches, spread_join, written
 from catalogdiff.llm.simhash import components, shingle_hashes
 
 # Similarity from which texts are alike, in hundredths; words of a shingle.
@@ -157,7 +157,7 @@ def _in_pairs(pairs: DataFrame, data: DataFrame, kind: str, good: Callable[[np.n
                     key, one = (a[i].as_py(), chunk[i].as_py()), values.copy()
                 elif key == (a[i].as_py(), chunk[i].as_py()) and good(one, values):
                     kept.append(i)
-            yield batch.take(pa.array(kept, pa.int64())).select(["a", "b"])
+            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
     rows = own.unionByName(theirs).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b"))
     return rows.mapInArrow(run, "a binary, b binary")
@@ -241,10 +241,13 @@ def _sets(wanted: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     return met.select("node", "text").mapInArrow(hashed, "node binary, data binary")
 
 
-def links(nodes: DataFrame, rows: DataFrame, width: int, limit: int, matches: int, shingles: int) -> DataFrame:
+def links(
+    nodes: DataFrame, rows: DataFrame, width: int, limit: int, matches: int, shingles: int, met: DataFrame | None = None
+) -> DataFrame:
     """``a, b``: alike pairs that join every component of ``nodes (node, first, size, signature, marks)``.
 
-    The texts are in ``rows (doc_id, node, text)`` under the doc_id ``first``.
+    The texts are in ``rows (doc_id, node, text)`` under the doc_id ``first``. ``met (a, b)`` are pairs of another search,
+    which are checked as well.
     """
     spark, length = nodes.sparkSession, VALUES - matches + 1
     levels = spark.sparkContext.broadcast(token_levels(nodes))
@@ -265,6 +268,8 @@ def links(nodes: DataFrame, rows: DataFrame, width: int, limit: int, matches: in
     enough = lambda one, two: np.count_nonzero(one == two) >= matches
     signatures = nodes.select("node", F.col("marks").alias("data"))
     stars = written(_in_pairs(written(stars, "meetings"), signatures, "<u2", enough), "collisions")
+    if met is not None:
+        stars = written(stars.union(met.select("a", "b")).distinct(), "candidates")
 
     ends = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = written(_sets(nodes.join(ends, "node", "left_semi").select("node", "first"), rows, width), "shingles")
@@ -324,7 +329,13 @@ def links(nodes: DataFrame, rows: DataFrame, width: int, limit: int, matches: in
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = SHINGLE, limit: int = ALIKE, matches: int = MATCHES, empty_alike: bool = False, shingles: int | None = None
+    docs: DataFrame,
+    width: int = SHINGLE,
+    limit: int = ALIKE,
+    matches: int = MATCHES,
+    empty_alike: bool = False,
+    shingles: int | None = None,
+    search: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs (doc_id, text)``.
 
@@ -335,10 +346,16 @@ def near_duplicates(
     length are read whole, in pieces. An empty table gives no rows. Other columns are not read, whatever their names.
 
     ``matches`` goes with ``limit``: a pair at the limit agrees in ``limit`` of a hundred coordinates on average. With
-    ``empty_alike`` texts without words are one component instead. ``shingles`` are compared in one piece.
+    ``empty_alike`` texts without words are one component instead. ``shingles`` are compared in one piece. Another ``search``
+    gives pairs ``(a, b)`` of texts from ``nodes (node)`` and ``rows (node, text)``, which are checked besides those found here.
     """
     if not 0 < matches <= VALUES:
         raise ValueError(f"matches are 1 to {VALUES}")
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, width, limit, matches, empty_alike, shingles, search)
+
+
+def _near_duplicates(docs, width, limit, matches, empty_alike, shingles, search) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,7 +375,8 @@ def near_duplicates(
     one = [F.first(c).alias(c) for c in ("size", "signature", "marks")]
     nodes = words.agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *one)
     nodes = written(nodes, "nodes")
-    linked = components(written(links(nodes, rows, width, limit, matches, shingles or SHINGLES), "alike"))
+    met = None if search is None else search(nodes.select("node"), rows.select("node", "text"))
+    linked = components(written(links(nodes, rows, width, limit, matches, shingles or SHINGLES, met), "alike"))
     linked = written(linked.join(nodes.select("node", "first"), "node"), "linked")
     roots = linked.groupBy("root").agg(F.min("first").alias("reached"), F.count("*").alias("members"))
     reached = spread_join(linked.select("node", "root"), written(roots, "roots"), "root", "members").select("node", "reached")

@@ -28,7 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one of smallest doc_id.
 
-    Groups are linked by texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    Pairs come from SimHash and from an inverted join on MinHash coordinates. Groups are linked by those whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more.
     """
     return alike.one_of_each(docs)
 

@@ -689,3 +689,30 @@ def test_neutral_mentions_are_taken_for_toxic_less_often(spark):
     caught = [sum(m.score(t) >= 0.5 for _, t, x in rows if x) / 300 for m in (free, fair)]
     print("false positives", wrong, "caught", caught)
     assert fair.swapped_texts > 200 and wrong[1] < 0.5 * wrong[0]
+
+
+def test_the_pipelines_groups_have_simhash_links_too(spark, monkeypatch):
+    """With all 64 MinHash values to agree only SimHash finds this pair, which the whole sets confirm, and one that they do not."""
+    import random
+
+    from catalogdiff.llm import alike, coordinates, simhash
+
+    draw = random.Random(5)
+    while True:
+        one = [f"w{draw.randrange(10**6)}" for _ in range(1500)]
+        two = list(one)
+        for at in draw.sample(range(1500), 4):
+            two[at] = "other"
+        one, two = " ".join(one), " ".join(two)
+        bits = (simhash.fingerprint(one, alike.SHINGLE) ^ simhash.fingerprint(two, alike.SHINGLE)).bit_count()
+        signed = [coordinates.signature(coordinates.shingle_set(t, alike.SHINGLE)) for t in (one, two)]
+        if 0 < bits <= 4 and (signed[0] != signed[1]).any():
+            break
+    padding = "pad " * 50
+    texts = [one, two, padding + "a b c", padding + "d e f g h i j k l m n o p", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bound = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(alike, "MATCHES", 64)
+    found = {r["doc_id"]: r["component_id"] for r in alike.near_duplicates(docs).collect()}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == bound
